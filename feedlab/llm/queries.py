@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, sharding, urls, warc
+from . import decontam, html, line_dedup, quality, sharding, urls, warc
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -14,6 +14,15 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 BLOCK_TERMS = r"(^|[.-])(spam|casino|pills|bets|ads)([.-]|$)"
 
 
+def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boiler_words")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     raw, done = shared_dir(spark, "warc-raw"), shared_dir(spark, "warc")
@@ -29,6 +38,11 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.place(docs, ["source", "doc_id"], SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
@@ -39,9 +53,38 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op5_url_cascade, op8_shard_table, op9_main_text)}
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op5_url_cascade, op6_line_windows, op8_shard_table, op9_main_text)}
 
 ORACLES = {
+    "op1_quality_lines": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, source, t, ls, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS fl FROM w),
+x AS (SELECT doc_id, source, t, trim(lower(regexp_replace(unnest(fl), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line FROM b),
+y AS (SELECT *, len(string_split(line, ' ')) AS n FROM x),
+z AS (SELECT source, line, count(DISTINCT t) AS c FROM y WHERE n <= 20 GROUP BY ALL),
+f AS (SELECT source, line FROM z JOIN (SELECT source, count(DISTINCT t) AS s FROM d GROUP BY source) USING (source) WHERE c > 20 AND c > 0.01 * s),
+q AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_boiler_words FROM y JOIN f USING (source, line) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(fl) - len(list_distinct(fl)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(n_boiler_words, 0) AS n_boiler_words,
+  NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND NOT coalesce(n_boiler_words, 0) > 0.5 * n_words AS kept
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op6_line_windows": r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, ls FROM d),
+f AS (SELECT doc_id, p, trim(ls[p], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s FROM l WHERE regexp_matches(ls[p], '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, p, lead(p) OVER o AS p2, lead(p, 2) OVER o AS p3, [s, lead(s) OVER o, lead(s, 2) OVER o] AS k FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p, p2, p3, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w WHERE p3 IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, unnest([p, p2, p3]) AS p FROM r WHERE nth > 1),
+g AS (SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id),
+e AS (SELECT l.doc_id, string_agg(ls[l.p], chr(10) ORDER BY l.p) AS rest FROM l ANTI JOIN c ON l.doc_id = c.doc_id AND l.p = c.p GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN n_removed IS NULL THEN text ELSE coalesce(rest, '') END AS text, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN e ON d.doc_id = e.doc_id""",
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
