@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, line_dedup, quality, sharding, urls, warc
+from . import decontam, html, jaccard, line_dedup, quality, sharding, urls, warc
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -53,7 +53,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op5_url_cascade, op6_line_windows, op8_shard_table, op9_main_text)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op5_url_cascade, op6_line_windows, op8_shard_table, op9_main_text, op10_ngram_jaccard)}
 
 ORACLES = {
     "op1_quality_lines": r"""
