@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, line_dedup, quality, sharding, urls, warc
+from . import bpe, decontam, html, jaccard, line_dedup, quality, sharding, suffix_tree, urls, warc
 from .common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -33,6 +34,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", suffix_tree.held_out(F.col("doc_id")))
+    model, words = suffix_tree.fit(docs.where("NOT held_out"))
+    return suffix_tree.score(docs, model, words)
+
+
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), lambda host: host.rlike(BLOCK_TERMS), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -43,6 +50,13 @@ def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(tokenizer))
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.place(docs, ["source", "doc_id"], SHARDS).select("doc_id", "source", "n_chars", "slot", "shard")
@@ -57,7 +71,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op5_url_cascade, op6_line_windows, op8_shard_table, op9_main_text, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op4_suffix_tree, op5_url_cascade, op6_line_windows, op7_byte_bpe, op8_shard_table, op9_main_text, op10_ngram_jaccard)}
 
 ORACLES = {
     "op1_quality_lines": r"""
