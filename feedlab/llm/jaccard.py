@@ -11,10 +11,11 @@ that it finds sets that differ there by one element. (If the next segment has at
 A pair that no entry finds then differs in one element in every segment that both fill, and in one more for each that both
 leave empty, in more than h in all.
 
-Large lists. Within a list, sets are compared with the list's smallest set id, its leader, only. Two sets that are both
-similar to the leader are connected already. Where one is not, two sets that are similar to each other differ from the
-leader in common elements, and a prefix of those differences (of fixed order) must be shared: lists by (leader, shared
-difference) are the next round's lists. Every pair is thus compared, or connected, or ruled out; no list is expanded.
+Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
+where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
+then exactly. Within a long list, sets are compared with one of them, its leader, only. Two sets that are both similar to
+the leader are connected already. Where one is not, two sets that are similar to each other share differences from the
+leader; lists by (leader, shared difference) are the next round's lists. No long list is expanded into pairs.
 
 Texts with equal shingle sets are one node from the start, so copies cost one row each.
 """
@@ -22,6 +23,7 @@ Texts with equal shingle sets are one node from the start, so copies cost one ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .hashed import mix, shingle_sets, slices
 
 #: Bits of the map of wanted set ids: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
-#: Rounds of leaders; what is left then is compared pair by pair within its lists.
-MAX_ROUNDS = 8
+#: Lists of up to so many sets are compared pair by pair; longer ones too where they have few pairs for each set in all.
+SHORT, PAIRS_A_SET = 100, 64
 
 
 def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +116,16 @@ def _entry_rows(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
     return df.select(F.col(text).alias("text")).mapInArrow(run, "entry long, node long")
 
 
+def _sketch(elems: np.ndarray) -> np.ndarray:
+    """Parities of the elements' hash buckets as int64 words: 64 buckets or the next power of two above the set's size."""
+    n_words = max(1, 1 << max(0, (len(elems) - 1).bit_length() - 6))
+    at = (elems * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    odd = np.bincount((at % np.uint64(n_words * 64)).astype(np.int64), minlength=n_words * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _wanted_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, elems) of the nodes in ``wanted``, once each.
+    """(node, n, sketch, elems) of the nodes in ``wanted``, once each.
 
     A bitmap of fixed size, broadcast, keeps nearly all other texts out of the shuffle; the semi-join is exact.
     """
@@ -138,39 +148,71 @@ def _wanted_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFra
                             if len(seen) < 1 << 20:
                                 seen.add(node)
                             nodes.append(node)
-                            sets.append(s.view(np.int64))
+                            sets.append(s)
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elems"])
+                    lists = pa.list_(pa.int64())
+                    columns = [pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_sketch(s) for s in sets], lists), pa.array([s.view(np.int64) for s in sets], lists)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "elems"])
 
-    sets = df.select(F.col(text).alias("text")).mapInArrow(run, "node long, elems array<long>")
-    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("elems").alias("elems"))
+    sets = df.select(F.col(text).alias("text")).mapInArrow(run, "node long, n long, sketch array<long>, elems array<long>")
+    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("elems").alias("elems"))
 
 
-def _max_diff(a: Column, b: Column, p: int, q: int) -> Column:
-    return F.floor((q - p) * (a + b) / (q + p))
+def _fold(sketch: Column, words: Column) -> Column:
+    """A sketch of twice as many words or as many, as one of ``words``: its halves xor-ed."""
+    half = F.zip_with(F.slice(sketch, 1, words), F.slice(sketch, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > words, half).otherwise(sketch)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """leader, node, their elements, and whether they are similar."""
+def _with_elems(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """leader, node, and their elements as a and b."""
     mine = sets.select("node", F.col("elems").alias("b"))
     theirs = sets.select(F.col("node").alias("leader"), F.col("elems").alias("a"))
+    return pairs.select("leader", "node").join(mine, "node").join(theirs, "leader")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (leader, node) that are similar: sizes and sketches rule most others out, the rest is counted."""
+    mine = sets.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    theirs = sets.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    both = pairs.join(mine, "node").join(theirs, "leader").where((q * F.col("na") >= p * F.col("nb")) & (q * F.col("nb") >= p * F.col("na")))
+    words = F.least(F.size("sa"), F.size("sb"))
+    differ = F.aggregate(F.zip_with(_fold(F.col("sa"), words), _fold(F.col("sb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = both.where((q + p) * differ <= (q - p) * (F.col("na") + F.col("nb")))
     common = F.size(F.array_intersect("a", "b"))
-    return pairs.join(mine, "node").join(theirs, "leader").withColumn("linked", q * common >= p * (F.size("a") + F.size("b") - common))
+    return _with_elems(near, sets).where(q * common >= p * (F.size("a") + F.size("b") - common)).select("leader", "node")
 
 
-def _shared_differences(compared: DataFrame, p: int, q: int) -> DataFrame:
-    """(leader, elem, node, linked): a prefix of each node's differences from its leader that any similar node must share.
+def _shared_differences(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(list, node) of the next round, from (leader, node, linked) of leaders with a node that is not linked to them.
 
-    Differences are ordered alike for all nodes of a leader: elements the leader lacks first, then those it has.
+    Let R not be linked to the leader and be similar to S. Their common differences from the leader number at least half of
+    both numbers less their largest distance h. If all of these are elements that both lack, S must have so many elements
+    fewer than the leader: with gap = (q+p)(differences of R) - (q-p)(sizes of R and the leader), which is positive, 2p times
+    that number is at least the gap. Else they share an element that the leader lacks. So nodes are listed under each element
+    that the leader lacks, and under those that they lack only where such a pair can exist. Where more than one element must
+    be shared, a prefix of them will do, rarest in the group first.
     """
     n = F.size("b")
-    most = F.floor((q - p) * (n + F.floor(n * q / p)) / (q + p))  # of this node and any similar one
-    size = F.col("d")
-    # Of two similar nodes that are not both linked to the leader, common differences number at least half of their sum less h.
-    least = F.when(F.col("linked"), F.floor(size / 2)).otherwise(size - most)
-    diffs = F.concat(F.array_sort(F.array_except("b", "a")), F.array_sort(F.array_except("a", "b")))
-    rows = compared.withColumn("diffs", diffs).withColumn("d", F.size("diffs")).withColumn("prefix", F.least(size, size - F.greatest(least, F.lit(1)) + 1).cast("int"))
-    return rows.where("d > 0").select("leader", "node", "linked", F.explode(F.slice("diffs", 1, F.greatest(F.col("prefix"), F.lit(1)))).alias("elem"))
+    most = F.floor((q - p) * (n + F.floor(n * q / p)) / (q + p))  # between this node and any similar one
+    rows = _with_elems(pairs, sets).join(pairs, ["leader", "node"]).select("leader", "node", "linked", F.array_except("b", "a").alias("new"), F.array_except("a", "b").alias("lost"), (F.size("a") - n).alias("fewer"), most.alias("most"), (F.size("a") + n).alias("sizes"))
+    rows = stored(rows.withColumn("d", F.size("new") + F.size("lost")).withColumn("gap", (q + p) * F.col("d") - (q - p) * F.col("sizes")), "jaccard-differences")
+    group = rows.groupBy("leader").agg(F.max("fewer").alias("max_fewer"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("min_gap"))
+    can = (2 * p * F.col("fewer") >= F.col("min_gap")) | (~F.col("linked") & (2 * p * F.col("max_fewer") >= F.col("gap")))
+    least = F.when(F.col("linked"), F.floor(F.col("d") / 2)).otherwise(F.col("d") - F.col("most"))
+    lacking = rows.join(group, "leader").where(can).select("leader", "node", "linked", (F.size("lost") - F.greatest(least, F.lit(1)) + 1).alias("prefix"), F.explode("lost").alias("elem"))
+    # Where R differs a lot, so do common elements that the leader lacks: what is left when those that both lack are all common.
+    rest = F.when(F.col("linked"), F.lit(1)).otherwise(F.greatest(F.col("d") - F.col("most") - F.size("lost"), F.lit(1)))
+    adding = rows.select("leader", "node", "linked", (F.size("new") - rest + 1).alias("prefix"), F.explode("new").alias("elem"))
+
+    def shared(each: DataFrame) -> DataFrame:
+        often = each.groupBy("leader", "elem").agg(F.count(F.lit(1)).alias("often"), F.bool_or(~F.col("linked")).alias("any")).where("often > 1")
+        return each.join(often, ["leader", "elem"], "left")
+
+    # An element that one node alone has is in no list, but takes its place at the front of the prefix.
+    nth = F.row_number().over(Window.partitionBy("leader", "node").orderBy(F.coalesce("often", F.lit(1)), "elem"))
+    listed = reduce(DataFrame.unionByName, [shared(x).withColumn("nth", nth).where("nth <= prefix AND any").select("leader", "elem", "node") for x in (adding, lacking)])
+    return listed.select(F.xxhash64("leader", "elem").alias("list"), "node").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,34 +229,38 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _different(lists: DataFrame) -> DataFrame:
+    """(list, node, size) of lists of two and more nodes, one of those with the same nodes."""
+    each = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("t")).where("size > 1")
+    return lists.join(each.groupBy("size", "s", "t").agg(F.min("list").alias("list")).select("list", "size"), "list")
+
+
 def links(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
     """Edges (a, b) between nodes that are similar; they connect all nodes that similar pairs connect."""
-    rows = _entry_rows(df, text, k, p, q)
-    leader = rows.withColumn("leader", F.min("node").over(Window.partitionBy("entry")))
-    pairs = stored(leader.where("node <> leader").select("leader", "node").distinct(), "jaccard-pairs")
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    sets = stored(_wanted_sets(df, text, k, wanted), "jaccard-sets")
-    found, rounds = None, 0
+    w = Window.partitionBy("list")
+    rows = _entry_rows(df, text, k, p, q).withColumnRenamed("entry", "list")
+    rows = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).where("low < high")
+    lists = stored(rows.select("list", "node").distinct(), "jaccard-lists")
+    sets = stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "jaccard-sets")
+    found, n_sets = None, sets.count()
     while True:
-        compared = stored(_compare(pairs, sets, p, q).select("leader", "node", "linked"), "jaccard-compared")
-        new = compared.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        sized = stored(_different(lists), "jaccard-different")
+        pairs_left = sized.where(F.col("size") > SHORT).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
+        bound = SHORT if pairs_left > PAIRS_A_SET * n_sets else sized.agg(F.max("size")).first()[0] or SHORT
+        short = sized.where(F.col("size") <= bound).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("x"))
+        pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("leader"), b.alias("node")))))
+        # The leader is the set that is in most long lists: the others of its group are close to it.
+        many = sized.where(F.col("size") > bound).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        many = many.withColumn("leader", F.max(F.struct("many", "node")).over(w)["node"])
+        long = stored(many.where("node <> leader").select("leader", "node").distinct(), "jaccard-long")
+        near = stored(_similar(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "jaccard-links")
+        new = near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
         found = new if found is None else found.union(new)
-        open_ = compared.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("linked")).alias("any")).where("n > 1 AND any").select("leader")
-        again = _compare(compared.join(open_, "leader", "left_semi").select("leader", "node"), sets, p, q)
-        lists = stored(_shared_differences(again, p, q), "jaccard-lists")
-        heads = lists.groupBy("leader", "elem").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("linked")).alias("any")).where("n > 1 AND any").select("leader", "elem", "head")
-        rounds += 1
-        if rounds < MAX_ROUNDS:
-            nexts = lists.join(heads, ["leader", "elem"]).where("node <> head").select(F.col("head").alias("leader"), "node")
-        else:
-            left = lists.join(heads, ["leader", "elem"]).select("leader", "elem", "node")
-            nexts = left.alias("x").join(left.alias("y"), ["leader", "elem"]).where("x.node < y.node").select(F.col("x.node").alias("leader"), F.col("y.node").alias("node"))
-        pairs = stored(nexts.distinct(), "jaccard-pairs")
-        if pairs.isEmpty():
+        if long.isEmpty():
             return found
-        if rounds >= MAX_ROUNDS:
-            last = _compare(pairs, sets, p, q).where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            return found.union(last)
+        judged = long.join(near.withColumn("linked", F.lit(True)), ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
+        lists = stored(_shared_differences(judged.join(unsure, "leader", "left_semi"), sets, p, q), "jaccard-lists")
 
 
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p: int = 85, q: int = 100) -> DataFrame:
