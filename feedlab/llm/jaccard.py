@@ -13,9 +13,9 @@ leave empty, in more than h in all.
 
 Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
 where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
-then exactly. Within a long list, sets are compared with one of them, its leader, only. Two sets that are both similar to
-the leader are connected already. Where one is not, two sets that are similar to each other share differences from the
-leader; lists by (leader, shared difference) are the next round's lists. No long list is expanded into pairs.
+then exactly. Within a long list, sets are compared with one of them, its leader, only. Two sets that are both connected
+with the leader are connected already. Where one is not, two sets that are similar to each other share differences from
+the leader; lists by (leader, shared difference) are the next round's lists. No long list is expanded into pairs.
 
 Texts with equal shingle sets are one node from the start, so copies cost one row each.
 """
@@ -37,7 +37,7 @@ from .hashed import mix, shingle_sets, slices
 #: Bits of the map of wanted set ids: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
 #: Lists of up to so many sets are compared pair by pair; longer ones too where they have few pairs for each set in all.
-SHORT, PAIRS_A_SET = 100, 64
+SHORT, PAIRS_A_SET = 64, 16
 
 
 def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,22 +171,33 @@ def _with_elems(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("leader", "node").join(mine, "node").join(theirs, "leader")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (leader, node) that are similar: sizes and sketches rule most others out, the rest is counted."""
+def _near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (leader, node) that sizes and sketches don't rule out."""
     mine = sets.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     theirs = sets.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     both = pairs.join(mine, "node").join(theirs, "leader").where((q * F.col("na") >= p * F.col("nb")) & (q * F.col("nb") >= p * F.col("na")))
     words = F.least(F.size("sa"), F.size("sb"))
     differ = F.aggregate(F.zip_with(_fold(F.col("sa"), words), _fold(F.col("sb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = both.where((q + p) * differ <= (q - p) * (F.col("na") + F.col("nb")))
+    return both.where((q + p) * differ <= (q - p) * (F.col("na") + F.col("nb"))).select("leader", "node")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Edges (a, b): the pairs that are similar, by counting common elements."""
     common = F.size(F.array_intersect("a", "b"))
-    return _with_elems(near, sets).where(q * common >= p * (F.size("a") + F.size("b") - common)).select("leader", "node")
+    return _with_elems(pairs, sets).where(q * common >= p * (F.size("a") + F.size("b") - common)).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """(leader, node, linked): whether edges found so far connect them."""
+    one = label.select("node", F.col("component").alias("_m"))
+    two = label.select(F.col("node").alias("leader"), F.col("component").alias("_l"))
+    return pairs.join(one, "node", "left").join(two, "leader", "left").select("leader", "node", (F.coalesce("_m", "node") == F.coalesce("_l", "leader")).alias("linked"))
 
 
 def _shared_differences(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """(list, node) of the next round, from (leader, node, linked) of leaders with a node that is not linked to them.
 
-    Let R not be linked to the leader and be similar to S. Their common differences from the leader number at least half of
+    Let R not be connected with the leader, so not similar to it, and be similar to S. Their common differences from the leader number at least half of
     both numbers less their largest distance h. If all of these are elements that both lack, S must have so many elements
     fewer than the leader: with gap = (q+p)(differences of R) - (q-p)(sizes of R and the leader), which is positive, 2p times
     that number is at least the gap. Else they share an element that the leader lacks. So nodes are listed under each element
@@ -235,14 +246,19 @@ def _different(lists: DataFrame) -> DataFrame:
     return lists.join(each.groupBy("size", "s", "t").agg(F.min("list").alias("list")).select("list", "size"), "list")
 
 
-def links(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
-    """Edges (a, b) between nodes that are similar; they connect all nodes that similar pairs connect."""
+def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
+    """(node, component) of the nodes that similar pairs connect with others.
+
+    Elements are sent for few pairs only: first for one near pair of each node, then for the near pairs that those don't
+    connect.
+    """
     w = Window.partitionBy("list")
     rows = _entry_rows(df, text, k, p, q).withColumnRenamed("entry", "list")
     rows = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).where("low < high")
     lists = stored(rows.select("list", "node").distinct(), "jaccard-lists")
     sets = stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "jaccard-sets")
-    found, n_sets = None, sets.count()
+    n_sets = sets.count()
+    edges, label = None, df.sparkSession.createDataFrame([], "node long, component long")
     while True:
         sized = stored(_different(lists), "jaccard-different")
         pairs_left = sized.where(F.col("size") > SHORT).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
@@ -253,12 +269,15 @@ def links(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
         many = sized.where(F.col("size") > bound).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("node")))
         many = many.withColumn("leader", F.max(F.struct("many", "node")).over(w)["node"])
         long = stored(many.where("node <> leader").select("leader", "node").distinct(), "jaccard-long")
-        near = stored(_similar(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "jaccard-links")
-        new = near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        found = new if found is None else found.union(new)
+        near = stored(_near(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "jaccard-near")
+        for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
+            found = stored(_similar(_labelled(which, label).where("NOT linked"), sets, p, q), "jaccard-edges")
+            if not found.isEmpty():
+                edges = found if edges is None else edges.union(found)
+                label = components(edges)
         if long.isEmpty():
-            return found
-        judged = long.join(near.withColumn("linked", F.lit(True)), ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+            return label
+        judged = stored(_labelled(long, label), "jaccard-judged")
         unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
         lists = stored(_shared_differences(judged.join(unsure, "leader", "left_semi"), sets, p, q), "jaccard-lists")
 
@@ -271,7 +290,7 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
     table gives no rows. Of a component, rows with a null key are never the smallest unless all keys are null.
     """
     nodes = stored(_nodes(df, key, text, k), "jaccard-nodes")
-    label = components(links(df, text, k, p, q))
+    label = connected(df, text, k, p, q)
     by_node = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least")).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_component = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = by_node.select("node", "component").join(by_component, "component").select("node", "component_id")
