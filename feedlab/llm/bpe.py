@@ -1,35 +1,30 @@
 """Byte-level BPE: encoding by ranked merges, decoding by concatenating pieces.
 
-The distinct words of the corpus (matches of the splitting pattern) are merged once each: a higher-order fold over the
-word's bytes joins the adjacent pair of lowest rank until none has a rank, reading the ranks from one literal. Bytes are
-written as two hex digits, so joined pieces are joined strings. Texts then look their words up in that table, which goes
-to the tasks if its size allows and is joined otherwise. Decoding is a lookup in a literal and one concatenation.
+Texts are split into words by the splitting pattern in Spark. In each task the distinct words of a slice of texts are
+merged together: a fold over their byte arrays joins, in every word at once, the leftmost adjacent pair of lowest rank
+until no pair has a rank. The rank map is of the vocabulary's size and is broadcast; nothing is shuffled, so a lost task
+is just run again. Decoding is a lookup of each id's piece in a literal and one concatenation, in Spark.
+
+A first version made the fold with Spark's higher-order functions over a table of the corpus's distinct words; README has
+its figures and why it was given up.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import re
-import zlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-import xxhash
-from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_dir, stored
-from .hashed import slices
-
-#: Lists that the ranks are spread over, so that each holds a few pieces only.
-_LISTS = 1 << 14
-_NONE = 2**31 - 1
-#: The word table is given to every task up to this size; beyond it, words are joined.
-MAX_TABLE_BYTES = 256 << 20
+#: Words of more bytes are merged one by one with a heap, as each merge of the common fold looks at every pair.
+LONG_WORD = 400
+_NONE = np.int64(2**31 - 1)
+#: Words whose ids a Python worker remembers from one slice to the next.
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,52 +33,85 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
 
 
-def _literal_ranks(ranks: dict[bytes, int]) -> Column:
-    lists: list[dict[str, int]] = [{} for _ in range(_LISTS)]
-    for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        lists[zlib.crc32(name.encode()) % _LISTS][name] = rank
-    return F.from_json(F.lit(json.dumps(lists)), "array<map<string,int>>")  # folded into one literal
-
-
-def _rank(literal: Column, piece: Column) -> Column:
-    return F.coalesce(F.element_at(F.get(literal, (F.crc32(piece.cast("binary")) % _LISTS).cast("int")), piece), F.lit(_NONE))
-
-
-def merged(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of one word: of the whole word if it has a rank, else of what the ranked merges leave."""
-    literal = _literal_ranks(ranks)
-    rank = lambda x: _rank(literal, x)
-
-    def step(state: Column, _: Column) -> Column:
-        def join(k: Column) -> Column:
-            p, r = state["p"], state["r"]
-            piece = F.concat(F.get(p, k - 1), F.get(p, k))
-
-            def put(x: Column) -> Column:
-                none = F.array().cast("array<int>")
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), x)))).otherwise(none)
-                right = F.when(k + 1 < F.size(p), F.array(rank(F.concat(x, F.get(p, k + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, 1, k - 1), F.array(x), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))).alias("r"),
-                )
-
-            return let(piece, put)
-
-        least = F.array_min(state["r"])
-        return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, state).otherwise(let(F.array_position(state["r"], least).cast("int"), join))
-
-    def fold(h: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substring(h, i, 2))
-
-        def start(p: Column) -> Column:
-            pairs = F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(p)), F.struct(p.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], rank))
-
-        return F.when(rank(h) != _NONE, F.array(rank(h))).otherwise(let(pieces, start))
-
-    return let(F.hex(F.encode(word, "utf-8")), fold)
+class Merger:
+    """Rank map of a vocabulary as sorted pairs, and the fold over words."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.width = max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)  # every single byte has a rank
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    pairs[a * self.width + b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, which is also the id of the joined piece; _NONE for pairs that have none."""
+        wanted = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], _NONE)
+
+    def _long(self, word: bytes) -> list[int]:
+        ids = [self.ranks[word[i : i + 1]] for i in range(len(word))]
+        piece: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        rank = lambda i, j: self.ranks.get(piece[i] + piece[j])
+        heap = [(r, i, i + 1, 2) for i in range(len(word) - 1) if (r := rank(i, i + 1)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, j, size = heapq.heappop(heap)
+            if piece[i] is None or piece[j] is None or after[i] != j or len(piece[i]) + len(piece[j]) != size:
+                continue
+            piece[i], ids[i], piece[j] = piece[i] + piece[j], r, None
+            after[i] = after[j]
+            if after[i] < len(word):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(word) and (n := rank(a, b)) is not None:
+                    heapq.heappush(heap, (n, a, b, len(piece[a]) + len(piece[b])))
+        return [x for x, p in zip(ids, piece, strict=True) if p is not None]
+
+    def fold(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word: of the whole word if it has a rank, else of what the ranked merges leave."""
+        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        rest = []
+        for i, word in enumerate(words):
+            if (whole := self.ranks.get(word)) is not None:
+                out[i] = np.array([whole], np.int32)
+            elif len(word) > LONG_WORD:
+                out[i] = np.array(self._long(word), np.int32)
+            else:
+                rest.append(i)
+        sizes = np.array([len(words[i]) for i in rest], np.int64)
+        ids = self.bytes[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)]
+        active = np.array(rest, np.int64)
+        while len(active):
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            rank = np.append(self._rank(ids[:-1], ids[1:]), _NONE)
+            rank[ends - 1] = _NONE  # a pair lies within one word
+            least = np.minimum.reduceat(rank, starts)
+            done = least == _NONE
+            if done.any():
+                for i, a, b in zip(active[done], starts[done], ends[done], strict=True):
+                    out[i] = ids[a:b].astype(np.int32)
+                stays = np.repeat(~done, sizes)
+                ids, rank, active, sizes, least = ids[stays], rank[stays], active[~done], sizes[~done], least[~done]
+                if not len(active):
+                    break
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+            hits = np.flatnonzero(rank == np.repeat(least, sizes))
+            word = np.searchsorted(ends, hits, "right")
+            first = hits[np.append(True, word[1:] != word[:-1])]  # the leftmost one of each word
+            ids[first] = least
+            ids = np.delete(ids, first + 1)
+            sizes = sizes - 1
+        return out
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -91,89 +119,48 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def word_table(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """(word, h, ids) of the distinct words of all texts."""
-    words = df.select(F.explode(split_words(F.col(text), pattern)).alias("word")).distinct()
-    return words.select("word", F.xxhash64("word").alias("h"), merged(F.col("word"), ranks).alias("ids"))
-
-
-_loaded: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
-def _load(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes, start of each word's ids, all ids), read from the shared folder once a Python worker."""
-    if path not in _loaded:
-        _loaded.clear()
-        fs, where = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-        got = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["h", "ids"]).combine_chunks()
-        h = got["h"].to_numpy()
-        lists = got["ids"].chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32()))
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        order = np.argsort(h)
-        sizes = np.diff(starts)[order]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = lists.values.to_numpy(zero_copy_only=False)
-        _loaded[path] = h[order], ends, ids[_ranges(starts[:-1][order], sizes)].astype(np.int32)
-    return _loaded[path]
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start+1, .. of each range, one after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
-def _encode_by_lookup(df: DataFrame, path: str, words: Column, ids_col: str) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with the token ids of each text, whole, without special tokens.
+
+    Null and empty texts have no ids; repeated rows get equal ids; an empty table stays empty; a column named
+    ``ids_col`` is replaced. Every single byte must have a rank.
+    """
+    df = df.drop(ids_col, "_words")
     rest = df.columns
-    slim = df.withColumn("_words", words)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ends, ids = _load(path)
+        merger = Merger(shared.value)
+        memory: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 lists = part.column("_words")
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 codes = lists.flatten().dictionary_encode()
-                names = codes.dictionary.to_pylist()
-                wanted = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in names), np.uint64, len(names)).view(np.int64)
-                at = np.searchsorted(hashes, wanted)
-                if len(at) and (at[-1] >= len(hashes) or (hashes[np.minimum(at, len(hashes) - 1)] != wanted).any()):
-                    raise LookupError("a word is not in the table")
-                each = at[codes.indices.to_numpy(zero_copy_only=False)]
-                sizes = ends[each + 1] - ends[each]
-                flat = ids[_ranges(ends[each], sizes)]
-                bounds = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]]
-                out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+                names = codes.dictionary.cast(pa.binary()).to_pylist()
+                new = [x for x in names if x not in memory]
+                fresh = dict(zip(new, merger.fold(new), strict=True))
+                found = [fresh[x] if x in fresh else memory[x] for x in names]
+                for x in new[: max(0, REMEMBERED - len(memory))]:
+                    memory[x] = fresh[x]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.concatenate(found) if found else np.empty(0, np.int32)
+                starts = np.cumsum(sizes) - sizes
+                each = codes.indices.to_numpy(zero_copy_only=False)
+                bounds = np.concatenate(([0], np.cumsum(sizes[each])))[offsets - offsets[0]]
+                ids = flat[_ranges(starts[each], sizes[each])]
+                out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], out], names=[*rest, ids_col])
 
-    return slim.mapInArrow(run, f"{schema}, {ids_col} array<int>")
-
-
-def _encode_by_join(df: DataFrame, table: DataFrame, words: Column, ids_col: str) -> DataFrame:
-    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "bpe-rows")
-    each = rows.select("_row", F.posexplode(words).alias("pos", "word")).join(table.select("word", "ids"), "word")
-    ids = each.groupBy("_row").agg(F.collect_list(F.struct("pos", "ids")).alias("x"))
-    ids = ids.select("_row", F.flatten(F.transform(F.array_sort("x"), lambda e: e["ids"])).alias(ids_col))
-    out = rows.join(ids, "_row", "left").drop("_row")
-    return out.withColumn(ids_col, F.coalesce(ids_col, F.array().cast("array<int>")))
-
-
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids_col: str = "ids", max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
-    """``df`` with the token ids of each text, whole, without special tokens.
-
-    Null and empty texts have no ids; repeated rows get equal ids; an empty table stays empty; a column named
-    ``ids_col`` is replaced. Every single byte must have a rank.
-    """
-    df = df.drop(ids_col)
-    spark = df.sparkSession
-    path = shared_dir(spark, "bpe-words")
-    word_table(df, ranks, pattern, text).write.parquet(path)
-    table = spark.read.schema("word string, h long, ids array<int>").parquet(path)
-    size = table.agg((F.count(F.lit(1)) * 16 + F.coalesce(F.sum(F.size("ids")), F.lit(0)) * 4).alias("b")).first()["b"]
-    words = split_words(F.col(text), pattern)
-    return _encode_by_lookup(df, path, words, ids_col) if size <= max_table_bytes else _encode_by_join(df, table, words, ids_col)
+    return df.withColumn("_words", split_words(F.col(text), pattern)).mapInArrow(run, f"{schema}{ids_col} array<int>")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
