@@ -69,9 +69,12 @@ def passes(h1: np.ndarray, h2: np.ndarray, level: Level) -> np.ndarray:
     return ok
 
 
-def _fit(keys: DataFrame, n: int, bits_per_key: float, n_hashes: int) -> Level:
-    """One filter over the columns h1, h2 of ``keys``; words of bits are or-ed by Spark and only they reach the driver."""
-    n_bits = max(64, int(n * bits_per_key) // 64 * 64 + 64)
+def _fit(keys: DataFrame, n: int, bits_per_key: float, n_hashes: int, depth: int) -> Level:
+    """One filter over the columns h1, h2 of ``keys``; words of bits are or-ed by Spark and only they reach the driver.
+
+    Sizes differ by level, so keys that share all their bits in one level seldom do in another.
+    """
+    n_bits = (max(16, int(n * bits_per_key) // 64 + 1) + depth) * 64
     m = F.lit(n_bits).cast("decimal(20,0)")
     two64 = F.lit("18446744073709551616").cast("decimal(38,0)")
     at = []
@@ -129,7 +132,7 @@ def build_cascade(universe: DataFrame, bits_per_key: float = 12.0, n_hashes: int
             return Cascade(tuple(levels))
         if sum(x.bits.nbytes for x in levels) + n * bits_per_key / 8 > max_bytes:
             raise ValueError(f"the cascade needs more than {max_bytes} bytes; raise parts")
-        level = _fit(encode, n, bits_per_key, n_hashes)
+        level = _fit(encode, n, bits_per_key, n_hashes, len(levels))
         levels.append(level)
         encode, others = stored(_passing(others, level), "cascade-level"), encode
     raise ValueError("two keys have the same pair of 64-bit hashes")

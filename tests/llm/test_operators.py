@@ -1,0 +1,245 @@
+"""Operators of the llm subpackage: brute-force twins, round trips, and nulls, empties, ties, repeats and clashing columns."""
+
+import gzip
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from feedlab.llm import bpe, decontam, html, line_dedup, quality, sharding, suffix_tree, urls, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def test_quality_base_statistics(spark):
+    texts = [None, "", " \n\t", "a b c a b c", "é# <x>\n\n dup \n dup \ndup", "w " * 60, " ".join(f"w{i}" for i in range(60)), "x" * 200_000]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines))), i
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t or ""))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+    assert got[6].kept and not got[5].kept
+
+
+def test_quality_lines_by_host(spark):
+    body = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
+    rows = [(i, f"{body(i)}\nShare  this page", "en", "a", 1) for i in range(30)] + [(i, f"{body(i)}\nShare this page", "en", None, 1) for i in range(30, 40)]
+    rows += [(50, "\n".join(["share this page"] * 30), "en", "a", 1), (51, body(51), "en", "a", 1), (51, body(51), "en", "a", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"boiler": F.lit(1), "n_words": F.lit("x"), "_lines": F.lit(2)})
+    out = quality.without_boilerplate(quality.judge(df))
+    got = [(r.doc_id, r.kept, r.text) for r in out.collect()]
+    assert len(got) == len(rows)
+    assert all(kept and text == body(i) for i, kept, text in got if i < 30)
+    assert all(text.endswith("page") for i, _, text in got if 30 <= i < 40)
+    assert [kept for i, kept, _ in got if i == 50] == [False] and [kept for i, kept, _ in got if i == 51] == [True, True]
+    assert quality.judge(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_line_windows_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = [f"line {i}" for i in range(12)]
+    texts = ["\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randrange(0, 25))) for _ in range(40)] + [None, "", "a\nb", "a\nb\nc", "a\nb\nc"]
+    rows = [(i // 2 if i > 40 else i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("clash"))
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    from pyspark.sql.functions import xxhash64
+
+    hashes = {r.text: r.h for r in df.select("text", xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    seen, gone = {}, {}
+    order = sorted({(r[0] is not None, r[0] or 0, hashes[r[1]], r[1] or "") for r in rows})
+    for known, key, _, t in order:
+        full = [(i, x.strip(" \t")) for i, x in enumerate(t.split("\n")) if x.strip()]
+        cut = set()
+        for a, b, c in zip(full, full[1:], full[2:], strict=False):
+            w = (a[1], b[1], c[1])
+            if w in seen:
+                cut |= {a[0], b[0], c[0]}
+            seen.setdefault(w, 1)
+        gone[(known, key, t)] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut) if cut else None
+    want = Counter()
+    for key, t in rows:
+        rest = gone[(key is not None, key or 0, t or "")]
+        want[(key, t if rest is None else rest)] += 1
+    assert got == want
+    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decontamination(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [words(n) for n in (40, 25, 15, 5, 30)]
+    swapped = list(items[0])
+    for i in range(3, 40, 8):
+        swapped[i] = "other"
+    planted = [words(30) + items[0] + words(9), words(3) + swapped, [x.upper() + "," for x in items[1]] + words(50), words(7) + items[2], words(5) + items[3] + words(5), words(20) + items[4][:16] + words(20)]
+    clean = [words(60) for _ in range(30)] + [items[0][:6] + words(40), [], ["w1"]]
+    texts = [" ".join(x) for x in planted + clean] + [None]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
+    df = docs(spark, texts)
+    got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(df.union(df.where("doc_id = 0")), bench).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)}
+    assert (got[0, 0].offset, got[0, 0].matched) == (30, 40) and got[1, 0].matched == 35
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == list(range(6, len(texts)))
+    assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    body = "<p>é " + "x" * 120
+    rows = [(5, "http://a/", body), (3, "http://b/\r\nX: y", body), (3, "http://b/", body), (9, None, None), (1, "http://c/", "short"), (2, "u", "short"), (None, "u", body), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    src, dst = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    warc.write_monolithic(warc.plan_records(pages, "page_id", "url", "html").coalesce(2), src)
+    assert warc.normalise(spark, src, dst).agg(F.sum("n_records")).first()[0] == len(rows)
+    got = sorted(((r.record_id, r.warc_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in warc.read_records(warc.read_index(spark, dst)).collect()), key=str)
+    want = []
+    for key, _, text in rows:
+        data = (text or "").encode()
+        again = text == body and key != 3
+        want.append((f"<urn:page:{'null' if key is None else key}>", "revisit" if again else "response", "<urn:page:3>" if again else None, len(data), hashlib.sha256(data).hexdigest(), None if again else data))
+    assert got == sorted(want, key=str)
+    for f in (tmp_path / "out").glob("*.warc.gz"):  # the archive is also a plain gzip file
+        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"])))
+    assert warc.read_records(warc.read_index(spark, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_suffix_tree_sums_to_one_and_beats_the_root(spark):
+    rng = random.Random(2)
+    follow = {w: rng.sample("abcdefgh", 3) for w in "abcdefgh"}
+
+    def text(n):
+        out = [rng.choice("abcdefgh")]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    texts = [text(60) for _ in range(120)] + [None, "", "never seen words", " A  b "]
+    df = docs(spark, texts).select("doc_id", "text").withColumn("held_out", suffix_tree.held_out(F.col("doc_id"))).withColumn("score", F.lit("clash"))
+    model, words = suffix_tree.fit(df.where("NOT held_out"))
+    got = {r.doc_id: r for r in suffix_tree.score(df, model, words).collect()}
+    toks = {i: [*(t or "").lower().split(), None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
+    c = Counter(w for i, t in toks.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in toks.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+    out = [i for i in toks if held[i] and i < 120]
+    assert sum(got[i].score for i in out) > 0.7 * sum(got[i].base_score for i in out)  # log10, so less negative is better
+    end = np.uint64(suffix_tree.END)
+    for before in (["a"], ["a", follow["a"][0]], ["zzz"]):
+        import xxhash
+
+        h = [np.uint64(xxhash.xxh3_64_intdigest(w)) for w in before]
+        total = 0.0
+        for word in [*model.words, np.uint64(12345)]:
+            seq = np.array([*h, word, end], np.uint64)
+            ids, _, p = suffix_tree._log10_parts(model, seq, np.array([0, len(seq)]))
+            root = 1 / (model.n + model.v + 1) if ids[len(h)] < 0 else 1.0
+            total += 10 ** p[len(h)] * root
+        assert total == pytest.approx(1.0, abs=1e-6)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    m0, w0 = suffix_tree.fit(none)
+    assert suffix_tree.score(none, m0, w0).count() == 0
+    assert suffix_tree.score(docs(spark, ["a b"]).select("doc_id", "text"), m0, w0).first().n_known == 0
+
+
+def test_url_cascade_is_exact(spark):
+    hosts = [f"h{i}.example.{'org' if i % 3 else 'com'}" for i in range(800)]
+    rows = [(i, f"https://{h}/en/{i}?q#f") for i, h in enumerate(hosts)] + [(900, None), (901, "no scheme"), (902, "HTTP://X.Example.NET/en/1"), (903, "http://example.net?x/en/"), (904, "http://a.org/fr/x"), (905, "http://b.example.com/de/"), (906, "x://notexample.net/en/")]
+    listed = {h for i, h in enumerate(hosts) if i % 4 == 0}
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    table = spark.createDataFrame([(h,) for h in listed] + [("elsewhere",), (None,)], "key string")
+    for parts in (1, 3):
+        got = {r.page_id: r for r in urls.judge(pages, table, rules, parts=parts, bits_per_key=4.0).collect()}
+        assert {i: got[i].verdict for i in range(800)} == {i: "block" if h in listed else "allow" for i, h in enumerate(hosts)}
+        assert (got[900].host, got[900].path, got[901].host, got[900].verdict) == ("", "", "", "allow")
+        assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(902, 907)] == [("x.example.net", "/en/1", "example.net/en/", "allow"), ("example.net", "", None, "allow"), ("a.org", "/fr/x", "org/fr/", "allow"), ("b.example.com", "/de/", "example.com/de/", "block"), ("notexample.net", "/en/", "net/", "block")]
+    assert urls.judge(pages.limit(0), table, rules).count() == 0
+
+
+def test_bpe_equals_tiktoken(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ["Hello  world's \n\n  été 漢字 ١٢٣ <|endoftext|>", "\u00a0\u2003x\u0085y\u3000 ", "a" * 9000, "".join(rng.choice("abé漢 1\n\t'.") for _ in range(4000)), "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(3000)), "ab " * 40000, "\U0001f600 e\u0301 ñ", "", None]
+    df = docs(spark, texts).withColumn("ids", F.lit("clash"))
+    out = bpe.encode(df.union(df.where("doc_id = 0")), ranks, public_tokenizers.PATTERN).withColumn("back", bpe.decode(F.col("ids"), ranks))
+    got = out.collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id] or ""), r.doc_id
+        assert bytes(r.back).decode() == (texts[r.doc_id] or "")
+    assert bpe.encode(df.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_shard_table(spark):
+    names = [f"s{i}" for i in range(7)]
+    table = sharding.lookup_table(names, 1009)
+    taken, at, want = set(), [0] * 7, [-1] * 1009
+    prefer = []
+    for n in names:
+        d = hashlib.sha256(n.encode()).digest()
+        o, s = int.from_bytes(d[:8], "big") % 1009, int.from_bytes(d[8:16], "big") % 1008 + 1
+        prefer.append([(o + j * s) % 1009 for j in range(1009)])
+    while len(taken) < 1009:
+        for i in range(7):
+            while len(taken) < 1009 and prefer[i][at[i]] in taken:
+                at[i] += 1
+            if len(taken) < 1009:
+                taken.add(prefer[i][at[i]])
+                want[prefer[i][at[i]]] = i
+    assert table == want and max(Counter(table).values()) - min(Counter(table).values()) <= 1
+    fewer = sharding.lookup_table(names[:-1], 1009)
+    assert sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6) < 0.15 * 1009
+    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("", 2)], "key string, n int").withColumn("slot", F.lit("clash"))
+    got = sharding.place(df, ["key", "n"], names, 1009).collect()
+    for r in got:
+        text = "\x1f".join("~" if v is None else f"={v}" for v in (r.key, r.n))
+        slot = int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % 1009
+        assert (r.slot, r.shard) == (slot, names[table[slot]])
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 1000)
+    assert sharding.place(df.limit(0), ["key"], names, 1009).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (None, ""), ("", ""), ("<nav>x</nav>", ""),
+        ("<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></ul></nav><div class='ad'>Buy</div><article><h1>H &amp; I</h1><p><b>One<br><p>Two\n  words &#233;</p><script>var t='</p>';</script></article><footer>f</footer>", "H & I\nOne\nTwo words é"),
+        ("<article><p>Body.</p><div class='comments'><p>me too</p></div><form>mail</form><aside>side</aside><p>End.</article>", "Body.\nEnd."),
+        ("<div id=menu>a b c</div><div><p>" + "long text " * 20 + "</p><p>short</p></div><div class='cookie-notice'>ok?</div>", ("long text " * 20).strip() + "\nshort"),
+        ("<article>a <!-- x > y --> b < c <p title='>'>d</article>", "a b < c\nd"),
+    ],
+)
+def test_main_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_extract_keeps_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, "<p>x"), (2, "<p>x")], "page_id long, html string").withColumn("text", F.lit("clash"))
+    got = html.extract(df).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 2] and {r.text for r in got if r.page_id == 1} == {""}
+    assert html.extract(df.limit(0)).count() == 0
