@@ -38,6 +38,8 @@ from .hashed import mix, shingle_sets, slices
 MAP_BITS = 1 << 25
 #: Lists of up to so many sets are compared pair by pair; longer ones too where they have few pairs for each set in all.
 SHORT, PAIRS_A_SET = 64, 16
+#: Pairs (two 64-bit ids each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_PAIRS = 1_000_000
 
 
 def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +167,13 @@ def _fold(sketch: Column, words: Column) -> Column:
 
 
 def _with_elems(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """leader, node, and their elements as a and b."""
+    """leader, node, and their elements as a and b. Where the pairs are few enough to broadcast, only their sets are shuffled."""
+    pairs = pairs.select("leader", "node")
     mine = sets.select("node", F.col("elems").alias("b"))
     theirs = sets.select(F.col("node").alias("leader"), F.col("elems").alias("a"))
-    return pairs.select("leader", "node").join(mine, "node").join(theirs, "leader")
+    if pairs.count() <= BROADCAST_PAIRS:
+        return theirs.join(F.broadcast(pairs.select("leader").distinct()), "leader", "left_semi").join(mine.join(F.broadcast(pairs), "node"), "leader")
+    return pairs.join(mine, "node").join(theirs, "leader")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -271,7 +276,8 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
         long = stored(many.where("node <> leader").select("leader", "node").distinct(), "jaccard-long")
         near = stored(_near(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "jaccard-near")
         for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
-            found = stored(_similar(_labelled(which, label).where("NOT linked"), sets, p, q), "jaccard-edges")
+            asked = stored(_labelled(which, label).where("NOT linked"), "jaccard-asked")
+            found = stored(_similar(asked, sets, p, q), "jaccard-edges")
             if not found.isEmpty():
                 edges = found if edges is None else edges.union(found)
                 label = components(edges)
@@ -279,7 +285,7 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
             return label
         judged = stored(_labelled(long, label), "jaccard-judged")
         unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
-        lists = stored(_shared_differences(judged.join(unsure, "leader", "left_semi"), sets, p, q), "jaccard-lists")
+        lists = stored(_shared_differences(stored(judged.join(unsure, "leader", "left_semi"), "jaccard-unsure"), sets, p, q), "jaccard-lists")
 
 
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p: int = 85, q: int = 100) -> DataFrame:
