@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -101,6 +102,22 @@ def test_decontamination(spark):
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_every_accepted_placement(spark):
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for s in combinations(range(len(item)), len(item) - math.ceil(0.8 * len(item))):
+            words = ["other" if k in s else x for k, x in enumerate(item)]
+            for text in (["a", *words, "b"], ["a", "c", *words, "b"], words[1:] if 0 in s else words):
+                want.add((len(texts), i))
+                texts.append(" ".join(text))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs(spark, texts), bench).collect()}
+    assert got == want
+    assert decontam.masks_for([13], 0.8) == [(m, None) for m in decontam.MASKS]
+    assert not any(decontam._lost(n, n - math.ceil(0.7 * n), [m for m, _ in decontam.masks_for([n], 0.7)]) for n in range(8, 14))
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>é " + "x" * 120
     rows = [(5, "http://a/", body), (3, "http://b/\r\nX: y", body), (3, "http://b/", body), (9, None, None), (1, "http://c/", "short"), (2, "u", "short"), (None, "u", body), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9)]
