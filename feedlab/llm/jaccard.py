@@ -36,8 +36,8 @@ from .hashed import mix, shingle_sets, slices
 
 #: Bits of the map of wanted set ids: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
-#: Lists of up to so many sets are compared pair by pair; longer ones too where they have few pairs for each set in all.
-SHORT, PAIRS_A_SET = 64, 16
+#: Lists of up to SHORT sets are compared pair by pair; those of up to LONGEST too where they have few pairs for each set in all. Longer ones never are.
+SHORT, PAIRS_A_SET, LONGEST = 64, 16, 256
 #: Pairs (two 64-bit ids each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_PAIRS = 1_000_000
 
@@ -251,6 +251,11 @@ def _different(lists: DataFrame) -> DataFrame:
     return lists.join(each.groupBy("size", "s", "t").agg(F.min("list").alias("list")).select("list", "size"), "list")
 
 
+def _bound(pairs_left: float, n_sets: int) -> int:
+    """Size up to which lists are expanded pair by pair in one row: a constant, however large the corpus is."""
+    return SHORT if pairs_left > PAIRS_A_SET * n_sets else max(SHORT, LONGEST)
+
+
 def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
     """(node, component) of the nodes that similar pairs connect with others.
 
@@ -266,8 +271,8 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
     edges, label = None, df.sparkSession.createDataFrame([], "node long, component long")
     while True:
         sized = stored(_different(lists), "jaccard-different")
-        pairs_left = sized.where(F.col("size") > SHORT).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
-        bound = SHORT if pairs_left > PAIRS_A_SET * n_sets else sized.agg(F.max("size")).first()[0] or SHORT
+        pairs_left = sized.where(F.col("size").between(SHORT + 1, LONGEST)).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
+        bound = _bound(pairs_left, n_sets)
         short = sized.where(F.col("size") <= bound).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("x"))
         pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("leader"), b.alias("node")))))
         # The leader is the set that is in most long lists: the others of its group are close to it.

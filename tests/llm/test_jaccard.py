@@ -71,6 +71,17 @@ def test_long_lists_go_through_leaders(spark, monkeypatch):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_lists_above_the_constant_are_never_expanded(spark, monkeypatch):
+    assert max(jaccard._bound(0, 0), jaccard._bound(16_000_000, 1_000_000), jaccard._bound(0, 10**12)) <= 256
+    for name, value in (("SHORT", 6), ("LONGEST", 12), ("PAIRS_A_SET", 10**9)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(5, families=3, big=60)
+    used, inner = [], jaccard._shared_differences
+    monkeypatch.setattr(jaccard, "_shared_differences", lambda *a: used.append(1) or inner(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85, 100) and used
+
+
 def test_empty_table_repeated_rows_and_null_keys(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, node string")
     assert jaccard.cluster(empty).count() == 0
