@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
+
+_KINDS = {type(None): "null", bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
 
 
 class UncleanRows(ValueError):
@@ -119,3 +124,35 @@ def partition_audit(df: DataFrame, season: Column, key: str, kind: str) -> DataF
 def unordered_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     """(low, high, n) of pairs whatever their order."""
     return df.groupBy(F.least(left, right).alias("low"), F.greatest(left, right).alias("high")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _json_kinds(text: str | None) -> set[tuple[str, str]]:
+    """(path, type) of every value in a JSON text; ``missing`` for null and ``invalid`` for text that is no JSON."""
+    if text is None:
+        return {("$", "missing")}
+    try:
+        left = [(json.loads(text), "$")]
+    except (ValueError, RecursionError):
+        return {("$", "invalid")}
+    out = set()
+    while left:
+        value, path = left.pop()
+        out.add((path, _KINDS[type(value)]))
+        if isinstance(value, dict):
+            left += [(x, f"{path}.{k}") for k, x in value.items()]
+        elif isinstance(value, list):
+            left += [(x, f"{path}[]") for x in value]
+    return out
+
+
+def json_types(df: DataFrame, by: str, text: str) -> DataFrame:
+    """``by``, ``path`` and the sorted set ``types`` of the values at that path in the JSON texts of all rows, nested ones included."""
+    schema = StructType([*df.select(by).schema, StructField("path", StringType()), StructField("type", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            found = {(g, *x) for g, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _json_kinds(t)}
+            yield pa.RecordBatch.from_pylist([dict(zip((by, "path", "type"), x, strict=True)) for x in found], arrow)
+
+    return df.select(by, text).mapInArrow(run, schema).groupBy(by, "path").agg(F.sort_array(F.collect_set("type")).alias("types"))

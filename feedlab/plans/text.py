@@ -44,11 +44,7 @@ def fixed_point(spark, sf):
 
 @query("json_schema_agg")
 def json_schema_agg(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(F.expr("schema_of_json_agg(props)").alias("schema")) if _has(spark, "schema_of_json_agg") else events(spark, sf).select("event_type", F.explode(F.json_object_keys("props")).alias("path"), F.schema_of_json(F.lit('{"k": 1}')).alias("schema")).distinct()
-
-
-def _has(spark, name: str) -> bool:
-    return spark.catalog.functionExists(name)
+    return q.json_types(events(spark, sf), "event_type", "props").select("event_type", "path", F.array_join("types", "|").alias("schema"))
 
 
 @query("id_pattern_check", "SELECT c_custkey, regexp_matches('market_' || c_custkey, '^market_[A-Za-z0-9][A-Za-z0-9._:-]*$') AS market_ok, regexp_matches(c_name, '^game_[A-Za-z0-9][A-Za-z0-9._:-]*$') AS game_ok, c_mktsegment IN ('BUILDING', 'MACHINERY') AS segment_ok FROM customer")

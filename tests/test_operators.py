@@ -122,3 +122,13 @@ def test_windows(spark):
     df = spark.createDataFrame([("g", 1, 5, None), ("g", 2, None, None), ("g", 3, 7, "x")], "g string, seq int, clock int, team string")
     assert [r.clock for r in plays.carry_forward(df, ["g"], "seq", ["clock"]).orderBy("seq").collect()] == [5, 5, 7]
     assert [r.window_end for r in plays.successor_window(df, ["g"], "seq", F.col("team").isNotNull()).orderBy("seq").collect()] == [3, 3, None]
+
+
+def test_json_types_come_from_the_values(spark):
+    texts = ['{"k": 1, "a": {"b": [1, "x", {"c": null}]}}', '{"k": "1"}', '{"k": 2.5, "d": true}', "{", None]
+    df = spark.createDataFrame([("e", t) for t in texts] + [(None, "[]")], "event_type string, props string")
+    got = {(r.event_type, r.path): r.types for r in quality.json_types(df, "event_type", "props").collect()}
+    assert got == {
+        ("e", "$"): ["invalid", "missing", "object"], ("e", "$.k"): ["integer", "number", "string"], ("e", "$.a"): ["object"], ("e", "$.a.b"): ["array"],
+        ("e", "$.a.b[]"): ["integer", "object", "string"], ("e", "$.a.b[].c"): ["null"], ("e", "$.d"): ["boolean"], (None, "$"): ["array"],
+    }
