@@ -11,11 +11,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduce: Callable, start: Callable, out: str) -> DataFrame:
+def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduce: Callable, start: Callable, out: str, finish: Callable | None = None) -> DataFrame:
     """keys and what ``reduce`` gives out for each row, in order; ``seq`` (if ``out`` has it) counts the rows given out by key.
 
     ``start()`` makes a key's first state; ``reduce(state, row)`` returns the next state and a dict for an output row, or
-    None. A key's rows are sorted by Spark (spilling if need be) and pass through one at a time with the state alone in
+    None. ``finish(state)`` (if given) does the same after a key's last row. A key's rows are sorted by Spark (spilling if need be) and pass through one at a time with the state alone in
     memory. ``order`` must be total, so that the result depends on nothing else.
     """
     schema = StructType([*df.select(*keys).schema, *_parse_datatype_string(out)])
@@ -24,18 +24,27 @@ def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, seq, rows = None, None, 0, []
+
+        def give(given: dict | None) -> None:
+            nonlocal seq
+            if given is not None:
+                seq += 1
+                rows.append({**dict(zip(keys, key, strict=True)), **({"seq": seq} if counted else {}), **given})
+
         for batch in batches:
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in keys)
                 if state is None or own != key:
+                    if state is not None and finish is not None:
+                        give(finish(state))
                     key, state, seq = own, start(), 0
                 state, given = reduce(state, row)
-                if given is not None:
-                    seq += 1
-                    rows.append({**dict(zip(keys, own, strict=True)), **({"seq": seq} if counted else {}), **given})
+                give(given)
                 if len(rows) >= 1000:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
                     rows = []
+        if state is not None and finish is not None:
+            give(finish(state))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold_events
+
 
 def hash_sample(df: DataFrame, columns: list[str], domain: str, seed: str, n: int) -> DataFrame:
     """The n rows of smallest SHA-256 over domain, seed and row: repeatable, whatever the order of the input."""
@@ -53,10 +57,36 @@ def modal_tag(df: DataFrame, tags: Column) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), "tag").limit(1)
 
 
+class Joined:
+    """SHA-256 of a head and ids joined by commas, fed one by one; null ids are left out."""
+
+    def __init__(self, head: str = ""):
+        self.sha, self.comma = hashlib.sha256(head.encode()), b""
+
+    def add(self, ident: str | None) -> None:
+        if ident is not None:
+            self.sha.update(self.comma + ident.encode())
+            self.comma = b","
+
+
 def stream_digest(df: DataFrame, keys: list[str], order: list[str], ident: str, domain: str = "stream") -> DataFrame:
-    """Per key: rows and the SHA-256 over domain, count and ids in order. Digests of digests keep any one task small."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(*order, ident))), lambda x: x[ident].cast("string"))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", F.lit(domain), F.count(F.lit(1)).cast("string"), F.array_join(ids, ",")), 256).alias("digest"))
+    """Per key: rows and the SHA-256 over domain, count and ids in order.
+
+    A row with the key's count is sorted before its rows, which then pass through the hash one at a time; no key's rows
+    are gathered.
+    """
+    by = [F.col(c).alias(f"_o{i}") for i, c in enumerate([*order, ident])]
+    rows = df.select(*keys, *by, F.col(ident).cast("string").alias("_id"))
+    heads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+    def reduce(state: dict, row: dict) -> tuple[dict, None]:
+        if row["_n"] is not None:
+            return {"n": row["_n"], "hash": Joined(f"{domain}|{row['_n']}|")}, None
+        state["hash"].add(row["_id"])
+        return state, None
+
+    both = heads.unionByName(rows, allowMissingColumns=True)
+    return fold_events(both, keys, [F.col("_n").desc_nulls_last(), *[f"_o{i}" for i in range(len(by))]], reduce, dict, "n long, digest string", lambda state: {"n": state["n"], "digest": state["hash"].sha.hexdigest()})
 
 
 def replay_summary(df: DataFrame, kind: str, order: list[str], amount: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import books, cost, labels
+from ..operators import books, cost, labels, review
+from ..operators.fold import fold_events
 from .registry import events, feed, lineitem, quotes, rules, query, shifted
 
 
@@ -81,7 +82,18 @@ def book_rows(spark, sf):
 @query("fold_counts")
 def fold_counts(spark, sf):
     out = books.rebuild_books(book_rows(spark, sf), ["stream"])
-    return out.groupBy("stream").agg(F.count(F.lit(1)).alias("books"), F.count_if(F.array_contains("flags", "crossed_book")).alias("crossed"), F.count_if("regression").alias("regressions"), F.count_if("gap").alias("gaps"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event_id"))), lambda x: x["event_id"].cast("string")), ","), 256).alias("digest"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    rows = out.select("stream", "seq", "event_id", F.col("event_id").cast("string").alias("ident"), flag(F.array_contains("flags", "crossed_book")).alias("crossed"), flag(F.col("regression")).alias("regressions"), flag(F.col("gap")).alias("gaps"))
+
+    def start():
+        return {"books": 0, "crossed": 0, "regressions": 0, "gaps": 0}, review.Joined()
+
+    def reduce(state, row):
+        counts, joined = state
+        joined.add(row["ident"])
+        return ({"books": counts["books"] + 1, **{c: counts[c] + row[c] for c in ("crossed", "regressions", "gaps")}}, joined), None
+
+    return fold_events(rows, ["stream"], ["seq", "event_id"], reduce, start, "books long, crossed long, regressions long, gaps long, digest string", lambda state: {**state[0], "digest": state[1].sha.hexdigest()})
 
 
 @query("cost_markout", """

@@ -1,5 +1,6 @@
 """Hand-made cases for operators that queries don't cover, order independence, leakage."""
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -132,3 +133,16 @@ def test_json_types_come_from_the_values(spark):
         ("e", "$"): ["invalid", "missing", "object"], ("e", "$.k"): ["integer", "number", "string"], ("e", "$.a"): ["object"], ("e", "$.a.b"): ["array"],
         ("e", "$.a.b[]"): ["integer", "object", "string"], ("e", "$.a.b[].c"): ["null"], ("e", "$.d"): ["boolean"], (None, "$"): ["array"],
     }
+
+
+def test_stream_digest_gathers_no_stream(spark):
+    rows = [("a", i % 7, i) for i in range(50)] + [(None, 1, 2), ("b", None, 4), ("b", 1, None), ("b", 1, 3)]
+    df = spark.createDataFrame(rows, "k string, t int, id long").repartition(3)
+    out = review.stream_digest(df, ["k"], ["t"], "id")
+    want = {}
+    for k in ("a", None, "b"):
+        own = sorted(((t is not None, t or 0, i is not None, i or 0) for x, t, i in rows if x == k))
+        ids = ",".join(str(x[3]) for x in own if x[2])
+        want[k] = (len(own), hashlib.sha256(f"stream|{len(own)}|{ids}".encode()).hexdigest())
+    assert {r.k: (r.n, r.digest) for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
