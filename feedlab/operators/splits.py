@@ -72,6 +72,20 @@ def walk_forward_pairs(rows: DataFrame, test: DataFrame, game: str, time: str) -
     return tests.join(span.select(F.col(game).alias("train_game"), F.col("end").alias("_end")), F.col("_end") < F.col("_start")).select("test_game", "train_game")
 
 
+def walk_forward_membership(rows: DataFrame, game: str, time: str) -> DataFrame:
+    """Training lists of all games in one row a game: ``bucket`` is the rank of its end, ``trains_upto`` that of the last end before its start.
+
+    Game t trains for game s exactly where t's ``bucket`` is at most s's ``trains_upto``, so no pairs are made.
+    """
+    span = rows.groupBy(game).agg(F.min(time).alias("start"), F.max(time).alias("end"))
+    points = span.select(F.col("end").alias("t"), F.lit(1).alias("_e")).union(span.select("start", F.lit(0)))
+    line = points.groupBy("t").agg(F.max("_e").alias("_e"))
+    known = line.select("t", F.sum("_e").over(_ordered("t").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "_e")
+    starts = known.select(F.col("t").alias("start"), (F.col("_upto") - F.col("_e")).alias("trains_upto"))
+    ends = known.select(F.col("t").alias("end"), F.col("_upto").alias("bucket"))
+    return span.join(starts, "start").join(ends, "end").select(game, "bucket", "trains_upto")
+
+
 def fold_audit(df: DataFrame, cutoffs: DataFrame, date: str, outcome: str) -> DataFrame:
     """Per cutoff date: training games strictly before it, ties left out, wins among the rest."""
     d = _by_date(df, date, F.count(F.lit(1)).alias("_n"), F.count_if(F.col(outcome) == "tie").alias("_t"), F.count_if(F.col(outcome) == "home").alias("_h"))

@@ -138,6 +138,12 @@ def walk_forward_pairs(spark, sf):
     return splits.walk_forward_pairs(rows, rows.where("game % 40 = 0"), "game", "d")
 
 
+@query("walk_forward_membership")
+def walk_forward_membership(spark, sf):
+    rows = orders(spark, sf).select(F.col("o_custkey").alias("game"), F.col("o_orderdate").alias("d"))
+    return splits.walk_forward_membership(rows, "game", "d")
+
+
 @query("fold_audit", "SELECT c.cutoff, count(*) AS train_games, count(*) FILTER (outcome = 'tie') AS ties, count(*) FILTER (outcome = 'home') AS home_wins FROM (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS cutoff FROM v_games) c JOIN v_games g ON g.date < c.cutoff GROUP BY 1", "v_games")
 def fold_audit(spark, sf):
     g = games(spark, sf)

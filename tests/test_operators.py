@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlab.functions import probability, text
-from feedlab.operators import asof, books, cost, labels, metrics, plays, quality, review
+from feedlab.operators import asof, books, cost, labels, metrics, plays, quality, review, splits
 from feedlab.sources import feeds
 from feedlab.sports import rules
 
@@ -146,3 +146,12 @@ def test_stream_digest_gathers_no_stream(spark):
         want[k] = (len(own), hashlib.sha256(f"stream|{len(own)}|{ids}".encode()).hexdigest())
     assert {r.k: (r.n, r.digest) for r in out.collect()} == want
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_walk_forward_membership_equals_pairs(spark):
+    rows = [(g, (g * 7) % 23 + k * (g % 5)) for g in range(40) for k in range(2)]
+    df = spark.createDataFrame(rows, "game long, d int")
+    span = {g: (min(d for x, d in rows if x == g), max(d for x, d in rows if x == g)) for g, _ in rows}
+    out = splits.walk_forward_membership(df, "game", "d").collect()
+    got = {(s.game, t.game) for s in out for t in out if t.bucket <= s.trains_upto}
+    assert got == {(s, t) for s in span for t in span if span[t][1] < span[s][0]} and len(out) == 40
