@@ -3,13 +3,15 @@
 Markup is stripped so that every block element is one line. A line's weight is the length of its text, or 0 where the
 markup says that it is no article text (menus, headers, footers, sidebars, notices, adverts, forms, comments, or,
 where the page has an article element, anything outside it). The sums of the weights over sliding windows of
-``window`` lines are the distribution: text starts where the sum surges above a threshold and ends where it dives to 0.
+``window`` lines are the distribution: text starts where the sum surges above a threshold, which is lower on pages
+whose highest sum is low; all later lines that weigh something belong to it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ _BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fields
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies ad advert promo related".split())
+#: What follows one of these in a class or id says what the layout around has, not what the element is.
+_LAYOUT_WORDS = frozenset("has with no without".split())
 _WHOLE = frozenset("html body".split())
 
 
@@ -34,7 +38,7 @@ def _is_boiler(tag: str, attrs: str) -> bool:
     if tag in _WHOLE or not attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        words = set(re.split(r"[\s_\-]+", (m[2] or m[3] or m[4] or "").lower()))
+        words = {w for x in (m[2] or m[3] or m[4] or "").lower().split() for w in takewhile(lambda w: w not in _LAYOUT_WORDS, re.split(r"[_\-]+", x))}
         if m[1].lower() == "role":
             if words & _BOILER_ROLES:
                 return True
@@ -107,18 +111,18 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
-    """Text lines between surges and dives of the distribution, joined by one newline; empty for null or blank pages."""
+    """Text lines from the first surge of the distribution on, joined by one newline; empty for null or blank pages."""
     lines = lines_of(html or "")
     inside = any(main and not boiler for _, boiler, main, _ in lines)
-    least = 0 if inside else surge
     weight = [0 if boiler or (inside and not main) or (not inside and 2 * linked > len(text)) else len(text) for text, boiler, main, linked in lines]
     sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    if not any(weight):  # all that is no boilerplate, rather than nothing
+        weight = [0 if boiler else len(text) for text, boiler, _, _ in lines]
+        sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    least = 0 if inside else min(surge, max(sums, default=0) / 4)
     kept, within = [], False
     for i, (text, *_) in enumerate(lines):
-        if not within:
-            within = sums[i] > least
-        elif sums[i] == 0:
-            within = False
+        within = within or sums[i] > least
         if within and weight[i]:
             kept.append(text)
     return "\n".join(kept)
@@ -134,6 +138,7 @@ def extract(pages: DataFrame, html: str = "html", text_col: str = "text") -> Dat
 
     Null and empty pages give an empty text, repeated rows equal texts, an empty table no rows; a column of ``pages``
     named ``text_col`` is replaced. Pages with an article element keep every line of it that is no boilerplate,
-    however short; on other pages, lines before the first window of more than ``surge`` characters are left out.
+    however short; on other pages, lines before the first window of more than ``surge`` characters (a quarter of the highest
+    window, where that is less) are left out, and lines mostly of links, unless the page has no others.
     """
     return pages.withColumn(text_col, _main_text(F.col(html)))

@@ -118,6 +118,16 @@ def test_decontamination_of_every_accepted_placement(spark):
     assert not any(decontam._lost(n, n - math.ceil(0.7 * n), [m for m, _ in decontam.masks_for([n], 0.7)]) for n in range(8, 14))
 
 
+def test_main_text_keeps_short_pages_closing_parts_and_layout_classes():
+    assert html.main_text("<p>A short note.</p><p>And its end.</p>") == "A short note.\nAnd its end."
+    long, advert = "long text " * 20, "<div class='ad-slot'>" + "<p>buy</p>" * 4 + "</div>"
+    assert html.main_text(f"<p>{long}</p>{advert}<p>The end.</p>") == f"{long.strip()}\nThe end."
+    for name in ("layout has-sidebar", "with-comments", "page-no-sidebar"):
+        assert html.main_text(f"<div class='{name}'><article><p>Told here.</p></article></div>") == "Told here."
+    assert html.main_text(f"<p>{long}</p><div class='site-sidebar'><p>menu</p></div>") == long.strip()
+    assert html.main_text("<p><a href='x'>All of it is a link</a></p>") == "All of it is a link"
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>é " + "x" * 120
     rows = [(5, "http://a/", body), (3, "http://b/\r\nX: y", body), (3, "http://b/", body), (9, None, None), (1, "http://c/", "short"), (2, "u", "short"), (None, "u", body), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9)]
