@@ -133,11 +133,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     """
     df = df.drop(ids_col, "_words")
     rest = df.columns
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(Merger(ranks))  # of the vocabulary's size
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(shared.value)
+        merger = shared.value
         memory: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):

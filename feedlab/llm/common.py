@@ -25,17 +25,61 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir (a local one only where that is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local folder serves local masters; on a cluster each executor would write to a disk of its
+    own, so there RuntimeError is raised.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/feedlab/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    return _written(df, shared_dir(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are stored for the length of a ``with`` block; ``drop`` deletes one sooner.
+
+    Nothing that is still to be computed when the block ends may read them: store a result outside of it first.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.top = spark, shared_dir(spark, name)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.top}/{name}-{len(self.paths)}"
+        out = _written(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if table is not None and id(table) in self.paths:
+                self._delete(self.paths[id(table)][1])
+
+    def _delete(self, path: str) -> None:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.top)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,11 +5,11 @@ bands, so that similar sets lie in one band or in neighbouring ones, and each ba
 universe into h+1 segments for its largest h: two similar sets agree in at least one segment. A set is indexed by the
 hash of each of its segments, under the partition of its own band and of the one below.
 
-Cost-based allocation. An empty segment would put all sets that leave it empty into one list, so it has no index entry.
-The missing entry is made up for by the next segment, which also gets the one-deletion neighbourhood of its subset, so
-that it finds sets that differ there by one element. (If the next segment has at most one element, an entry says so.)
-A pair that no entry finds then differs in one element in every segment that both fill, and in one more for each that both
-leave empty, in more than h in all.
+Cost-based allocation. With one error fewer than segments, going round the segments from some point the errors of the
+first l are at most l - 1, for every l: similar sets have a segment without errors before one with at most one. So
+where the lists of a segment's subset cost too much, the next segment is allocated one error: the list is split by the
+one-deletion neighbourhood of the subset there. The lists of empty segments, in which all sets would meet that leave
+one empty, are allocated so from the start; the others by the sizes that are measured once the index stands.
 
 Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
 where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
@@ -23,7 +23,6 @@ Texts with equal shingle sets are one node from the start, so copies cost one ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 from .hashed import mix, shingle_sets, slices
 
+_NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of the map of wanted set ids: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
 #: Lists of up to SHORT sets are compared pair by pair; those of up to LONGEST too where they have few pairs for each set in all. Longer ones never are.
@@ -52,26 +52,52 @@ def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts[:-1]), np.array([(q - p) * (r + r * q // p) // (q + p) + 1 for r in largest])
 
 
-def entries(sets: np.ndarray, band: int, m: int) -> np.ndarray:
+class Segments:
+    """One sorted set under the partition of ``band`` into ``m`` segments: the keys under which it is indexed."""
+
+    def __init__(self, elems: np.ndarray, band: int, m: int) -> None:
+        segment = ((elems >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        self.m, self.salt = m, np.uint64((band << 32) & 0xFFFFFFFFFFFFFFFF)
+        self.full, self.at, self.size = np.unique(segment, return_index=True, return_counts=True)
+        self.spread = mix(elems + np.uint64(0x51ED2701))
+        self.sums = np.add.reduceat(self.spread, self.at)
+        self.plain = self._key(self.full, self.sums)
+
+    def _key(self, segment: np.ndarray, content: np.ndarray) -> np.ndarray:
+        return mix(content ^ mix(segment.astype(np.uint64) + self.salt))
+
+    def _beside(self, segments: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """``own`` key of each segment combined with the subset in the next one: whole, and less each of its elements."""
+        place = np.zeros(self.m, np.int64)
+        place[self.full.astype(np.int64)] = np.arange(1, len(self.full) + 1)
+        after = place[(segments.astype(np.int64) + 1) % self.m] - 1  # -1: empty
+        whole = np.where(after >= 0, self.sums[after], np.uint64(0))
+        n = np.where(after >= 0, self.size[after], 0)
+        first = np.repeat(self.at[after], n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        less = np.repeat(whole, n) - self.spread[first + nth] if len(first) else np.empty(0, np.uint64)
+        return mix(np.concatenate((own, np.repeat(own, n))) + _NEXT * mix(np.concatenate((whole, less)) + _NEXT))
+
+    def entries(self) -> np.ndarray:
+        """Index entries: the subset of each segment; of an empty one, the subset in the next with its one-deletions."""
+        empty = np.setdiff1d(np.arange(self.m, dtype=np.uint64), self.full, assume_unique=True)
+        return np.concatenate((self.plain, self._beside(empty, self._key(empty, np.full(len(empty), 7, np.uint64))))) if len(empty) else self.plain
+
+    def refined(self, long: np.ndarray) -> np.ndarray:
+        """Entries in place of the segments whose own entry is in ``long``."""
+        which = np.isin(self.plain, long)
+        return self._beside(self.full[which], self.plain[which]) if which.any() else np.empty(0, np.uint64)
+
+
+def entries(elems: np.ndarray, band: int, m: int) -> np.ndarray:
     """Index entries (uint64) of one sorted set under the partition of ``band`` into ``m`` segments."""
-    segment = ((sets >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    full, at, size = np.unique(segment, return_index=True, return_counts=True)
-    spread = mix(sets + np.uint64(0x51ED2701))
-    sums = np.add.reduceat(spread, at)
-    salt = np.uint64((band << 32) & 0xFFFFFFFFFFFFFFFF)
-    key = lambda seg, s: mix(s ^ mix(seg.astype(np.uint64) + salt))
-    out = [key(full, sums)]
-    if len(full) < m:
-        filled = np.zeros(m, np.int64)
-        filled[full.astype(np.int64)] = np.arange(1, len(full) + 1)
-        empty = np.flatnonzero(filled == 0)
-        after = filled[(empty + 1) % m]  # 1-based place in full, 0 if empty too
-        few = (after == 0) | (size[after - 1] == 1)
-        out.append(key(empty[few], mix(np.full(int(few.sum()), 7, np.uint64))))
-        for j in after[~few] - 1:
-            own = spread[at[j] : at[j] + size[j]]
-            out.append(key(np.full(len(own), full[j]), sums[j] - own))
-    return np.concatenate(out)
+    return Segments(elems, band, m).entries()
+
+
+def _own_bands(size: int, starts: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """(band, segments) under which a set of this size is indexed; with one segment, only equal sets are similar."""
+    own = int(np.searchsorted(starts, size, "right")) - 1
+    return [(band, int(parts[band])) for band in (own, own - 1) if band >= 0 and parts[band] > 1]
 
 
 def _nodes(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -107,17 +133,38 @@ def _entry_rows(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
                         seen.add(node)
                     if len(s) >= starts[-1]:
                         starts, parts = bands(p, q, 2 * len(s))
-                    own = int(np.searchsorted(starts, len(s), "right")) - 1
-                    for band in (own, own - 1):
-                        if band >= 0 and parts[band] > 1:  # with one segment, only equal sets are similar
-                            got.append(entries(s, band, int(parts[band])))
-                            nodes.append(np.full(len(got[-1]), node, np.int64))
+                    for band, m in _own_bands(len(s), starts, parts):
+                        got.append(entries(s, band, m))
+                        nodes.append(np.full(len(got[-1]), node, np.int64))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(nodes))], names=["entry", "node"])
 
     return df.select(F.col(text).alias("text")).mapInArrow(run, "entry long, node long")
 
 
+def _refined(long: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(list, node) that take the place of the long lists (list, node): lists of segments with what stands in the next one."""
+    by_node = long.groupBy("node").agg(F.collect_set("list").alias("long")).join(sets.select("node", "elems"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, parts = bands(p, q, 1 << 16)
+        for batch in batches:
+            got, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for node, long_, elems in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                mine = long_.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                s = elems.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                if len(s) >= starts[-1]:
+                    starts, parts = bands(p, q, 2 * len(s))
+                each = [Segments(s, band, m) for band, m in _own_bands(len(s), starts, parts)]
+                plain = np.concatenate([x.plain for x in each])
+                out = np.concatenate([*[x.refined(mine) for x in each], np.setdiff1d(mine, plain)])  # other entries stay as they are
+                got.append(out)
+                nodes.append(np.full(len(out), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(nodes))], names=["list", "node"])
+
+    return by_node.select("node", "long", "elems").mapInArrow(run, "list long, node long").distinct()
+
+
 def _sketch(elems: np.ndarray) -> np.ndarray:
     """Parities of the elements' hash buckets as int64 words: 64 buckets or the next power of two above the set's size."""
     n_words = max(1, 1 << max(0, (len(elems) - 1).bit_length() - 6))
@@ -199,56 +246,52 @@ def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(one, "node", "left").join(two, "leader", "left").select("leader", "node", (F.coalesce("_m", "node") == F.coalesce("_l", "leader")).alias("linked"))
 
 
-def _shared_differences(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+def _shared_differences(pairs: DataFrame, sets: DataFrame, p: int, q: int, work: Scratch) -> DataFrame:
     """(list, node) of the next round, from (leader, node, linked) of leaders with a node that is not linked to them.
 
-    Let R not be connected with the leader, so not similar to it, and be similar to S. Their common differences from the leader number at least half of
-    both numbers less their largest distance h. If all of these are elements that both lack, S must have so many elements
-    fewer than the leader: with gap = (q+p)(differences of R) - (q-p)(sizes of R and the leader), which is positive, 2p times
-    that number is at least the gap. Else they share an element that the leader lacks. So nodes are listed under each element
-    that the leader lacks, and under those that they lack only where such a pair can exist. Where more than one element must
-    be shared, a prefix of them will do, rarest in the group first.
+    Let R not be connected with the leader, so not similar to it, and be similar to S. Their common differences from the
+    leader number at least half of both numbers less their largest distance. If all of these are elements that both lack,
+    S must have so many elements fewer than the leader: with gap = (q+p)(differences of R) - (q-p)(sizes of R and the
+    leader), which is positive, 2p times that number is at least the gap. Else they share an element that the leader
+    lacks. So nodes are listed under elements that the leader lacks, and under those that they lack only where such a pair
+    can exist. Of ``x`` elements of which ``least`` must be shared, the x - least + 1 rarest in the group will do. A node
+    that is closer to the leader than any R can be to a set similar to it is left out.
     """
     n = F.size("b")
     most = F.floor((q - p) * (n + F.floor(n * q / p)) / (q + p))  # between this node and any similar one
     rows = _with_elems(pairs, sets).join(pairs, ["leader", "node"]).select("leader", "node", "linked", F.array_except("b", "a").alias("new"), F.array_except("a", "b").alias("lost"), (F.size("a") - n).alias("fewer"), most.alias("most"), (F.size("a") + n).alias("sizes"))
-    rows = stored(rows.withColumn("d", F.size("new") + F.size("lost")).withColumn("gap", (q + p) * F.col("d") - (q - p) * F.col("sizes")), "jaccard-differences")
-    group = rows.groupBy("leader").agg(F.max("fewer").alias("max_fewer"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("min_gap"))
+    rows = work.stored(rows.withColumn("d", F.size("new") + F.size("lost")).withColumn("gap", (q + p) * F.col("d") - (q - p) * F.col("sizes")), "differences")
+    group = rows.groupBy("leader").agg(F.max("fewer").alias("max_fewer"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("min_gap"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("min_d"))
+    rows = rows.join(group, "leader").where(~F.col("linked") | (F.col("d") + F.col("most") >= F.col("min_d")))
     can = (2 * p * F.col("fewer") >= F.col("min_gap")) | (~F.col("linked") & (2 * p * F.col("max_fewer") >= F.col("gap")))
-    least = F.when(F.col("linked"), F.floor(F.col("d") / 2)).otherwise(F.col("d") - F.col("most"))
-    lacking = rows.join(group, "leader").where(can).select("leader", "node", "linked", (F.size("lost") - F.greatest(least, F.lit(1)) + 1).alias("prefix"), F.explode("lost").alias("elem"))
-    # Where R differs a lot, so do common elements that the leader lacks: what is left when those that both lack are all common.
-    rest = F.when(F.col("linked"), F.lit(1)).otherwise(F.greatest(F.col("d") - F.col("most") - F.size("lost"), F.lit(1)))
-    adding = rows.select("leader", "node", "linked", (F.size("new") - rest + 1).alias("prefix"), F.explode("new").alias("elem"))
+    # Common differences of any kind: of two nodes at distance ``most`` at the largest, the other being R or at least as far from the leader as R less ``most``.
+    shared = F.greatest(F.when(F.col("linked"), F.ceil((F.col("min_d") + F.col("d") - F.col("most")) / 2)).otherwise(F.col("d") - F.col("most")), F.lit(1))
+    adding = rows.select("leader", "node", "linked", (F.size("new") - F.greatest(shared - F.size("lost"), F.lit(1)) + 1).alias("prefix"), F.explode("new").alias("elem"))
+    lacking = rows.where(can).select("leader", "node", "linked", (F.size("lost") - shared + 1).alias("prefix"), F.explode("lost").alias("elem"))
+    w, own = Window.partitionBy("leader", "elem"), Window.partitionBy("leader", "node").orderBy("often", "elem")
 
-    def shared(each: DataFrame) -> DataFrame:
-        often = each.groupBy("leader", "elem").agg(F.count(F.lit(1)).alias("often"), F.bool_or(~F.col("linked")).alias("any")).where("often > 1")
-        return each.join(often, ["leader", "elem"], "left")
+    def listed(each: DataFrame) -> DataFrame:
+        counted = each.where("prefix > 0").withColumns({"often": F.count(F.lit(1)).over(w), "any": F.bool_or(~F.col("linked")).over(w)})
+        # An element that one node alone has is in no list, but takes its place at the front of the prefix.
+        return counted.withColumn("nth", F.row_number().over(own)).where("nth <= prefix AND often > 1 AND any").select(F.xxhash64("leader", "elem").alias("list"), "node")
 
-    # An element that one node alone has is in no list, but takes its place at the front of the prefix.
-    nth = F.row_number().over(Window.partitionBy("leader", "node").orderBy(F.coalesce("often", F.lit(1)), "elem"))
-    listed = reduce(DataFrame.unionByName, [shared(x).withColumn("nth", nth).where("nth <= prefix AND any").select("leader", "elem", "node") for x in (adding, lacking)])
-    return listed.select(F.xxhash64("leader", "elem").alias("list"), "node").distinct()
+    return listed(adding).union(listed(lacking)).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """(node, component): the smallest node that ``edges`` (a, b) reach. Labels spread and jump until none changes."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "jaccard-edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "jaccard-labels")
+    both = work.stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "both")
+    step = work.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
+        label, before = step.select("node", "component"), step
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jumped = spread.join(label.select(F.col("node").alias("new"), F.col("component").alias("further")), "new", "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("component"))
-        step = stored(jumped, "jaccard-labels")
-        label = step.select("node", "component")
+        step = work.stored(jumped, "labels")
+        work.drop(before)
         if step.where("old <> component").isEmpty():
-            return label
-
-
-def _different(lists: DataFrame) -> DataFrame:
-    """(list, node, size) of lists of two and more nodes, one of those with the same nodes."""
-    each = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("t")).where("size > 1")
-    return lists.join(each.groupBy("size", "s", "t").agg(F.min("list").alias("list")).select("list", "size"), "list")
+            work.drop(both)
+            return step
 
 
 def _bound(pairs_left: float, n_sets: int) -> int:
@@ -260,37 +303,51 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
     """(node, component) of the nodes that similar pairs connect with others.
 
     Elements are sent for few pairs only: first for one near pair of each node, then for the near pairs that those don't
-    connect.
+    connect. All tables of a round are deleted when it is over.
     """
-    w = Window.partitionBy("list")
-    rows = _entry_rows(df, text, k, p, q).withColumnRenamed("entry", "list")
-    rows = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).where("low < high")
-    lists = stored(rows.select("list", "node").distinct(), "jaccard-lists")
-    sets = stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "jaccard-sets")
-    n_sets = sets.count()
-    edges, label = None, df.sparkSession.createDataFrame([], "node long, component long")
-    while True:
-        sized = stored(_different(lists), "jaccard-different")
-        pairs_left = sized.where(F.col("size").between(SHORT + 1, LONGEST)).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
-        bound = _bound(pairs_left, n_sets)
-        short = sized.where(F.col("size") <= bound).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("x"))
-        pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("leader"), b.alias("node")))))
-        # The leader is the set that is in most long lists: the others of its group are close to it.
-        many = sized.where(F.col("size") > bound).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("node")))
-        many = many.withColumn("leader", F.max(F.struct("many", "node")).over(w)["node"])
-        long = stored(many.where("node <> leader").select("leader", "node").distinct(), "jaccard-long")
-        near = stored(_near(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "jaccard-near")
-        for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
-            asked = stored(_labelled(which, label).where("NOT linked"), "jaccard-asked")
-            found = stored(_similar(asked, sets, p, q), "jaccard-edges")
-            if not found.isEmpty():
-                edges = found if edges is None else edges.union(found)
-                label = components(edges)
-        if long.isEmpty():
-            return label
-        judged = stored(_labelled(long, label), "jaccard-judged")
-        unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
-        lists = stored(_shared_differences(stored(judged.join(unsure, "leader", "left_semi"), "jaccard-unsure"), sets, p, q), "jaccard-lists")
+    spark, w = df.sparkSession, Window.partitionBy("list")
+    with Scratch(spark, "jaccard") as work:
+        rows = _entry_rows(df, text, k, p, q).withColumnRenamed("entry", "list")
+        rows = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).where("low < high")
+        lists = work.stored(rows.select("list", "node").distinct(), "lists")
+        sets = work.stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "sets")
+        n_sets, first = sets.count(), True
+        edges, label = None, spark.createDataFrame([], "node long, component long")
+        while True:
+            sized = work.stored(lists.withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"), "sized")
+            work.drop(lists)
+            if first:  # long lists of equal subsets are split by the subsets of the next segment
+                above = F.col("size") > LONGEST
+                split = work.stored(sized.where(~above).select("list", "node").union(_refined(sized.where(above), sets, p, q)), "refined")
+                work.drop(sized)
+                sized, first = work.stored(split.withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"), "sized"), False
+                work.drop(split)
+            pairs_left = sized.where(F.col("size").between(SHORT + 1, LONGEST)).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
+            bound = _bound(pairs_left, n_sets)
+            short = sized.where(F.col("size") <= bound).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("x")).select("x").distinct()
+            pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("leader"), b.alias("node")))))
+            # The leader is the set that is in most long lists: the others of its group are close to it.
+            many = sized.where(F.col("size") > bound).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("node")))
+            many = many.withColumn("leader", F.max(F.struct("many", "node")).over(w)["node"])
+            long = work.stored(many.where("node <> leader").select("leader", "node").distinct(), "long")
+            near = work.stored(_near(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "near")
+            work.drop(sized)
+            for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
+                asked = work.stored(_labelled(which, label).where("NOT linked"), "asked")
+                found = work.stored(_similar(asked, sets, p, q), "edges")
+                work.drop(asked)
+                if not found.isEmpty():
+                    edges = found if edges is None else edges.union(found)
+                    old, label = label, components(edges, work)
+                    work.drop(old)
+            work.drop(near)
+            judged = work.stored(_labelled(long, label), "judged")
+            work.drop(long)
+            unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
+            left = work.stored(judged.join(unsure, "leader", "left_semi"), "unsure")
+            if left.isEmpty():
+                return stored(label.select("node", "component"), "jaccard-components")
+            lists = work.stored(_shared_differences(left, sets, p, q, work), "lists")
 
 
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p: int = 85, q: int = 100) -> DataFrame:

@@ -1,8 +1,8 @@
 """Quality rules: base statistics of a text, and removal of lines that recur across a host's documents.
 
 Lines are normalised and hashed; for each host (the ``source`` column) the distinct documents that hold a line are
-counted, documents with equal texts once. Short lines above the limits are boilerplate and go; a document that loses
-more than half of its words to that is depleted and rejected. Only DataFrame functions are used.
+counted. Lines above the limits are boilerplate and go; a document that loses more than half of its words to that is
+depleted and rejected. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, words
+from .common import SPACES, let, stored, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -43,7 +43,11 @@ def _repeat_words(w: Column) -> Column:
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null texts have no words."""
+    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; one row in, one row out.
+
+    Null and blank texts have no words and fail; repeated rows get equal values; an empty table stays empty; columns of
+    ``df`` named like the new ones are replaced.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     w = words(F.col(text))
     full_lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -57,41 +61,84 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+", " ")))
+def _normal(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+", " "))
+
+
+def _lines(text: Column) -> Column:
+    """(line hash, words, others_low, others_high) of each line of a text that holds a word; the last two tell its other lines apart."""
+    full = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normal), lambda x: x != "")
+
+    def rows(x: Column) -> Column:
+        marks = F.sort_array(F.array_distinct(F.transform(x, lambda y: F.md5(y))))
+
+        def each(m: Column) -> Column:
+            beside = lambda first, second, own: F.xxhash64(F.coalesce(F.when(F.get(m, first) != own, F.get(m, first)).otherwise(F.get(m, second)), F.lit("")))
+            last = F.size(m) - 1
+            return F.transform(x, lambda y: let(F.md5(y), lambda own: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n"), beside(F.lit(0), F.lit(1), own).alias("low"), beside(last, last - 1, own).alias("high"))))
+
+        return let(marks, each)
+
+    return let(full, rows)
 
 
-def with_line_verdict(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", min_docs: int = 20, max_share: float = 0.01, max_line_words: int = 20, max_removed: float = 0.5) -> DataFrame:
+#: Most boilerplate lines whose hashes are handed to the executors as one literal set (8 bytes each); more are joined.
+LITERAL_LINES = 50_000
+
+
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20, max_share: float = 0.01, max_docs: int = 100) -> DataFrame:
+    """(host, line) of the boilerplate lines of each host; see ``with_line_verdict``. One pass over the texts; no text is shuffled."""
+    each = stored(df.select(F.col(host).alias("host"), F.explode(F.array_distinct(_lines(F.col(text)))).alias("x")).select("host", "x.line", "x.low", "x.high"), "quality-lines")
+    sizes = df.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
+    held = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    often = held.join(sizes.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).where((F.col("n") > max_docs) | (F.col("n") > max_share * F.col("n_host"))).select("host", "line", "n")
+    often = stored(often, "quality-often").select(F.col("host").alias("_h"), F.col("line").alias("_l"), "n")
+    rows = each.join(often, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l")))
+    kinds = rows.groupBy("host", "line", "n").agg(F.greatest(F.count_distinct("low"), F.count_distinct("high")).alias("kinds"))
+    return kinds.where((F.col("kinds") > min_docs) & (2 * F.col("kinds") > F.col("n"))).select("host", "line")
+
+
+def with_line_verdict(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", max_removed: float = 0.5, **limits) -> DataFrame:
     """``df`` with ``boiler`` (hashes of the row's boilerplate lines), ``n_boiler_words`` and ``depleted``.
 
-    A line of at most ``max_line_words`` words is boilerplate if more than ``min_docs`` distinct texts of its host, and
-    more than ``max_share`` of them, hold it. Rows are never dropped. Null and blank texts have no lines; a null host is
-    a host like any other; rows with equal key and host share one set of boilerplate lines, which is right as the lines
-    are judged by host. Columns of ``df`` named like the new ones are replaced.
+    A line is boilerplate if more than ``max_docs`` documents of its host hold it (or more than ``min_docs`` and
+    ``max_share`` of them), and these differ otherwise: documents that share their other lines too, as copies and near
+    copies of one text do, are one kind, and the kinds must be more than ``min_docs`` and more than half of the
+    documents. Kinds are told apart by the smallest and by the largest hash of the other lines, whichever finds more.
+
+    Every row is a document, repeated rows too, and none is dropped. Lines of any length are counted, without regard to
+    case and to the amount of white space; null, empty and blank texts have none. A null host is a host like any other.
+    A count equal to a limit is not above it. An empty table stays empty. Columns of ``df`` named like the new ones are
+    replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.struct(_line_key(x).alias("h"), F.size(words(x)).alias("n"))), lambda x: (x["n"] > 0) & (x["n"] <= max_line_words))
-    base = df.drop("_h", "_k", "_lines", "boiler", "n_boiler_words", "depleted").withColumns({"_lines": lines})
-    slim = df.select(F.col(host).alias("_h"), F.col(key).alias("_k"), F.xxhash64(t).alias("_t"), lines.alias("_lines"))
-    held = slim.select("_h", "_k", "_t", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line"))
-    counts = held.groupBy("_h", "_line").agg(F.count_distinct("_t").alias("n")).where(F.col("n") > min_docs)
-    sizes = slim.groupBy("_h").agg(F.count_distinct("_t").alias("n_host"))
-    frequent = counts.join(sizes, counts["_h"].eqNullSafe(sizes["_h"])).where(F.col("n") > max_share * F.col("n_host")).select(counts["_h"].alias("_fh"), F.col("_line").alias("_fl"))
-    found = held.join(frequent, held["_h"].eqNullSafe(frequent["_fh"]) & (held["_line"] == frequent["_fl"]))
-    by_row = found.groupBy(F.col("_h").alias("_bh"), F.col("_k").alias("_bk")).agg(F.collect_set("_line").alias("boiler"))
-    out = base.join(by_row, base[host].eqNullSafe(by_row["_bh"]) & base[key].eqNullSafe(by_row["_bk"]), "left").drop("_bh", "_bk")
-    gone = F.aggregate(F.filter("_lines", lambda x: F.array_contains("boiler", x["h"])), F.lit(0), lambda a, x: a + x["n"])
-    out = out.withColumn("n_boiler_words", F.when(F.col("boiler").isNull(), F.lit(0)).otherwise(gone).cast("long")).drop("_lines")
+    found = stored(boilerplate(df, host, text, **limits), "quality-boilerplate")
+    base = df.drop("boiler", "n_boiler_words", "depleted")
+    own = F.transform(_lines(F.col(text)), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n")))
+    if found.count() <= LITERAL_LINES:
+        known = [r[0] for r in found.select(F.xxhash64("host", "line")).collect()]  # bounded by LITERAL_LINES
+        hit = F.filter(own, lambda x: F.xxhash64(F.col(host), x["line"]).isin(known)) if known else F.array().cast("array<struct<line:bigint,n:int>>")
+        out = base.withColumn("_hit", hit)
+    else:
+        text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        rows = base.select(F.col(key).alias("_k"), F.col(host).alias("_h"), text_hash.alias("_t"), F.explode(own).alias("x")).join(found, F.col("_h").eqNullSafe(F.col("host")) & (F.col("x.line") == F.col("line")), "left_semi")
+        lost = rows.groupBy("_k", "_h", "_t").agg(F.collect_set("x.line").alias("_found"))
+        same = F.col("_k").eqNullSafe(base[key]) & F.col("_h").eqNullSafe(base[host]) & (F.col("_t") == F.xxhash64(F.coalesce(base[text], F.lit(""))))
+        out = base.join(lost, same, "left").drop("_k", "_h", "_t").withColumn("_hit", F.when(F.col("_found").isNotNull(), F.filter(own, lambda x: F.array_contains("_found", x["line"])))).drop("_found")
+    words_lost = F.coalesce(F.aggregate("_hit", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
+    out = out.withColumns({"boiler": F.when(F.size("_hit") > 0, F.array_distinct(F.transform("_hit", lambda x: x["line"]))), "n_boiler_words": words_lost}).drop("_hit")
     return out.withColumn("depleted", F.col("n_boiler_words") > max_removed * F.col("n_words"))
 
 
 def judge(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """``df`` with the base statistics, the line verdict and ``kept``: neither failed nor depleted."""
+    """``df`` with the base statistics, the line verdict and ``kept``: neither failed nor depleted.
+
+    One row in, one row out; see ``with_base`` and ``with_line_verdict`` for nulls, empties, ties and repeated rows.
+    """
     out = with_line_verdict(with_base(df, text), host, key, text, **limits)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def without_boilerplate(judged: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``judge`` with their boilerplate lines taken out of the text."""
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("boiler", _line_key(x))), "\n")
+    """Rows of ``judge`` with their boilerplate lines taken out of the text; other texts, null ones too, stay as they are."""
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("boiler", F.xxhash64(_normal(x)))), "\n")
     return judged.withColumn(text, F.when(F.col("boiler").isNull(), F.col(text)).otherwise(rest))

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, jaccard, line_dedup, quality, sharding, suffix_tree, urls, warc
-from .common import shared_dir, table
+from .common import shared_dir, stored, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Hosts with one of these in a label make the block list of op5.
-BLOCK_TERMS = r"(^|[.-])(spam|casino|pills|bets|ads)([.-]|$)"
+#: A host with a page whose url has one of these as a part of a label or of the path is on the block list of op5.
+BLOCK_TERMS = r"(^|[/.=_-])(spam|casino|pills|bets|ads)([/.=_-]|$)"
 
 
 def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", suffix_tree.held_out(F.col("doc_id")))
+    docs = stored(suffix_tree.symbols(docs), "lm-symbols")
     model, words = suffix_tree.fit(docs.where("NOT held_out"))
     return suffix_tree.score(docs, model, words)
 
 
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), lambda host: host.rlike(BLOCK_TERMS), URL_RULES)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.col("url").rlike(BLOCK_TERMS)).select(urls.host_of(F.col("url")).alias("key")).distinct()
+    out = urls.judge(pages, listed, URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -83,10 +86,12 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unn
 b AS (SELECT doc_id, source, t, ls, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS fl FROM w),
-x AS (SELECT doc_id, source, t, trim(lower(regexp_replace(unnest(fl), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line FROM b),
-y AS (SELECT *, len(string_split(line, ' ')) AS n FROM x),
-z AS (SELECT source, line, count(DISTINCT t) AS c FROM y WHERE n <= 20 GROUP BY ALL),
-f AS (SELECT source, line FROM z JOIN (SELECT source, count(DISTINCT t) AS s FROM d GROUP BY source) USING (source) WHERE c > 20 AND c > 0.01 * s),
+x AS (SELECT doc_id, source, list_transform(fl, lambda y: trim(lower(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) AS xs FROM b),
+m AS (SELECT *, list_sort(list_distinct(list_transform(xs, lambda y: md5(y)))) AS ms FROM x),
+y AS (SELECT doc_id, source, line, md5(line) AS own, ms, len(string_split(line, ' ')) AS n FROM (SELECT doc_id, source, ms, unnest(xs) AS line FROM m)),
+z AS (SELECT source, line, count(*) AS c, greatest(count(DISTINCT lo), count(DISTINCT hi)) AS kinds FROM (SELECT DISTINCT doc_id, source, line,
+  coalesce(CASE WHEN ms[1] <> own THEN ms[1] ELSE ms[2] END, '') AS lo, coalesce(CASE WHEN ms[len(ms)] <> own THEN ms[len(ms)] WHEN len(ms) > 1 THEN ms[len(ms) - 1] END, '') AS hi FROM y) GROUP BY ALL),
+f AS (SELECT source, line FROM z JOIN (SELECT source, count(*) AS s FROM d GROUP BY source) USING (source) WHERE c > 20 AND (c > 100 OR c > 0.01 * s) AND kinds > 20 AND 2 * kinds > c),
 q AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_boiler_words FROM y JOIN f USING (source, line) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(fl) - len(list_distinct(fl)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(n_boiler_words, 0) AS n_boiler_words,
@@ -113,7 +118,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 rules(rule, name, start, what) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM u JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
-SELECT u.page_id, host, path, rule, coalesce(what, CASE WHEN regexp_matches(host, '(^|[.-])(spam|casino|pills|bets|ads)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN m USING (page_id)""",
+b AS (SELECT DISTINCT host FROM u JOIN pages USING (page_id) WHERE regexp_matches(url, '(^|[/.=_-])(spam|casino|pills|bets|ads)([/.=_-]|$)'))
+SELECT u.page_id, host, path, rule, coalesce(what, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN m USING (page_id)""",
     "op10_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),

@@ -119,8 +119,8 @@ class Cascade:
 def build_cascade(universe: DataFrame, bits_per_key: float = 12.0, n_hashes: int = 6, max_bytes: int = 256 << 20) -> Cascade:
     """Cascade over ``universe`` (key string, listed boolean): every key of the corpus once.
 
-    The filters are broadcast, so their size is checked: above ``max_bytes`` (22 bits for each listed key and the like)
-    ValueError is raised before anything is collected; ``judge`` then works through the keys in ``parts``.
+    The filters are broadcast, so their size is checked: above ``max_bytes`` ValueError is raised before anything is
+    collected. ``judge`` splits the keys so that this does not happen.
     """
     h1, h2 = _hashes(F.col("key"))
     keys = stored(universe.select("listed", h1.alias("h1"), h2.alias("h2")), "cascade-universe")
@@ -131,7 +131,7 @@ def build_cascade(universe: DataFrame, bits_per_key: float = 12.0, n_hashes: int
         if n == 0 and levels:
             return Cascade(tuple(levels))
         if sum(x.bits.nbytes for x in levels) + n * bits_per_key / 8 > max_bytes:
-            raise ValueError(f"the cascade needs more than {max_bytes} bytes; raise parts")
+            raise ValueError(f"the cascade needs more than {max_bytes} bytes; split its keys")
         level = _fit(encode, n, bits_per_key, n_hashes, len(levels))
         levels.append(level)
         encode, others = stored(_passing(others, level), "cascade-level"), encode
@@ -148,30 +148,32 @@ def _member(df: DataFrame, cascade: Cascade):
     return member
 
 
-def judge(pages: DataFrame, listed, rules: list[tuple[str, str]], url: str = "url", parts: int = 1, bits_per_key: float = 12.0, max_bytes: int = 256 << 20) -> DataFrame:
+def n_parts(n_listed: int, bits_per_key: float, max_bytes: int) -> int:
+    """Parts into which the keys are split so that each part's cascade stays well below ``max_bytes``: all its levels take about twice the first one."""
+    return max(1, int(n_listed * bits_per_key / 8 * 4 // max_bytes) + 1)
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url", parts: int | None = None, bits_per_key: float = 12.0, max_bytes: int = 64 << 20) -> DataFrame:
     """``pages`` with host, path, rule and verdict (``allow`` or ``block``).
 
-    ``listed`` is either a function from a host column to a boolean column, or a DataFrame with a column ``key`` of
-    blocked hosts. A fitting rule decides; else listed hosts are blocked. With ``parts`` above 1 the keys are split by
-    hash and each part has a cascade of its own that is broadcast alone, so no broadcast passes ``max_bytes``.
+    ``listed`` has the blocked hosts in a column ``key``, lower-case; repeated and null ones count once and not at all. A
+    fitting rule decides; else listed hosts are blocked. The keys are split by hash into ``parts`` (by default as many as
+    the number of listed hosts of the corpus asks for), each with a cascade of its own, and the cascades are broadcast
+    one by one: no broadcast passes ``max_bytes``, however long the list is.
+
     Null urls and urls without ``://`` have an empty host, which is judged like any other; repeated rows get equal
     verdicts; an empty table stays empty; columns of ``pages`` named like the new ones are replaced.
     """
     base = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    hosts = base.select(F.col("host").alias("key"))
-    if callable(listed):
-        universe = hosts.distinct().withColumn("listed", F.coalesce(listed(F.col("key")), F.lit(False)))
-    else:
-        tagged = hosts.distinct().withColumns({"here": F.lit(True), "listed": F.lit(False)}).unionByName(listed.select(F.col("key")).where("key IS NOT NULL").withColumns({"here": F.lit(False), "listed": F.lit(True)}))
-        universe = tagged.groupBy("key").agg(F.max("here").alias("here"), F.max("listed").alias("listed")).where("here").drop("here")
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("key")), F.lit(parts))
-    out = None
+    tagged = base.select(F.col("host").alias("key")).distinct().withColumns({"here": F.lit(True), "listed": F.lit(False)}).unionByName(listed.select("key").where("key IS NOT NULL").withColumns({"here": F.lit(False), "listed": F.lit(True)}))
+    universe = stored(tagged.groupBy("key").agg(F.max("here").alias("here"), F.max("listed").alias("listed")).where("here").drop("here"), "cascade-hosts")
+    parts = parts or n_parts(universe.where("listed").count(), bits_per_key, max_bytes)
+    part = lambda key: F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts))
+    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    base, out = base.withColumns({"rule": rule, "_fixed": verdict}), None
     for k in range(parts):
-        cascade = build_cascade(universe.where(part == k) if parts > 1 else universe, bits_per_key, max_bytes=max_bytes)
-        member = _member(pages, cascade)
-        rows = base.where(F.pmod(F.xxhash64(F.lit("part"), F.col("host")), F.lit(parts)) == k) if parts > 1 else base
-        rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-        rows = rows.withColumns({"rule": rule, "_fixed": verdict, "_listed": member(*_hashes(F.col("host")))})
-        rows = rows.withColumn("verdict", F.coalesce("_fixed", F.when(F.col("_listed"), "block").otherwise("allow"))).drop("_fixed", "_listed")
+        cascade = build_cascade(universe.where(part("key") == k) if parts > 1 else universe, bits_per_key, max_bytes=max_bytes)
+        rows = base.where(part("host") == k) if parts > 1 else base  # so that a task holds the cascade of its part alone
+        rows = rows.withColumn("_listed", _member(pages, cascade)(*_hashes(F.col("host"))))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.withColumn("verdict", F.coalesce("_fixed", F.when(F.col("_listed"), "block").otherwise("allow"))).drop("_fixed", "_listed")

@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, FileType
@@ -127,10 +128,16 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
             start = 0
 
 
-def _rewrite(source: str, target_dir: str) -> tuple[str, int]:
+def target_name(path: str, source_dir: str) -> str:
+    """Name of the archive that is written for one below ``source_dir``, without endings; no two archives share one."""
+    plain = lambda x: re.sub(r"^\w+:(//[^/]*)?/*", "/", x)
+    own, top = plain(path), plain(source_dir).rstrip("/") + "/"
+    return quote(own.removeprefix(top).removesuffix(".gz"), safe="")
+
+
+def _rewrite(source: str, name: str, target_dir: str) -> tuple[str, int]:
     fs, path = _fs(source)
     out_fs, out_dir = _fs(target_dir)
-    name = re.sub(r"(\.txt|\.warc)?\.gz$", "", path.rsplit("/", 1)[-1])
     mine = f"{out_dir}/_{name}-{uuid.uuid4().hex}"
     count = offset = 0
     out_fs.create_dir(out_dir, recursive=True)
@@ -149,17 +156,20 @@ def _rewrite(source: str, target_dir: str) -> tuple[str, int]:
 def normalise(spark: SparkSession, source_dir: str, target_dir: str) -> DataFrame:
     """Rewrite every archive below ``source_dir``; (archive, n_records) of each. Runs when the result is used.
 
-    An archive is inflated by one task, as a single stream can only be read in order; archives are spread over tasks.
+    An archive is inflated by one task, as a single stream can only be read in order; there is a task for each archive.
+    An archive without records gets an empty archive and index; a folder without archives gives no rows. A stream that
+    is no WARC, or ends within a record, raises ValueError. Repeated records are all kept.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source_dir).select("path")
+    n_files = max(1, files.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                archive, n = _rewrite(path, target_dir)
+                archive, n = _rewrite(path, target_name(path, source_dir), target_dir)
                 yield pa.RecordBatch.from_pydict({"archive": [archive], "n_records": [n]})
 
-    return files.repartition(F.col("path")).mapInArrow(run, "archive string, n_records long")
+    return files.repartition(n_files).mapInArrow(run, "archive string, n_records long")
 
 
 def read_index(spark: SparkSession, archive_dir: str) -> DataFrame:
@@ -187,8 +197,12 @@ def parse_record(record: bytes, with_payload: bool = True) -> dict:
     }
 
 
-def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records that rows of an index point to, each read and inflated alone."""
+def read_records(index: DataFrame, with_payload: bool = True, run_bytes: int = 16 << 20) -> DataFrame:
+    """The records that rows of an index point to, each read and inflated alone.
+
+    Runs of records of about ``run_bytes`` of an archive are read together, by a task for each run. Repeated index rows
+    give repeated records; an index without rows gives none.
+    """
     schema = RECORD_SCHEMA
     names = [x.split()[0] for x in schema.split(", ")]
     types = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n == "payload_bytes" else pa.string()) for n in names])
@@ -209,5 +223,6 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, types)
 
-    slim = index.select("archive", "offset", "length")
-    return slim.repartition(F.col("archive"), (F.col("offset") / F.lit(64 << 20)).cast("long")).sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    slim = index.select("archive", "offset", "length", F.expr(f"offset DIV {run_bytes}").alias("part"))
+    n_parts = slim.select("archive", "part").distinct().count()
+    return slim.repartition(max(1, n_parts), "archive", "part").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
