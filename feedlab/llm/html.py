@@ -1,16 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element is one line. A line's weight is the length of its text, or 0 where the
-markup says that it is no article text (menus, headers, footers, sidebars, notices, adverts, forms, comments, or,
-where the page has an article element, anything outside it). The sums of the weights over sliding windows of
-``window`` lines are the distribution: text starts where the sum surges above a threshold, which is lower on pages
-whose highest sum is low; all later lines that weigh something belong to it.
+Markup is stripped so that every block element is one line. A line weighs as much text as the part of the page around it
+has, less what stands in links; menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing.
+The distribution of the weights over sliding windows of lines surges where the text begins and dives where it ends; the
+threshold between is a share of the page's own highest value. Lines between a surge and the dive after it are the text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from dataclasses import dataclass
 from itertools import takewhile
 
 import pandas as pd
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>""", re.S | re.I)
+#: Unquoted parts of a tag end at the next "<", so a page of tags that never close is read in linear time.
+_REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b{_REST}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_REST})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<[!?][^<>]*+>""", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -30,6 +33,8 @@ _COMMENT_WORDS = frozenset("comment comments reply replies ad advert promo relat
 #: What follows one of these in a class or id says what the layout around has, not what the element is.
 _LAYOUT_WORDS = frozenset("has with no without".split())
 _WHOLE = frozenset("html body".split())
+#: Blocks that are lines of what is around them, not parts of the page.
+_LINES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption address hr table tbody thead tfoot tr td th caption html body center details summary hgroup".split())
 
 
 def _is_boiler(tag: str, attrs: str) -> bool:
@@ -47,29 +52,44 @@ def _is_boiler(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, is boilerplate, is inside article or main, characters inside links) of each block, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, boilerplate, in article
+@dataclass(frozen=True)
+class Line:
+    """A block of a page: its text, the part of the page that it stands in, and what speaks against it."""
+
+    text: str
+    part: int  # number of the innermost article or main element, else of the block around the line
+    main: bool  # in an article or main element
+    boiler: bool
+    linked: int  # characters inside links
+
+
+def lines_of(html: str) -> list[Line]:
+    """The blocks of a page in order, without markup."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, boilerplate, in article, part
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, n = 0, 0, 0, 0
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, stack[-1][1], stack[-1][2], linked))
+            _, boiler, main, part = stack[-1]
+            out.append(Line(text, part, main, boiler, linked))
         parts.clear()
         linked = 0
 
-    def pop_to(tag: str, stop: frozenset | None) -> bool:
+    def pop_to(tag: str, stop: frozenset | None) -> None:
+        if not open_[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
+                open_.subtract(x[0] for x in stack[k:])
                 del stack[k:]
-                return True
+                return
             if stop is not None and stack[k][0] not in stop:
-                return False
-        return False
+                return
 
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -97,35 +117,71 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             pop_to("p", _INLINE)
         if tag == "li":
             pop_to("li", _INLINE | {"p"})
-        _, boiler, inside = stack[-1]
+        _, boiler, inside, part = stack[-1]
         hit = _is_boiler(tag, m[4] or m[7] or "")
         if tag == "a":
             links += 1
         if hit and not block and parts:  # an inline advert ends the line before it
             flush()
-        stack.append((tag, boiler or hit, inside or tag in ("article", "main")))
+        main = tag in ("article", "main")
+        if main or (not inside and block and tag not in _LINES):
+            n += 1
+            part = n
+        stack.append((tag, boiler or hit, inside or main, part))
+        open_[tag] += 1
     if at < len(html):
         parts.append(html[at:])
     flush()
     return out
 
 
-def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
-    """Text lines from the first surge of the distribution on, joined by one newline; empty for null or blank pages."""
+def weights(lines: list[Line]) -> list[float]:
+    """Weight of each line: the characters of its part of the page, less those in links; 0 for boilerplate.
+
+    The lines of a part stand or fall together, so that a short line weighs as much as the part that it belongs to. An
+    article or main element is one part, whatever blocks are in it, and counts twice.
+    """
+    own = [0 if x.boiler else len(x.text) - min(x.linked, len(x.text)) * (not x.main) for x in lines]
+    size: Counter[int] = Counter()
+    for x, w in zip(lines, own, strict=True):
+        size[x.part] += w * (1 + x.main)
+    return [float(size[x.part]) if not x.boiler else 0.0 for x in lines]
+
+
+def between(weight: list[float], window: int, share: float) -> list[bool]:
+    """Whether each line lies between a surge and the dive after it.
+
+    The distribution is the mean of what weighs something among ``window`` lines, centred. It surges where it rises above
+    ``share`` of its highest value and dives where it falls to that again; the first and the last line in between that
+    are as heavy themselves are the surge point and the dive point.
+    """
+    half, sums = window // 2, []
+    for i in range(len(weight)):
+        near = [w for w in weight[max(0, i - half) : i + half + 1] if w]
+        sums.append(sum(near) / len(near) if near else 0.0)
+    least = share * max(sums, default=0.0)
+    out, start, last = [False] * len(weight), None, None
+    for i, (w, s) in enumerate(zip(weight, sums, strict=True)):
+        if s <= least:
+            start = None
+        elif w > least:
+            start = i if start is None else start
+            for k in range(start if start == i else last + 1, i + 1):
+                out[k] = True
+            last = i
+    return out
+
+
+def main_text(html: str | None, window: int = 3, share: float = 0.25) -> str:
+    """The lines from each surge to its dive that weigh something, joined by one newline; empty for null or blank pages.
+
+    A page of nothing but links keeps all that is no boilerplate.
+    """
     lines = lines_of(html or "")
-    inside = any(main and not boiler for _, boiler, main, _ in lines)
-    weight = [0 if boiler or (inside and not main) or (not inside and 2 * linked > len(text)) else len(text) for text, boiler, main, linked in lines]
-    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-    if not any(weight):  # all that is no boilerplate, rather than nothing
-        weight = [0 if boiler else len(text) for text, boiler, _, _ in lines]
-        sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-    least = 0 if inside else min(surge, max(sums, default=0) / 4)
-    kept, within = [], False
-    for i, (text, *_) in enumerate(lines):
-        within = within or sums[i] > least
-        if within and weight[i]:
-            kept.append(text)
-    return "\n".join(kept)
+    weight = weights(lines)
+    if not any(weight):
+        weight, share = [0.0 if x.boiler else float(len(x.text)) for x in lines], 0.0
+    return "\n".join(x.text for x, w, ok in zip(lines, weight, between(weight, window, share), strict=True) if ok and w)
 
 
 @F.pandas_udf(StringType())
@@ -137,8 +193,6 @@ def extract(pages: DataFrame, html: str = "html", text_col: str = "text") -> Dat
     """``pages`` with the main text of each row, from the whole html; one row in, one row out.
 
     Null and empty pages give an empty text, repeated rows equal texts, an empty table no rows; a column of ``pages``
-    named ``text_col`` is replaced. Pages with an article element keep every line of it that is no boilerplate,
-    however short; on other pages, lines before the first window of more than ``surge`` characters (a quarter of the highest
-    window, where that is less) are left out, and lines mostly of links, unless the page has no others.
+    named ``text_col`` is replaced. Nothing between a surge and its dive is dropped but boilerplate, however short.
     """
     return pages.withColumn(text_col, _main_text(F.col(html)))

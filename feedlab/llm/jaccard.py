@@ -6,10 +6,11 @@ universe into h+1 segments for its largest h: two similar sets agree in at least
 hash of each of its segments, under the partition of its own band and of the one below.
 
 Cost-based allocation. With one error fewer than segments, going round the segments from some point the errors of the
-first l are at most l - 1, for every l: similar sets have a segment without errors before one with at most one. So
-where the lists of a segment's subset cost too much, the next segment is allocated one error: the list is split by the
-one-deletion neighbourhood of the subset there. The lists of empty segments, in which all sets would meet that leave
-one empty, are allocated so from the start; the others by the sizes that are measured once the index stands.
+first l are at most l - 1, for every l. So similar sets have a segment without errors before one with at most one, and
+at most two in the one after that too. An empty segment would cost a list in which all sets meet that leave it empty.
+There the next segment is allocated one error: its subset and one-deletion neighbourhood take the place of the list.
+Where the index shows that such a list is still long (the next segment may be all but empty), two errors are allocated
+in the segment after that, and the list is split by the neighbourhood of its subset.
 
 Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
 where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
@@ -66,27 +67,47 @@ class Segments:
     def _key(self, segment: np.ndarray, content: np.ndarray) -> np.ndarray:
         return mix(content ^ mix(segment.astype(np.uint64) + self.salt))
 
-    def _beside(self, segments: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """``own`` key of each segment combined with the subset in the next one: whole, and less each of its elements."""
+    def _subset(self, segment: int) -> np.ndarray:
+        """Spread elements of the subset in a segment (counted round the ring)."""
+        place = np.searchsorted(self.full, segment % self.m)
+        there = place < len(self.full) and self.full[place] == segment % self.m
+        return self.spread[self.at[place] : self.at[place] + self.size[place]] if there else self.spread[:0]
+
+    def _gaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, empty segment of each): an empty segment with the subset in the next one, whole and less each element."""
+        empty = np.setdiff1d(np.arange(self.m, dtype=np.uint64), self.full, assume_unique=True)
+        if not len(empty):
+            return empty, empty
         place = np.zeros(self.m, np.int64)
         place[self.full.astype(np.int64)] = np.arange(1, len(self.full) + 1)
-        after = place[(segments.astype(np.int64) + 1) % self.m] - 1  # -1: empty
+        after = place[(empty.astype(np.int64) + 1) % self.m] - 1  # -1: empty too
         whole = np.where(after >= 0, self.sums[after], np.uint64(0))
         n = np.where(after >= 0, self.size[after], 0)
-        first = np.repeat(self.at[after], n)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        less = np.repeat(whole, n) - self.spread[first + nth] if len(first) else np.empty(0, np.uint64)
-        return mix(np.concatenate((own, np.repeat(own, n))) + _NEXT * mix(np.concatenate((whole, less)) + _NEXT))
+        less = np.repeat(whole, n) - self.spread[np.repeat(self.at[after], n) + nth]
+        own = self._key(empty, np.full(len(empty), 7, np.uint64))
+        return _with(np.concatenate((own, np.repeat(own, n))), np.concatenate((whole, less))), np.concatenate((empty, np.repeat(empty, n)))
 
     def entries(self) -> np.ndarray:
-        """Index entries: the subset of each segment; of an empty one, the subset in the next with its one-deletions."""
-        empty = np.setdiff1d(np.arange(self.m, dtype=np.uint64), self.full, assume_unique=True)
-        return np.concatenate((self.plain, self._beside(empty, self._key(empty, np.full(len(empty), 7, np.uint64))))) if len(empty) else self.plain
+        """Index entries: the subset of each segment; of an empty one, the neighbourhood of that in the next."""
+        return np.concatenate((self.plain, self._gaps()[0]))
+
+    def refined(self, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of empty segments that are in ``long``, the entries in their place)."""
+        keys, of = self._gaps()
+        hit = np.isin(keys, long) if self.m > 2 else np.zeros(len(keys), bool)
+        out = [keys[:0]]
+        for key, segment in zip(keys[hit], of[hit], strict=True):
+            e = self._subset(int(segment) + 2)
+            i, j = np.triu_indices(len(e), 1)
+            total = e.sum(dtype=np.uint64)
+            out.append(_with(np.full(1 + len(e) + len(i), key), np.concatenate(([total], total - e, total - e[i] - e[j]))))
+        return keys[hit], np.concatenate(out)
+
 
-    def refined(self, long: np.ndarray) -> np.ndarray:
-        """Entries in place of the segments whose own entry is in ``long``."""
-        which = np.isin(self.plain, long)
-        return self._beside(self.full[which], self.plain[which]) if which.any() else np.empty(0, np.uint64)
+def _with(key: np.ndarray, subset: np.ndarray) -> np.ndarray:
+    """Keys combined with the sums of subsets."""
+    return mix(key + _NEXT * mix(subset + _NEXT))
 
 
 def entries(elems: np.ndarray, band: int, m: int) -> np.ndarray:
@@ -143,7 +164,7 @@ def _entry_rows(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
 
 
 def _refined(long: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(list, node) that take the place of the long lists (list, node): lists of segments with what stands in the next one."""
+    """(list, node) that take the place of the long lists (list, node): those of empty segments are split, others stay."""
     by_node = long.groupBy("node").agg(F.collect_set("list").alias("long")).join(sets.select("node", "elems"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +176,8 @@ def _refined(long: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 s = elems.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 if len(s) >= starts[-1]:
                     starts, parts = bands(p, q, 2 * len(s))
-                each = [Segments(s, band, m) for band, m in _own_bands(len(s), starts, parts)]
-                plain = np.concatenate([x.plain for x in each])
-                out = np.concatenate([*[x.refined(mine) for x in each], np.setdiff1d(mine, plain)])  # other entries stay as they are
+                each = [Segments(s, band, m).refined(mine) for band, m in _own_bands(len(s), starts, parts)]
+                out = np.concatenate([np.setdiff1d(mine, np.concatenate([old for old, _ in each])), *[new for _, new in each]]) if each else mine
                 got.append(out)
                 nodes.append(np.full(len(out), node, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(nodes))], names=["list", "node"])
@@ -316,8 +336,8 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
         while True:
             sized = work.stored(lists.withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"), "sized")
             work.drop(lists)
-            if first:  # long lists of equal subsets are split by the subsets of the next segment
-                above = F.col("size") > LONGEST
+            if first:  # long lists of empty segments are split
+                above = F.col("size") > SHORT
                 split = work.stored(sized.where(~above).select("list", "node").union(_refined(sized.where(above), sets, p, q)), "refined")
                 work.drop(sized)
                 sized, first = work.stored(split.withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"), "sized"), False
