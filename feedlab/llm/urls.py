@@ -148,9 +148,9 @@ def _member(df: DataFrame, cascade: Cascade):
     return member
 
 
-def n_parts(n_listed: int, bits_per_key: float, max_bytes: int) -> int:
-    """Parts into which the keys are split so that each part's cascade stays well below ``max_bytes``: all its levels take about twice the first one."""
-    return max(1, int(n_listed * bits_per_key / 8 * 4 // max_bytes) + 1)
+def n_parts(n_keys: float, bits_per_key: float, max_bytes: int) -> int:
+    """Parts into which the keys are split so that each part's cascade stays below half of ``max_bytes``."""
+    return int(2 * n_keys * bits_per_key / 8 // max_bytes) + 1
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url", parts: int | None = None, bits_per_key: float = 12.0, max_bytes: int = 64 << 20) -> DataFrame:
@@ -167,7 +167,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url
     base = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     tagged = base.select(F.col("host").alias("key")).distinct().withColumns({"here": F.lit(True), "listed": F.lit(False)}).unionByName(listed.select("key").where("key IS NOT NULL").withColumns({"here": F.lit(False), "listed": F.lit(True)}))
     universe = stored(tagged.groupBy("key").agg(F.max("here").alias("here"), F.max("listed").alias("listed")).where("here").drop("here"), "cascade-hosts")
-    parts = parts or n_parts(universe.where("listed").count(), bits_per_key, max_bytes)
+    size = universe.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("rest")).first()
+    parts = parts or n_parts(1.1 * size["listed"] + 0.01 * size["rest"], bits_per_key, max_bytes)  # a level lets well under 1 % of the others pass
     part = lambda key: F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     base, out = base.withColumns({"rule": rule, "_fixed": verdict}), None

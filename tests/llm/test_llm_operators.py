@@ -149,46 +149,84 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(warc.read_index(spark, f"file://{tmp_path}/none")).count() == 0
 
 
-def test_suffix_tree_sums_to_one_and_beats_the_root(spark):
+def brute_tree(texts, limits):
+    """Score function of the suffix tree that the given training texts (lists of words) make, built with dictionaries."""
+    end = None
+    seqs = [[end, *t, end] for t in texts]
+    c = Counter(w for s in seqs for w in s[1:])
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 1) / (n + v + 1)
+    known = {w for w in c if c[w] >= limits.min_count}
+    follow = {}
+    for s in seqs:
+        for i in range(1, len(s)):
+            for d in range(1, min(limits.depth, i) + 1):
+                follow.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+    size = lambda x: c[x[0]] if len(x) == 1 else follow.get(x[:-1], Counter())[x[-1]]
+    tree = {}
+
+    def prob(w, context):
+        for d in range(min(len(context), limits.depth), 0, -1):
+            if (x := tuple(context[-d:])) in tree:
+                p, rest = tree[x]
+                return p.get(w, 0.0) + rest * prob(w, context[len(context) - d + 1 :])
+        return root(w)
+
+    for x in sorted(follow, key=len):
+        if size(x) < limits.min_count or not all(w in known for w in x):
+            continue
+        kept = {w: k for w, k in follow[x].items() if k >= limits.min_count and w in known}
+        above = {w: prob(w, x[1:]) for w in kept}
+        share = {w: k / size(x) for w, k in kept.items()}
+        unseen = max(1 - min(sum(share.values()), 1.0), 1e-9)
+        gain = sum(q * math.log(q / above[w]) for w, q in share.items()) + unseen * math.log(unseen / (1 - min(sum(above.values()), 1 - 1e-9)))
+        if size(x) * gain >= limits.min_gain:
+            p = {w: (k - limits.discount) / size(x) for w, k in kept.items()}
+            tree[x] = p, 1 - sum(p.values())
+    return lambda t: sum(math.log10(prob(w, [end, *t][: i + 1])) for i, w in enumerate([*t, end])), c, n, v, tree
+
+
+def test_suffix_tree_equals_brute_force(spark):
     rng = random.Random(2)
-    follow = {w: rng.sample("abcdefgh", 3) for w in "abcdefgh"}
+    follow = {a + b: rng.sample("abcdefgh", 3) for a in "abcdefgh" for b in "abcdefgh"}
 
-    def text(n):
-        out = [rng.choice("abcdefgh")]
-        while len(out) < n:
-            out.append(rng.choice(follow[out[-1]]))
+    def text(k):
+        out = [rng.choice("abcdefgh"), rng.choice("abcdefgh")]
+        while len(out) < k:
+            out.append(rng.choice(follow[out[-2] + out[-1]]))
         return " ".join(out)
 
-    texts = [text(60) for _ in range(120)] + [None, "", "never seen words", " A  b "]
+    texts = [text(rng.randrange(2, 60)) for _ in range(120)] + [None, "", "never seen words", " A  b ", "a " * 30_000] + ["rare but twice told tale of one"] * 9
     df = docs(spark, texts).select("doc_id", "text").withColumn("held_out", suffix_tree.held_out(F.col("doc_id"))).withColumn("score", F.lit("clash"))
-    model, words = suffix_tree.fit(df.where("NOT held_out"))
-    got = {r.doc_id: r for r in suffix_tree.score(df, model, words).collect()}
-    toks = {i: [*(t or "").lower().split(), None] for i, t in enumerate(texts)}
+    form = suffix_tree.symbols(df.repartition(3))
+    toks = {i: [w.lower() for w in WORD.findall(t or "")] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    c = Counter(w for i, t in toks.items() if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in toks.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+    for limits in (suffix_tree.Limits(), suffix_tree.Limits(depth=1), suffix_tree.Limits(depth=6, min_count=3, min_gain=1.0)):
+        model, words = suffix_tree.fit(form.where("NOT held_out"), limits)
+        got = {r.doc_id: r for r in suffix_tree.score(form, model, words).collect()}
+        score, c, n, v, tree = brute_tree([t for i, t in toks.items() if not held[i]], limits)
+        assert sum(int((x.rest < 1).sum()) for x in model.levels) == sum(1 for p, _ in tree.values() if p) and max(map(len, tree)) == limits.depth
+        for i, t in toks.items():
+            r, end = got[i], [*t, None]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(end), sum(c[w] > 0 for w in end), n)
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in end))
+            assert r.score == pytest.approx(score(t), rel=1e-9), i
     out = [i for i in toks if held[i] and i < 120]
     assert sum(got[i].score for i in out) > 0.7 * sum(got[i].base_score for i in out)  # log10, so less negative is better
-    end = np.uint64(suffix_tree.END)
-    for before in (["a"], ["a", follow["a"][0]], ["zzz"]):
-        import xxhash
-
-        h = [np.uint64(xxhash.xxh3_64_intdigest(w)) for w in before]
-        total = 0.0
-        for word in [*model.words, np.uint64(12345)]:
-            seq = np.array([*h, word, end], np.uint64)
-            ids, _, p = suffix_tree._log10_parts(model, seq, np.array([0, len(seq)]))
-            root = 1 / (model.n + model.v + 1) if ids[len(h)] < 0 else 1.0
-            total += 10 ** p[len(h)] * root
-        assert total == pytest.approx(1.0, abs=1e-6)
-    none = spark.createDataFrame([], "doc_id long, text string")
+    none = suffix_tree.symbols(spark.createDataFrame([], "doc_id long, text string"))
     m0, w0 = suffix_tree.fit(none)
     assert suffix_tree.score(none, m0, w0).count() == 0
-    assert suffix_tree.score(docs(spark, ["a b"]).select("doc_id", "text"), m0, w0).first().n_known == 0
+    assert suffix_tree.score(suffix_tree.symbols(docs(spark, ["a b"]).select("doc_id", "text")), m0, w0).first().n_known == 0
+
+
+def test_suffix_tree_bounds_keep_the_most_frequent(spark):
+    texts = [f"a b c d{i % 7} a b c e{i % 5}" for i in range(60)]
+    form = suffix_tree.symbols(docs(spark, texts).select("doc_id", "text"))
+    limits = suffix_tree.Limits(max_words=6, max_contexts=4, max_entries=5)
+    model, words = suffix_tree.fit(form, limits)
+    assert len(model.words) <= 6 and all(len(x.contexts) <= 4 and len(x.entries) <= 5 for x in model.levels) and len(model.levels) > 1
+    got = suffix_tree.score(form, model, words).collect()
+    assert len(got) == 60 and all(r.n_known == r.n_tokens == 9 and r.score > r.base_score for r in got)
 
 
 def test_url_cascade_is_exact(spark):
@@ -204,6 +242,7 @@ def test_url_cascade_is_exact(spark):
         assert (got[900].host, got[900].path, got[901].host, got[900].verdict) == ("", "", "", "allow")
         assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(902, 907)] == [("x.example.net", "/en/1", "example.net/en/", "allow"), ("example.net", "", None, "allow"), ("a.org", "/fr/x", "org/fr/", "allow"), ("b.example.com", "/de/", "example.com/de/", "block"), ("notexample.net", "/en/", "net/", "block")]
     assert urls.judge(pages.limit(0), table, rules).count() == 0
+    assert urls.n_parts(10, 12.0, 1 << 20) == 1 and urls.n_parts(10**9, 12.0, 64 << 20) > 40
 
 
 def test_bpe_equals_tiktoken(spark):
