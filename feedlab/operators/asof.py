@@ -15,14 +15,14 @@ def _timeline(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time
 
 
 def _flat(df: DataFrame, keys: list[str], points: DataFrame, take: list[str], found: Column) -> DataFrame:
-    got = df.withColumn("_found", found).where("_side = 1")
+    got = df.withColumn("_found", F.when(F.col("_t").isNotNull(), found)).where("_side = 1")
     return got.select(*keys, *[F.col(f"_point.{c}").alias(c) for c in points.columns if c not in keys], *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
 def first_at_or_after(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None = None, point_tie: str | None = None, strict: bool = False) -> DataFrame:
     """Each point with ``take`` of the first row at or after it (strictly after it with ``strict``), null if there is none.
 
-    Rows of equal time come in the order of ``tie``; with ``point_tie`` a point has a place among them.
+    A point without a time has no row. Rows of equal time come in the order of ``tie``; with ``point_tie`` a point has a place among them.
     """
     both = _timeline(points, rows, keys, at, time, take, tie, point_tie)
     side = F.col("_side").desc() if strict else F.col("_side").asc()

@@ -96,39 +96,80 @@ def fold_counts(spark, sf):
     return fold_events(rows, ["stream"], ["seq", "event_id"], reduce, start, "books long, crossed long, regressions long, gaps long, digest string", lambda state: {**state[0], "digest": state[1].sha.hexdigest()})
 
 
-@query("cost_markout", """
-WITH o AS (SELECT event_id AS order_id, user_id AS stream, ts AS created, CAST(5 + k % 40 AS DOUBLE) AS q FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'click'),
-b AS (SELECT stream, received, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, quote_id FROM v_quotes WHERE state = 'ACTIVE'),
-c AS (SELECT o.order_id, o.stream, o.created, o.q, count(r.rule_id) AS seen, max(CASE WHEN r.valid AND r.effective <= o.created THEN {'e': r.effective, 'f': r.fetched, 'i': r.rule_id, 'x': r.fee_rate} END) AS pick, max(CASE WHEN NOT r.valid THEN r.fetched END) AS inv FROM o LEFT JOIN v_rules r ON r.stream = o.stream AND r.fetched <= o.created GROUP BY 1, 2, 3, 4),
-s AS (SELECT *, CASE WHEN seen = 0 THEN 'missing' WHEN pick IS NULL AND inv IS NOT NULL THEN 'invalid' WHEN pick IS NULL THEN 'not_effective' WHEN inv >= pick.f THEN 'invalid' WHEN epoch_us(created) - epoch_us(pick.f) > 864000000000 THEN 'stale' ELSE 'ok' END AS st FROM c),
-d AS (SELECT s.*, CASE WHEN st = 'ok' THEN 60 ELSE 0 END AS delay, CAST(CASE WHEN st = 'ok' THEN pick.x END AS DOUBLE) AS rate FROM s),
-x AS (SELECT d.*, (SELECT arg_min({'t': b.received, 'a': b.ask}, b.received) FROM b WHERE b.stream = d.stream AND b.received >= d.created + to_seconds(d.delay + 30)) AS bk FROM d),
-y AS (SELECT *, CASE WHEN st <> 'ok' THEN st WHEN q < 6 THEN 'below_minimum' WHEN bk IS NULL THEN 'no_book' WHEN q > 40 THEN 'insufficient_depth' ELSE 'ok' END AS status, least(q, 10) * bk.a + least(greatest(q - 10, 0), 30) * (bk.a + 1) AS g FROM x),
-z AS (SELECT y.*, CASE WHEN status = 'ok' THEN (SELECT arg_min(b.bid, b.received) FROM b WHERE b.stream = y.stream AND b.received >= y.bk.t + to_seconds(3600)) END AS xb FROM y)
-SELECT order_id, status, CASE WHEN status = 'ok' THEN round(g / q, 6) END AS entry_vwap, CASE WHEN status = 'ok' THEN round(g * rate, 6) END AS fee,
-  CASE WHEN status = 'ok' AND xb IS NOT NULL THEN round(((least(q, 10) * xb + least(greatest(q - 10, 0), 30) * (xb - 1)) * (1 - rate) - round(g, 6) - round(g * rate, 6)) / q + 1e-7, 4) END AS net FROM z""", "v_quotes v_rules")
+_BOOKS = """
+u AS (SELECT *, rule_id % 5 <> 0 AS fees_enabled, CAST(1 + rule_id % 2 AS INTEGER) AS exponent, CAST(fee_rate * 1000 AS HUGEINT) AS rate, CAST(6 + rule_id % 3 AS HUGEINT) AS minimum FROM v_rules),
+b AS (SELECT stream, received, quote_id, CAST(500 + 100 * (floor(ask) % 80) AS HUGEINT) AS ask, CAST(500 + 100 * (floor(ask) % 80) - 200 AS HUGEINT) AS bid FROM v_quotes WHERE state = 'ACTIVE')"""
+
+
+def _asof(points: str, at: str, age: str) -> str:
+    """SQL of the rule in force at a time of the rows of ``points``: status ``st`` and the rule's fields in ``pick``."""
+    return f"""SELECT *, CASE WHEN seen = 0 THEN 'missing' WHEN pick IS NULL AND inv IS NOT NULL THEN 'invalid' WHEN pick IS NULL THEN 'not_effective' WHEN inv >= pick.f THEN 'invalid' WHEN epoch_us({at}) - epoch_us(pick.f) > {age} THEN 'stale' ELSE 'ok' END AS st
+FROM (SELECT p.*, count(r.rule_id) AS seen, max(CASE WHEN r.valid AND r.effective <= p.{at} THEN {{'e': r.effective, 'f': r.fetched, 'i': r.rule_id, 'on': r.fees_enabled, 'rate': r.rate, 'x': r.exponent, 'm': r.minimum}} END) AS pick, max(CASE WHEN NOT r.valid THEN r.fetched END) AS inv
+  FROM {points} p LEFT JOIN u r ON r.stream = p.stream AND r.fetched <= p.{at} GROUP BY ALL)"""
+
+
+def _walked(price: str, step: int, q: str) -> tuple[str, str]:
+    """(gross x 10^4, fee base x 10^16) of walking 10 units at a price and 30 at the next one."""
+    one, two = f"least({q}, 10)", f"least(greatest({q} - 10, 0), 30)"
+    power = lambda p: f"CASE pick.x WHEN 1 THEN ({p}) * (10000 - ({p})) * 100000000 ELSE ({p}) * (10000 - ({p})) * (({p}) * (10000 - ({p}))) END"
+    return f"({one} * {price} + {two} * ({price} + {step}))", f"({one} * {power(price)} + {two} * {power(f'{price} + {step}')})"
+
+
+_G, _GB = _walked("bk.a", 100, "q")
+_H, _HB = _walked("mk.a", -100, "q")
+
+
+def _fees(base: str) -> str:
+    """Fee x 10^19."""
+    return f"CASE WHEN pick.on THEN pick.rate * {base} ELSE 0 END"
+
+
+@query("cost_markout", f"""
+WITH {_BOOKS.strip()},
+o AS (SELECT event_id AS order_id, user_id AS stream, ts AS created, CAST(5 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 40 AS HUGEINT) AS q FROM events WHERE event_type = 'click'),
+c AS ({_asof("o", "created", "864000000000")}),
+x AS (SELECT c.*, (SELECT arg_min({{'t': b.received, 'a': b.ask}}, b.received) FROM b WHERE b.stream = c.stream AND b.received >= c.created + to_seconds(CASE WHEN st = 'ok' THEN 90 ELSE 30 END)) AS bk FROM c),
+y AS (SELECT order_id, stream, q, bk, CASE WHEN st <> 'ok' THEN st WHEN q < pick.m THEN 'below_minimum' WHEN bk IS NULL THEN 'no_book' WHEN q > 40 THEN 'insufficient_depth' ELSE 'ok' END AS status, {_G} AS g, {_fees(_GB)} AS fee FROM x),
+h AS (SELECT y.*, s.h, (SELECT arg_min({{'t': b.received, 'a': b.bid}}, b.received) FROM b WHERE b.stream = y.stream AND b.received >= y.bk.t + to_seconds(s.h)) AS mk FROM y, (VALUES (600), (3600)) s(h) WHERE status = 'ok'),
+k AS (SELECT *, mk.t AS marked FROM h),
+e AS ({_asof("k", "marked", "864000000000")}),
+m AS (SELECT order_id, h, CASE WHEN mk IS NULL THEN 'no_book' WHEN st <> 'ok' THEN st WHEN q < pick.m THEN 'below_minimum' ELSE 'ok' END AS ms, CAST({_H} AS HUGEINT) * 1000000000000000 - ({_fees(_HB)}) - CAST(g AS HUGEINT) * 1000000000000000 - fee AS n, q FROM e),
+r AS (SELECT order_id, h, ms, CASE WHEN ms = 'ok' THEN sign(n) * ((2 * abs(n) + q * 10000000000000) // (2 * q * 10000000000000)) END AS net FROM m)
+SELECT order_id, status, CAST(CASE WHEN status = 'ok' THEN g END AS BIGINT) AS gross_e4, CAST(CASE WHEN status = 'ok' THEN (fee + 5000000000) // 10000000000 END AS BIGINT) AS fee_e9,
+  m1.ms AS status_600s, CAST(m1.net AS BIGINT) AS net_600s_e6, m2.ms AS status_3600s, CAST(m2.net AS BIGINT) AS net_3600s_e6
+FROM y LEFT JOIN r m1 USING (order_id) LEFT JOIN r m2 USING (order_id) WHERE m1.h IS NOT DISTINCT FROM CASE WHEN status = 'ok' THEN 600 END AND m2.h IS NOT DISTINCT FROM CASE WHEN status = 'ok' THEN 3600 END""", "v_quotes v_rules")
 def cost_markout(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
-    orders = events(spark, sf).where("event_type = 'click'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("stream"), F.col("ts").alias("created"), (5 + k % 40).cast("double").alias("quantity"))
-    level = lambda p, s: F.struct(p.cast("double").alias("price"), F.lit(float(s)).alias("size"))
-    bid, ask = F.col("bid").cast("double"), F.col("ask").cast("double")
-    book = quotes(spark, sf).select("stream", F.col("received").alias("time"), F.array(level(bid, 10), level(bid - 1, 30)).alias("bids"), F.array(level(ask, 10), level(ask + 1, 30)).alias("asks"), (F.col("state") == "SUSPENDED").alias("suspended"))
-    rule = rules(spark, sf).withColumns({"delay_us": F.lit(60_000_000).cast("long"), "minimum": F.lit(6.0)})
-    out = cost.cost_and_markout(orders, book, rule, ["stream"], 30_000_000, [3_600_000_000], 864_000_000_000)
-    return out.select("order_id", "status", "entry_vwap", "fee", F.round(F.col("net_3600s") + 1e-7, 4).alias("net"))
-
-
-@query("trigger_pnl", """
-WITH t AS (SELECT event_id, stream, received FROM v_feed WHERE kind = 'purchase'),
-b AS (SELECT stream, received, quote_id, bid, ask FROM v_quotes WHERE state = 'ACTIVE'),
-x AS (SELECT t.*, (SELECT arg_min({'t': b.received, 'a': b.ask}, b.received) FROM b WHERE b.stream = t.stream AND b.received >= t.received + INTERVAL 5 SECOND) AS e FROM t),
-y AS (SELECT x.*, (SELECT arg_min({'t': b.received, 'a': b.bid}, b.received) FROM b WHERE b.stream = x.stream AND b.received >= x.e.t + INTERVAL 2 HOUR) AS m FROM x WHERE e IS NOT NULL)
-SELECT event_id, CAST(epoch_us(e.t) AS BIGINT) AS bought_us, CAST(epoch_us(m.t) AS BIGINT) AS marked_us, CAST(m.a - e.a AS DECIMAL(13,4)) AS pnl FROM y""", "v_feed v_quotes")
+    orders = events(spark, sf).where("event_type = 'click'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("stream"), F.col("ts").alias("created"), (5 + k % 40).alias("quantity"))
+    out = cost.cost_and_markout(orders, _priced_books(spark, sf), _priced_rules(spark, sf), ["stream"], 30_000_000, [600_000_000, 3_600_000_000], 864_000_000_000)
+    whole = lambda c, n: F.round(F.col(c) * F.lit(10**n), 0).cast("long")
+    return out.select("order_id", "status", whole("gross", 4).alias("gross_e4"), whole("fee", 9).alias("fee_e9"), F.col("mark_600s.status").alias("status_600s"), whole("mark_600s.net", 6).alias("net_600s_e6"), F.col("mark_3600s.status").alias("status_3600s"), whole("mark_3600s.net", 6).alias("net_3600s_e6"))
+
+
+def _priced_rules(spark, sf):
+    return rules(spark, sf).withColumns({"delay_us": F.lit(60_000_000).cast("long"), "minimum": (6 + F.col("rule_id") % 3), "fees_enabled": F.col("rule_id") % 5 != 0, "exponent": (1 + F.col("rule_id") % 2).cast("int")})
+
+
+def _priced_books(spark, sf):
+    """Quotes as books of two levels a side, with prices in (0, 1)."""
+    hundredths = 5 + F.floor("ask").cast("int") % 80
+    level = lambda p, s: F.struct((p / 100).cast("decimal(5,4)").alias("price"), F.lit(s).cast("decimal(12,2)").alias("size"))
+    return quotes(spark, sf).select("stream", F.col("received").alias("time"), F.array(level(hundredths - 2, 10), level(hundredths - 3, 30)).alias("bids"), F.array(level(hundredths, 10), level(hundredths + 1, 30)).alias("asks"), (F.col("state") == "SUSPENDED").alias("suspended"))
+
+
+@query("trigger_pnl", f"""
+WITH {_BOOKS.strip()},
+t AS (SELECT event_id, stream, received + INTERVAL 5 SECOND AS signal FROM v_feed WHERE kind = 'purchase'),
+c AS ({_asof("t", "signal", "4611686018427387904")}),
+x AS (SELECT c.*, (SELECT arg_min({{'t': b.received, 'a': b.ask}}, b.received) FROM b WHERE b.stream = c.stream AND b.received >= c.signal + to_seconds(CASE WHEN st = 'ok' THEN 60 ELSE 0 END)) AS bk FROM c),
+y AS (SELECT x.*, (SELECT arg_min({{'t': b.received, 'a': b.bid}}, b.received) FROM b WHERE b.stream = x.stream AND b.received >= x.bk.t + INTERVAL 2 HOUR) AS mk FROM x),
+z AS (SELECT *, CAST(10 * bk.a + 10 * (bk.a + 100) AS DOUBLE) / 200000 AS v, CASE WHEN st <> 'ok' THEN st WHEN 20 < pick.m THEN 'below_minimum' WHEN bk IS NULL THEN 'no_book' WHEN mk IS NULL THEN 'no_mark' ELSE 'ok' END AS status FROM y)
+SELECT event_id, status, CAST(epoch_us(bk.t) AS BIGINT) AS bought_us, CAST(epoch_us(mk.t) AS BIGINT) AS marked_us,
+  CAST(CASE WHEN status = 'ok' THEN round((CAST(10 * mk.a + 10 * (mk.a - 100) AS DOUBLE) - CAST(10 * bk.a + 10 * (bk.a + 100) AS DOUBLE)) / 10000 - CASE WHEN pick.on THEN 20 * CAST(pick.rate AS DOUBLE) / 1000 * power(v * (1 - v), pick.x) ELSE 0 END, 5) END AS DOUBLE) AS pnl FROM z""", "v_feed v_quotes v_rules")
 def trigger_pnl(spark, sf):
     t = feed(spark, sf).where("kind = 'purchase'").select("event_id", "stream", F.col("received").alias("trigger"))
-    b = quotes(spark, sf).select("stream", F.col("received").alias("time"), "bid", "ask", (F.col("state") == "SUSPENDED").alias("suspended"))
-    out = cost.trigger_study(t, b, ["stream"], 5_000_000, 7_200_000_000)
-    return out.select("event_id", F.unix_micros("bought").alias("bought_us"), F.unix_micros("marked").alias("marked_us"), F.col("pnl").cast("decimal(13,4)").alias("pnl"))
+    out = cost.trigger_study(t, _priced_books(spark, sf), _priced_rules(spark, sf), ["stream"], "20", "100", 5_000_000, 0, 7_200_000_000)
+    return out.select("event_id", "status", F.unix_micros("bought").alias("bought_us"), F.unix_micros("marked").alias("marked_us"), F.round("pnl", 5).cast("double").alias("pnl"))
 
 
 @query("training_rows", """

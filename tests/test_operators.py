@@ -81,16 +81,50 @@ def test_barriers_suspension_and_deadline(spark):
     assert got == {1: ("UPPER", "a", "d"), 2: ("NO_EXIT", "e", None), 3: ("NO_ENTRY", None, None)}
 
 
-def test_cost_takes_delay_and_later_rule(spark):
-    lv = "array<struct<price:double,size:double>>"
-    level = lambda p, s: [{"price": p, "size": s}]
-    book = spark.createDataFrame([("s", at(1), level(0.4, 10.0), level(0.5, 10.0), False), ("s", at(6), level(0.45, 10.0), level(0.6, 4.0) + level(0.7, 10.0), False), ("s", at(20), level(0.8, 10.0), level(0.9, 9.0), False)], f"k string, time timestamp, bids {lv}, asks {lv}, suspended boolean")
-    rule = spark.createDataFrame([("s", 1, at(0), at(0), True, 0.01, 3_000_000, 1.0)], "k string, rule_id int, fetched timestamp, effective timestamp, valid boolean, fee_rate double, delay_us long, minimum double")
-    orders = spark.createDataFrame([("s", 1, at(1), 5.0), ("s", 2, at(1), 50.0), ("s", 3, at(1), 0.5), ("s", 4, at(30), 1.0)], "k string, order_id int, created timestamp, quantity double")
-    got = {r.order_id: r for r in cost.cost_and_markout(orders, book, rule, ["k"], 1_000_000, [10_000_000], 10**12).collect()}
-    assert [got[i].status for i in (1, 2, 3, 4)] == ["ok", "insufficient_depth", "below_minimum", "no_book"]
-    assert got[1].executed == at(6) and got[1].entry_vwap == pytest.approx(0.62) and got[1].fee == pytest.approx(0.031)
-    assert got[1].net_10s == pytest.approx((5 * 0.8 * 0.99 - 3.1 - 0.031) / 5)
+LEVELS = "array<struct<price:decimal(5,4),size:decimal(12,2)>>"
+RULES = "k string, rule_id int, fetched timestamp, effective timestamp, valid boolean, fees_enabled boolean, fee_rate decimal(6,4), exponent int, delay_us long, minimum decimal(12,2)"
+
+
+def ladder(*levels):
+    return [{"price": Decimal(p), "size": Decimal(s)} for p, s in levels]
+
+
+def ladders(spark):
+    rows = [("s", at(1), ladder(("0.40", "10")), ladder(("0.50", "10")), False), ("s", at(6), ladder(("0.45", "10")), ladder(("0.60", "4"), ("0.70", "10")), False), ("s", at(20), ladder(("0.80", "3"), ("0.75", "9")), ladder(("0.90", "9")), False)]
+    return spark.createDataFrame(rows, f"k string, time timestamp, bids {LEVELS}, asks {LEVELS}, suspended boolean")
+
+
+def test_cost_fees_by_fill_and_exit_rule(spark):
+    d = Decimal
+    rule = spark.createDataFrame([("s", 1, at(0), at(0), True, True, d("0.02"), 1, 3_000_000, d(1)), ("s", 2, at(15), at(15), True, True, d("0.05"), 2, 0, d(2))], RULES)
+    orders = spark.createDataFrame([("s", 1, at(1), 5), ("s", 2, at(1), 50), ("s", 3, at(1), 0), ("s", 4, at(30), 2), ("s", 5, at(1), 1)], "k string, order_id int, created timestamp, quantity int")
+    got = {r.order_id: r for r in cost.cost_and_markout(orders, ladders(spark), rule, ["k"], 1_000_000, [1_000_000, 10_000_000, 60_000_000], 10**12).collect()}
+    assert [got[i].status for i in range(1, 6)] == ["ok", "insufficient_depth", "below_minimum", "no_book", "ok"]
+    fee = d("0.02") * (4 * d("0.6") * d("0.4") + d("0.7") * d("0.3"))
+    assert got[1].executed == at(6) and got[1].gross == d("3.1") and got[1].fee == fee and got[1].levels_used == 2
+    exit_fee = d("0.05") * (3 * (d("0.8") * d("0.2")) ** 2 + 2 * (d("0.75") * d("0.25")) ** 2)  # the rule of the mark's time, not of the order's
+    mark = got[1].mark_10s
+    assert (mark.status, mark.time, mark.gross, mark.fee) == ("ok", at(20), d("3.9"), exit_fee)
+    assert abs(mark.net - (d("3.9") - exit_fee - d("3.1") - fee) / 5) < d("1e-15")
+    assert got[1].mark_60s.status == "no_book" and got[1].mark_1s.time == at(20)
+    assert got[5].mark_10s.status == "below_minimum" and got[5].mark_10s.net is None and got[2].mark_10s is None
+    free = rule.withColumns({"fees_enabled": F.lit(False), "exponent": F.lit(7)})
+    assert [r.fee for r in cost.cost_and_markout(orders.where("order_id = 1"), ladders(spark), free, ["k"], 1_000_000, [1], 10**12).collect()] == [0]
+    odd = rule.withColumn("exponent", F.lit(3))
+    assert [r.status for r in cost.cost_and_markout(orders.where("order_id = 1"), ladders(spark), odd, ["k"], 1_000_000, [1], 10**12).collect()] == ["unsupported_exponent"]
+
+
+def test_trigger_study_pays_the_fee_of_the_whole_order(spark):
+    d = Decimal
+    rule = spark.createDataFrame([("s", 1, at(0), at(0), True, True, d("0.02"), 1, 0, d(1))], RULES)
+    triggers = spark.createDataFrame([("s", 1, at(0)), ("s", 2, at(30)), ("s", 3, at(10))], "k string, id int, trigger timestamp")
+    run = lambda q, most="100": {r.id: r for r in cost.trigger_study(triggers, ladders(spark), rule, ["k"], q, most, 5_000_000, 0, 10_000_000).collect()}
+    got = run("5")
+    v = d("0.62")
+    fee = 5 * d("0.02") * v * (1 - v)
+    assert (got[1].status, got[1].bought, got[1].marked) == ("ok", at(6), at(20)) and got[1].fee == fee and got[1].pnl == d("3.9") - d("3.1") - fee
+    assert got[2].status == "no_book" and got[2].marked is None and got[3].status == "no_mark" and got[3].pnl is None
+    assert run("13")[1].status == "insufficient_bids" and run("15")[1].status == "insufficient_depth" and run("5", "4")[1].status == "above_limit"
 
 
 def test_text_functions(spark):
