@@ -387,6 +387,6 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """Rows of ``df`` whose key is the smallest of its component (rows without words all stay)."""
+    """Rows of ``df`` whose key is the smallest of its component; rows without words all stay, rows with equal keys stay or go together."""
     keep = cluster(df, key, text, k, p, q).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
     return df.join(keep, df[key].eqNullSafe(keep["_keep"]), "left_semi")
