@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..streaming import streams as s
+from .clock import _HOUR, _LAGGED
 from .registry import query, shifted
 
 
 def _folder(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/feedlab/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,35 +41,48 @@ def _run(out, spark, name: str, mode: str):
     return spark.read.schema(schema.add("_batch", IntegerType())).parquet(f"{path}/rows")
 
 
-@query("stream_hourly")
+def _last(got, keys: list[str], values: list[str]):
+    """The last row that a stream in the update mode gave out for each key."""
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("x")).select(*keys, *[f"x.{c}" for c in values])
+
+
+@query("stream_hourly", f"SELECT event_type, {_HOUR.format('ts')} * 3600000000 AS hour_us, count(*) AS frames, count(*) FILTER (value < 5) AS parse_errors, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf):
-    out = s.stream_hourly_counts(_events(spark, sf), "ts", "event_type")
-    return _run(out, spark, "hourly", "append").select("event_type", F.unix_micros("hour_start").alias("hour_us"), "frames")
+    out = s.stream_hourly_counts(_events(spark, sf), "ts", "event_type", F.octet_length("props").cast("long"), F.col("value") < 5)
+    got = _last(_run(out, spark, "hourly", "update"), ["event_type", "hour_start"], ["frames", "parse_errors", "bytes"])
+    return got.select("event_type", F.unix_micros("hour_start").alias("hour_us"), "frames", "parse_errors", "bytes")
 
 
-@query("stream_disorder")
+@query("stream_disorder", f"WITH l AS ({_LAGGED}) SELECT stream, count(*) FILTER (source < before) AS regressions, count(before) AS comparisons, CAST(0 AS BIGINT) AS late FROM l GROUP BY 1", "v_feed")
 def stream_disorder(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
     rows = _events(spark, sf).select("user_id", F.col("ts").alias("received"), shifted(F.col("ts"), -k * 900_000_000).alias("source"))
     got = _run(s.stream_disorder(rows, "user_id", "received", "source"), spark, "disorder", "update")
-    return got.groupBy("key").agg(F.max_by(F.struct("regressions", "comparisons"), "_batch").alias("x")).select(F.col("key").alias("stream"), "x.regressions", "x.comparisons")
+    return _last(got, ["key"], ["regressions", "comparisons", "late"]).withColumnRenamed("key", "stream")
 
 
-@query("stream_sequence_gaps")
+@query("stream_sequence_gaps", """
+WITH n AS (SELECT user_id, event_id, event_id * 7919 % 1000 AS seq, ts FROM events),
+l AS (SELECT *, max(seq) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM n)
+SELECT user_id AS key, CAST(max(seq) AS BIGINT) AS top, CAST(coalesce(sum(CASE WHEN seq > l.top THEN seq - l.top - 1 END), 0) AS BIGINT) AS missing, count(*) FILTER (seq <= l.top) AS late FROM l GROUP BY 1""")
 def stream_sequence_gaps(spark, sf):
-    got = _run(s.stream_sequence_gaps(_events(spark, sf), "user_id", "event_id"), spark, "gaps", "update")
-    return got.groupBy("key").agg(F.max_by(F.struct("top", "missing", "late"), "_batch").alias("x")).select("key", "x.top", "x.missing", "x.late")
+    numbered = _events(spark, sf).withColumn("seq", F.col("event_id") * 7919 % 1000)  # numbers that don't rise with arrival
+    got = _run(s.stream_sequence_gaps(numbered, "user_id", "seq", "ts"), spark, "gaps", "update")
+    return _last(got, ["key"], ["top", "missing", "late"])
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", "SELECT DISTINCT event_id, event_type FROM events")
 def stream_dedupe(spark, sf):
     e = _events(spark, sf)
     out = s.stream_dedupe(e.unionByName(e), "ts", ["event_id", "ts", "user_id", "event_type", "value", "props"]).select("event_id", "event_type")
     return _run(out, spark, "dedupe", "append").select("event_id", "event_type")
 
 
-@query("stream_segments")
+@query("stream_segments", "SELECT 'feed' AS source, 'events' AS stream, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS record_count, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY 3, 4")
 def stream_segments(spark, sf):
     path = _folder(spark, "segments")
     s.write_raw_segments(_events(spark, sf), "ts", "feed", "events", path, f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema("source string, stream string, date date, hour int, record_count long, first_receive_at timestamp, last_receive_at timestamp").json(f"{path}/manifests").drop("batch")
+    got = spark.read.schema("source string, stream string, date date, hour int, record_count long, first_receive_at timestamp, last_receive_at timestamp").json(f"{path}/manifests")
+    # An hour that several batches have written has a manifest of each; together they are the hour's.
+    hours = got.groupBy("source", "stream", "date", "hour").agg(F.sum("record_count").alias("record_count"), F.min("first_receive_at").alias("first"), F.max("last_receive_at").alias("last"))
+    return hours.select("source", "stream", "date", "hour", "record_count", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))

@@ -1,20 +1,29 @@
-"""Streaming twins: hourly counts, disorder, sequence gaps, duplicates and the raw-segment sink. Batch twins give the same rows."""
+"""Streaming twins: hourly counts, disorder, sequence gaps, duplicates and the raw-segment sink.
+
+Over a whole stream they give the rows of their batch twins, but for what comes late, which each says how it treats.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def stream_hourly_counts(stream: DataFrame, ts: str, key: str, late: str = "2 hours") -> DataFrame:
-    """Frames of each key and UTC hour; an hour is given out when the watermark has passed it."""
-    return stream.withWatermark(ts, late).groupBy(key, F.window(ts, "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("frames")).select(key, F.col("w.start").alias("hour_start"), "frames")
+def stream_hourly_counts(stream: DataFrame, ts: str, key: str, bytes_: Column, failed: Column, late: str = "2 hours") -> DataFrame:
+    """Frames, parse errors and bytes of each key and UTC hour, for the ``update`` mode.
+
+    A batch gives out the hours that it has changed, open ones too, so the last row of each hour is its count and no hour
+    waits for a later frame. Frames that come more than ``late`` behind the newest one are not counted.
+    """
+    hours = stream.withWatermark(ts, late).groupBy(key, F.window(ts, "1 hour").alias("w"))
+    return hours.agg(F.count(F.lit(1)).alias("frames"), F.count_if(failed).alias("parse_errors"), F.sum(bytes_).alias("bytes")).select(key, F.col("w.start").alias("hour_start"), "frames", "parse_errors", "bytes")
 
 
 def stream_dedupe(stream: DataFrame, ts: str, content: list[str], late: str = "2 hours") -> DataFrame:
@@ -23,14 +32,15 @@ def stream_dedupe(stream: DataFrame, ts: str, content: list[str], late: str = "2
 
 
 class SequenceGaps(StatefulProcessor):
-    """By key: the last accepted number, numbers jumped over, numbers not above it. State is three numbers a key."""
+    """By key, in order of arrival: the top number, numbers jumped over, numbers not above the top. State is three numbers a key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("gaps", "top long, missing long, late long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         top, missing, late = self.state.get() if self.state.exists() else (None, 0, 0)
-        for s in sorted(int(x) for part in rows for x in part["seq"]) if top is None else [int(x) for part in rows for x in part["seq"]]:
+        # A batch comes in any order; its rows are put in order of arrival, and of number where they arrived together.
+        for _, s in sorted((int(t), int(x)) for part in rows for t, x in zip(part["arrival"], part["seq"], strict=True)):
             if top is not None and s <= top:
                 late += 1
             else:
@@ -46,48 +56,49 @@ class SequenceGaps(StatefulProcessor):
 class Disorder(StatefulProcessor):
     """By key: regressions of the source clock in receive order. Rows of the newest receive time wait until a later one comes.
 
-    Ties on receive are ordered by source, so a receive time's rows are judged together.
+    Ties on receive are ordered by source, so a receive time's rows are judged together. Rows that come after a later
+    receive time has been judged have no neighbours left to be compared with: they are counted as late.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("disorder", "source long, regressions long, comparisons long")
+        self.state = handle.getValueState("disorder", "received long, source long, regressions long, comparisons long, late long")
         self.waiting = handle.getListState("open", "received long, source long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        last, back, compared = self.state.get() if self.state.exists() else (None, 0, 0)
-        held = sorted([tuple(map(int, x)) for x in self.waiting.get()] + [(int(r), int(s)) for part in rows for r, s in zip(part["received"], part["source"], strict=True)])
-        newest = held[-1][0]
-        for received, source in held:
-            if received == newest:
-                break
+        judged, last, back, compared, late = self.state.get() if self.state.exists() else (None, None, 0, 0, 0)
+        new = [(int(r), int(s)) for part in rows for r, s in zip(part["received"], part["source"], strict=True)]
+        held = sorted([tuple(map(int, x)) for x in self.waiting.get()] + [x for x in new if judged is None or x[0] > judged])
+        late += sum(judged is not None and x[0] <= judged for x in new)
+        newest = held[-1][0] if held else None
+        rest = [x for x in held if x[0] == newest]
+        for received, source in held[: len(held) - len(rest)]:
             if last is not None:
                 compared += 1
                 back += source < last
-            last = source
-        rest = [x for x in held if x[0] == newest]
-        self.state.update((last, back, compared))
+            judged, last = received, source
+        self.state.update((judged, last, back, compared, late))
         self.waiting.put(rest)
         for _, source in rest:  # as if the stream ended here
             if last is not None:
                 compared += 1
                 back += source < last
             last = source
-        yield pd.DataFrame({"key": [key[0]], "regressions": [back], "comparisons": [compared]})
+        yield pd.DataFrame({"key": [key[0]], "regressions": [back], "comparisons": [compared], "late": [late]})
 
     def close(self) -> None:
         pass
 
 
-def stream_sequence_gaps(stream: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, top, missing, late) after each batch; needs the RocksDB state store."""
-    rows = stream.select(F.col(key).alias("key"), F.col(seq).alias("seq"))
+def stream_sequence_gaps(stream: DataFrame, key: str, seq: str, arrival: str) -> DataFrame:
+    """(key, top, missing, late) after each batch, numbers taken in order of the time ``arrival``; needs the RocksDB state store."""
+    rows = stream.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.unix_micros(arrival).alias("arrival"))
     return rows.groupBy("key").transformWithStateInPandas(SequenceGaps(), "key long, top long, missing long, late long", "Update", "None")
 
 
 def stream_disorder(stream: DataFrame, key: str, received: str, source: str) -> DataFrame:
-    """(key, regressions, comparisons) after each batch; needs the RocksDB state store."""
+    """(key, regressions, comparisons, late) after each batch; needs the RocksDB state store."""
     rows = stream.select(F.col(key).alias("key"), F.unix_micros(received).alias("received"), F.unix_micros(source).alias("source"))
-    return rows.groupBy("key").transformWithStateInPandas(Disorder(), "key long, regressions long, comparisons long", "Update", "None")
+    return rows.groupBy("key").transformWithStateInPandas(Disorder(), "key long, regressions long, comparisons long, late long", "Update", "None")
 
 
 def write_raw_segments(stream: DataFrame, ts: str, source: str, name: str, path: str, checkpoint: str):
@@ -95,7 +106,7 @@ def write_raw_segments(stream: DataFrame, ts: str, source: str, name: str, path:
 
     def put(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumns({"source": F.lit(source), "stream": F.lit(name), "date": F.to_date(ts), "hour": F.hour(ts)})
-        rows.write.mode("overwrite").partitionBy("source", "stream", "date", "hour").json(f"{path}/frames/batch={batch_id}")
-        rows.groupBy("source", "stream", "date", "hour").agg(F.count(F.lit(1)).alias("record_count"), F.min(ts).alias("first_receive_at"), F.max(ts).alias("last_receive_at")).write.mode("overwrite").json(f"{path}/manifests/batch={batch_id}")
+        rows.write.mode("overwrite").partitionBy("source", "stream", "date", "hour").option("timestampFormat", _MICROS).json(f"{path}/frames/batch={batch_id}")
+        rows.groupBy("source", "stream", "date", "hour").agg(F.count(F.lit(1)).alias("record_count"), F.min(ts).alias("first_receive_at"), F.max(ts).alias("last_receive_at")).write.mode("overwrite").option("timestampFormat", _MICROS).json(f"{path}/manifests/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
