@@ -123,10 +123,46 @@ def common_window(islands: DataFrame, keys: list[str]) -> DataFrame:
     return each.agg(F.max("n").alias("n"), F.max("a").alias("start_us"), F.min("b").alias("end_us")).where("n = 1 AND start_us <= end_us").drop("n")
 
 
+def quantiles(df: DataFrame, value: Column, ps: list[float], by: list[str] | None = None, nearest: bool = False, buckets: int = 1024) -> DataFrame:
+    """Exact quantiles q0, q1, .. of a group's values, continuous or by nearest rank; groups without values give no row.
+
+    Equal values are counted first. A group's range is cut into buckets of equal width, so that ranks are counted by
+    bucket and no task sorts or holds all values of a group.
+    """
+    by = by or []
+    rows = df.select(*by, value.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    bounds = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+
+    def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        if not keys:
+            return a.crossJoin(F.broadcast(b))  # one row
+        b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+        same = [a[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)]
+        return a.join(b, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    width = (F.col("_hi") - F.col("_lo")).cast("double")
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")).cast("double") / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    placed = joined(rows, bounds.select(*by, "_lo", "_hi"), by).withColumn("_b", place.cast("int")).select(*by, "_b", "_v", "_c")
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).drop("_s")
+    local = placed.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = joined(joined(local, before, [*by, "_b"]), bounds.select(*by, "_n"), by).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    first = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    if nearest:
+        return ranked.groupBy(*by).agg(*[first(F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1))).alias(f"q{i}") for i, p in enumerate(ps)])
+    at = lambda p: (F.col("_n") - 1) * F.lit(p)
+    got = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[first(F.floor(at(p)) + 1).cast("double").alias(f"_a{i}") for i, p in enumerate(ps)], *[first(F.ceil(at(p)) + 1).cast("double").alias(f"_z{i}") for i, p in enumerate(ps)])
+    return got.select(*by, *[(F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (at(p) - F.floor(at(p)))).alias(f"q{i}") for i, p in enumerate(ps)])
+
+
 def nearest_rank(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Median, 95th and 99th percentile by nearest rank, largest, mean."""
-    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    return df.groupBy(*(by or [])).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max(value).alias("largest"), F.round(F.avg(value), 6).alias("mean"))
+    by = by or []
+    whole = df.groupBy(*by).agg(F.max(value).alias("largest"), F.round(F.avg(value), 6).alias("mean"))
+    ranks = quantiles(df, F.col(value), [0.5, 0.95, 0.99], by, nearest=True).toDF(*[f"_k{i}" for i in range(len(by))], "p50", "p95", "p99")
+    same = [whole[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(by)]
+    both = whole.join(ranks, same, "left") if by else whole.join(F.broadcast(ranks), F.lit(True), "left")
+    return both.select(*by, "p50", "p95", "p99", "largest", "mean")
 
 
 def capture_health(df: DataFrame, ts: str, stream: str, bytes_: Column, max_gap_us: int) -> DataFrame:

@@ -22,12 +22,12 @@ def score_frame(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
     return model.transform(df).select(key, F.get(vector_to_array("probability"), 1).alias("p"))
 
 
-def fit_classes(train: DataFrame, features: list[str], target: str, key: str) -> DataFrame:
-    """(key, probabilities by class name): multinomial logistic regression, scored on its own rows."""
+def fit_classes(train: DataFrame, features: list[str], target: str, key: str, rows: DataFrame) -> DataFrame:
+    """(key, probabilities by class name) of ``rows``: multinomial logistic regression, fitted on ``train`` alone."""
     index = StringIndexer(inputCol=target, outputCol="_t", stringOrderType="alphabetAsc").fit(train)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_t", family="multinomial", regParam=0.01)]).fit(index.transform(train))
     names = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(train).select(key, F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
+    return model.transform(rows).select(key, F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
 
 
 def fit_poisson_offset(rows: DataFrame, target: str, features: list[str], offset: str, l2: float) -> DataFrame:

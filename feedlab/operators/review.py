@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .fold import fold_events
 
 
@@ -34,16 +35,15 @@ def distinct_in_order(df: DataFrame, value: str, order: list[str], k: int) -> Da
 def review_queue(df: DataFrame, confidence: str, ident: str, top: int | None = None) -> DataFrame:
     """Rank by (confidence, id), ascending. Ranks follow a range partitioning; no task sorts all rows.
 
-    Each range's offset is the sum of the sizes before it; the sizes are one row a partition.
+    The ranges are written down once, so that ranks within them and their sizes speak of the same ranges. Each range's
+    offset is the sum of the sizes before it; the sizes are one row a range.
     """
-    from pyspark.sql import functions as f
-
-    ranged = df.repartitionByRange(confidence, ident).sortWithinPartitions(confidence, ident).withColumn("_part", f.spark_partition_id())
-    local = ranged.withColumn("_nth", f.row_number().over(Window.partitionBy("_part").orderBy(confidence, ident)))
-    sizes = local.groupBy("_part").agg(f.max("_nth").alias("_n"))
-    offsets = sizes.withColumn("_before", f.coalesce(f.sum("_n").over(Window.partitionBy(f.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), f.lit(0)))
-    out = local.join(f.broadcast(offsets.drop("_n")), "_part").withColumn("rank", f.col("_nth") + f.col("_before")).drop("_part", "_nth", "_before")
-    return out if top is None else out.where(f.col("rank") <= top)
+    ranged = stored(df.repartitionByRange(confidence, ident).withColumn("_part", F.spark_partition_id()), "review-ranges")
+    local = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(confidence, ident)))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = local.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+    return out if top is None else out.where(F.col("rank") <= top)
 
 
 def precision(df: DataFrame, correct: Column, by: str) -> DataFrame:

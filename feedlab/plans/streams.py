@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..sources.scratch import shared_dir
 from ..streaming import streams as s
 from .clock import _HOUR, _LAGGED
 from .registry import query, shifted
 
 
-def _folder(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/feedlab/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark, sf):
     raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -29,7 +18,7 @@ def _events(spark, sf):
 
 def _run(out, spark, name: str, mode: str):
     """Rows that a stream gives out until its input ends, through a Parquet table in the shared folder."""
-    path = _folder(spark, name)
+    path = shared_dir(spark, name)
     schema = out.schema
 
     def put(batch, batch_id):
@@ -80,7 +69,7 @@ def stream_dedupe(spark, sf):
 
 @query("stream_segments", "SELECT 'feed' AS source, 'events' AS stream, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS record_count, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY 3, 4")
 def stream_segments(spark, sf):
-    path = _folder(spark, "segments")
+    path = shared_dir(spark, "segments")
     s.write_raw_segments(_events(spark, sf), "ts", "feed", "events", path, f"{path}/checkpoint").awaitTermination()
     got = spark.read.schema("source string, stream string, date date, hour int, record_count long, first_receive_at timestamp, last_receive_at timestamp").json(f"{path}/manifests")
     # An hour that several batches have written has a manifest of each; together they are the hour's.
