@@ -92,6 +92,64 @@ def text_identity_parse(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract(u, "^(https?)://", 1).alias("scheme"), F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host"), F.when(number != "", number.cast("int")).alias("number"))
 
 
+@query("market_identity", r"""
+WITH m AS (SELECT o_orderkey, o_orderstatus AS st, o_orderkey % 5 AS x, CAST(o_orderdate AS DATE) AS d, CASE o_orderpriority WHEN '1-URGENT' THEN 'Owls' WHEN '2-HIGH' THEN 'Foxes' WHEN '3-MEDIUM' THEN 'Hens' ELSE 'Bears' END AS a, CASE o_orderstatus WHEN 'F' THEN 'Wolves' WHEN 'O' THEN 'Hawks' ELSE 'Bears' END AS b FROM orders)
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN a = b THEN 'outcomes' END, CASE WHEN a = 'Hens' THEN 'alias' END, CASE WHEN x = 1 THEN 'question' END, CASE WHEN x = 2 THEN 'slug' END, CASE WHEN x = 3 THEN 'date' END, CASE WHEN a = 'Hens' OR a = b THEN 'clause' END], lambda r: r IS NOT NULL), ',') AS reasons,
+  CASE WHEN a <> b AND a <> 'Hens' AND x NOT IN (1, 2, 3) THEN d END AS game_date, CASE WHEN a <> b AND a <> 'Hens' AND x NOT IN (1, 2, 3) THEN upper(a[1:3]) || '-' || upper(b[1:3]) END AS clubs FROM m""")
+def market_identity(spark, sf):
+    from ..functions.adapters import market_identity as parse
+
+    teams = {k: (f"Club {k}", k[:3].upper()) for k in ("Owls", "Foxes", "Bears", "Wolves", "Hawks")}
+    p, st, x = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey") % 5
+    o = orders(spark, sf).withColumns({"a": F.when(p == "1-URGENT", "Owls").when(p == "2-HIGH", "Foxes").when(p == "3-MEDIUM", "Hens").otherwise("Bears"), "b": F.when(st == "F", "Wolves").when(st == "O", "Hawks").otherwise("Bears")})
+    a, b = F.col("a"), F.col("b")
+    date = F.when(x == 3, "some day").otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))
+    clause = lambda c: F.concat(F.lit("If the Club "), c, F.lit(' win, this market will resolve to "'), c, F.lit('".\n'))
+    texts = o.select(
+        "o_orderkey", F.concat(F.lit("NFL Sunday: "), a, F.when(x == 1, " at ").otherwise(" vs. "), b).alias("question"), F.concat(F.lit("nfl-"), F.when(x == 1, "").when(x == 2, "monday").otherwise("sunday"), F.lit("-"), F.lower(a), F.lit("-vs-"), F.lower(b)).alias("slug"),
+        F.concat(F.lit("In the upcoming NFL game scheduled for "), date, F.lit(":\n\n"), clause(a), clause(b)).alias("description"), F.to_json(F.array(a, b)).alias("outcomes"), F.to_json(F.array(F.lit("1"), F.lit("2"))).alias("token_ids"),
+    )
+    return parse(texts, teams).select("o_orderkey", F.array_join("reasons", ",").alias("reasons"), "game_date", F.array_join("clubs", "-").alias("clubs"))
+
+
+@query("action_details", """
+WITH a AS (SELECT event_id, user_id, event_type AS t, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN t IN ('view', 'click', 'purchase') THEN k * 1250 END AS end_x, CASE WHEN t = 'purchase' THEN CASE WHEN k % 3 = 0 THEN 'Goal' ELSE 'Saved' END END AS shot_outcome,
+  CASE WHEN t = 'signup' THEN k END AS replacement, CASE WHEN t = 'purchase' AND k % 3 = 0 THEN user_id END AS scores, CASE WHEN t = 'error' AND k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN 'Yellow Card' ELSE 'Blue Card' END END AS card,
+  CASE WHEN t IN ('view', 'click', 'purchase') AND k * 1250 > 120000 THEN 'end_location' WHEN t = 'error' AND k % 4 = 2 THEN 'card' WHEN t = 'signup' AND k < 1 THEN 'replacement' ELSE '' END AS reasons FROM a""")
+def action_details(spark, sf):
+    from ..functions.adapters import action_details as parse
+
+    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    action = F.when(t == "view", "Pass").when(t == "click", "Carry").when(t == "purchase", "Shot").when(t == "signup", "Substitution").otherwise("Foul Committed")
+    at = F.concat(F.lit('"end_location": ['), (k * 1250 / 1000).cast("decimal(9,3)").cast("string"), F.lit(", 40.5]"))
+    body = (
+        F.when(t == "view", F.concat(F.lit('{"pass": {'), at, F.lit("}}"))).when(t == "click", F.concat(F.lit('{"carry": {'), at, F.lit("}}")))
+        .when(t == "purchase", F.concat(F.lit('{"shot": {"outcome": {"name": "'), F.when(k % 3 == 0, "Goal").otherwise("Saved"), F.lit('"}, "type": {"name": "Open Play"}, '), at, F.lit("}}")))
+        .when(t == "signup", F.concat(F.lit('{"substitution": {"replacement": {"id": '), k.cast("string"), F.lit("}}}")))
+        .when(k % 2 == 0, F.concat(F.lit('{"foul_committed": {"card": {"name": "'), F.when(k % 4 == 0, "Yellow Card").otherwise("Blue Card"), F.lit('"}}}'))).otherwise("{}")
+    )
+    d = events(spark, sf).select("event_id", parse(body, action, F.col("user_id")).alias("d"))
+    return d.select("event_id", "d.end_x", "d.shot_outcome", "d.replacement", "d.scores", "d.card", F.array_join("d.reasons", ",").alias("reasons"))
+
+
+@query("runner_advances", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+m AS (SELECT *, q % 2 = 0 AS on1, q % 3 = 0 AS on2, q % 5 = 0 AS on3, CAST(q % 6 AS INTEGER) AS b, CASE WHEN q % 7 < 5 THEN CAST(q % 7 AS INTEGER) END AS d1 FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST((CASE WHEN least(b, 4) = 4 THEN 1 ELSE 0 END) + (CASE WHEN on1 AND d1 = 4 THEN 1 ELSE 0 END) + (CASE WHEN on3 THEN 1 ELSE 0 END) AS INTEGER) AS runs,
+  CAST((CASE WHEN b = 0 THEN 1 ELSE 0 END) + (CASE WHEN on1 AND d1 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS outs,
+  CAST(1 + (CASE WHEN on1 AND d1 IS NOT NULL AND d1 <> 1 THEN 1 ELSE 0 END) + (CASE WHEN on3 THEN 1 ELSE 0 END) AS INTEGER) AS moves FROM m""")
+def runner_advances(spark, sf):
+    from ..functions.adapters import runner_advances as parse
+
+    q = F.col("l_quantity").cast("long")
+    on = lambda n, name: F.when(q % n == 0, name)
+    bases = F.array(on(2, "r1"), on(3, "r2"), on(5, "r3"))
+    to = F.array((q % 6).cast("int"), F.when(q % 7 < 5, (q % 7).cast("int")), F.lit(None).cast("int"), F.lit(4))
+    d = lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse(F.lit("b"), bases, to, F.lit(0)).alias("d"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "d.runs", "d.outs", F.size("d.moves").alias("moves"))
+
+
 @query("grid_observation_check", """
 WITH o AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS h, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts FROM events),
 c AS (SELECT *, count(*) OVER (PARTITION BY user_id, h) AS same FROM o)
