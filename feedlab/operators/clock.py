@@ -81,11 +81,12 @@ def hour_coverage(df: DataFrame, ts: str, keys: list[str] | None = None) -> Data
     return out.withColumns({"missing": F.col("expected") - F.col("present"), "ratio": F.round(F.col("present") / F.col("expected"), 6)})
 
 
-def missing_hours(df: DataFrame, ts: str) -> DataFrame:
-    """Hours between the first and the last that have no row."""
-    seen = df.select(hour(F.col(ts)).alias("hour")).distinct()
-    calendar = seen.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("hour"))
-    return calendar.join(seen, "hour", "left_anti")
+def missing_hours(df: DataFrame, ts: str, by: list[str] | None = None) -> DataFrame:
+    """Hours between the first and the last of a group that have no row."""
+    by = by or []
+    seen = df.select(*by, hour(F.col(ts)).alias("hour")).distinct()
+    calendar = seen.groupBy(*by).agg(F.min("hour").alias("a"), F.max("hour").alias("b")).where("a IS NOT NULL").select(*by, F.explode(F.sequence("a", "b")).alias("hour"))
+    return calendar.join(seen, [*by, "hour"], "left_anti")
 
 
 def complete_days(df: DataFrame, ts: str, key: list[str] | None = None) -> DataFrame:

@@ -65,11 +65,14 @@ def walk_forward_folds(rows: DataFrame, game: str, time: str, least: int) -> Dat
     return out.withColumn("usable", F.col("train_games") >= least)
 
 
-def walk_forward_pairs(rows: DataFrame, test: DataFrame, game: str, time: str) -> DataFrame:
-    """(test game, train game) pairs for a given set of test games: the training lists themselves."""
-    span = rows.groupBy(game).agg(F.min(time).alias("start"), F.max(time).alias("end"))
-    tests = span.join(test.select(game).distinct(), game, "left_semi").select(F.col(game).alias("test_game"), F.col("start").alias("_start"))
-    return tests.join(span.select(F.col(game).alias("train_game"), F.col("end").alias("_end")), F.col("_end") < F.col("_start")).select("test_game", "train_game")
+def walk_forward_pairs(rows: DataFrame, tests: DataFrame, game: str, time: str) -> DataFrame:
+    """(test, train_game) pairs for periods of test games, given as (test, start): the training lists themselves.
+
+    A list has every game that ended before its period starts. The periods are those of a calendar, so the lists are
+    linear in the games; for one list a game, ``walk_forward_membership`` needs no pairs.
+    """
+    span = rows.groupBy(F.col(game).alias("train_game")).agg(F.max(time).alias("_end"))
+    return span.join(F.broadcast(tests.select("test", "start")), F.col("_end") < F.col("start")).select("test", "train_game")
 
 
 def walk_forward_membership(rows: DataFrame, game: str, time: str) -> DataFrame:

@@ -64,9 +64,9 @@ def hour_coverage(spark, sf):
     return c.hour_coverage(events(spark, sf), "ts", ["event_type"])
 
 
-@query("missing_hours", f"WITH h AS (SELECT DISTINCT {_HOUR.format('ts')} AS hour FROM events WHERE event_type = 'signup') SELECT hour FROM (SELECT unnest(range(min(hour), max(hour) + 1)) AS hour FROM h) ANTI JOIN h USING (hour)")
+@query("missing_hours", f"WITH h AS (SELECT DISTINCT event_type, {_HOUR.format('ts')} AS hour FROM events), r AS (SELECT event_type, unnest(range(min(hour), max(hour) + 1)) AS hour FROM h GROUP BY 1) SELECT event_type, hour FROM r ANTI JOIN h USING (event_type, hour)")
 def missing_hours(spark, sf):
-    return c.missing_hours(events(spark, sf).where("event_type = 'signup'"), "ts")
+    return c.missing_hours(events(spark, sf), "ts", ["event_type"])
 
 
 @query("complete_days", "SELECT CAST(hour_start AS DATE) AS day, count(*) AS objects, count(DISTINCT hour(hour_start)) AS hours, count(*) = 24 AND count(DISTINCT hour(hour_start)) = 24 AS complete FROM (SELECT DISTINCT date_trunc('hour', ts) AS hour_start, event_type FROM events WHERE event_type = 'click') GROUP BY 1")

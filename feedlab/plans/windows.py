@@ -131,14 +131,18 @@ def walk_forward_folds(spark, sf):
 
 
 @query("walk_forward_pairs", """
-WITH s AS (SELECT game, min(d) AS a, max(d) AS b FROM (SELECT o_custkey AS game, o_orderdate AS d FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1)
-SELECT s.game AS test_game, t.game AS train_game FROM s JOIN s t ON t.b < s.a WHERE s.game % 40 = 0""")
+WITH s AS (SELECT o_custkey AS game, max(o_orderdate) AS b FROM orders GROUP BY 1)
+SELECT y.test, s.game AS train_game FROM s JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS test, date_trunc('year', o_orderdate) AS start FROM orders) y ON s.b < y.start""")
 def walk_forward_pairs(spark, sf):
-    rows = orders(spark, sf).where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("game"), F.col("o_orderdate").alias("d"))
-    return splits.walk_forward_pairs(rows, rows.where("game % 40 = 0"), "game", "d")
+    rows = orders(spark, sf).select(F.col("o_custkey").alias("game"), F.col("o_orderdate").alias("d"))
+    years = rows.select(F.year("d").alias("test"), F.date_trunc("year", "d").alias("start")).distinct()
+    return splits.walk_forward_pairs(rows, years, "game", "d")
 
 
-@query("walk_forward_membership")
+@query("walk_forward_membership", """
+WITH s AS (SELECT o_custkey AS game, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1),
+e AS (SELECT b, row_number() OVER (ORDER BY b) AS k FROM (SELECT DISTINCT b FROM s))
+SELECT s.game, e.k AS bucket, coalesce(p.k, 0) AS trains_upto FROM s JOIN e ON e.b = s.b ASOF LEFT JOIN e p ON s.a > p.b""")
 def walk_forward_membership(spark, sf):
     rows = orders(spark, sf).select(F.col("o_custkey").alias("game"), F.col("o_orderdate").alias("d"))
     return splits.walk_forward_membership(rows, "game", "d")
