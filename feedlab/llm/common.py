@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,11 @@ class Scratch:
             if table is not None and id(table) in self.paths:
                 self._delete(self.paths[id(table)][1])
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over, which it does once the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -330,7 +330,9 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
         rows = _entry_rows(df, text, k, p, q).withColumnRenamed("entry", "list")
         rows = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).where("low < high")
         lists = work.stored(rows.select("list", "node").distinct(), "lists")
+        work.sweep()
         sets = work.stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "sets")
+        work.sweep()
         n_sets, first = sets.count(), True
         edges, label = None, spark.createDataFrame([], "node long, component long")
         while True:
@@ -361,6 +363,7 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
                     old, label = label, components(edges, work)
                     work.drop(old)
             work.drop(near)
+            work.sweep()
             judged = work.stored(_labelled(long, label), "judged")
             work.drop(long)
             unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
@@ -368,6 +371,8 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
             if left.isEmpty():
                 return stored(label.select("node", "component"), "jaccard-components")
             lists = work.stored(_shared_differences(left, sets, p, q, work), "lists")
+            work.drop(left, judged)
+            work.sweep()
 
 
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p: int = 85, q: int = 100) -> DataFrame:

@@ -118,6 +118,84 @@ def test_decontamination_of_every_accepted_placement(spark):
     assert not any(decontam._lost(n, n - math.ceil(0.7 * n), [m for m, _ in decontam.masks_for([n], 0.7)]) for n in range(8, 14))
 
 
+def test_decontamination_against_a_brute_force_aligner(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(60)}"  # noqa: E731  few words, so that chance overlaps come up too
+    items = [[word() for _ in range(n)] for n in (*range(1, 16), 20, 28, 40)]
+    texts = []
+    for _ in range(150):
+        item = rng.choice(items)
+        start = rng.randrange(len(item))
+        part = [x if rng.random() > rng.choice((0.0, 0.15, 0.3)) else word() for x in item[start : start + rng.randrange(1, 41)]]
+        texts.append([word() for _ in range(rng.randrange(0, 25))] + part + [word() for _ in range(rng.randrange(0, 25))])
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            need = min(len(item), 13)
+            for offset in range(-len(item) + 1, len(text)):
+                same = [0 <= j + offset < len(text) and text[j + offset] == x for j, x in enumerate(item)]
+                if max(sum(same[k : k + need]) for k in range(len(same) - need + 1)) >= math.ceil(0.8 * need):
+                    inside = min(len(item), len(text) - offset) - max(0, -offset)
+                    want[d, i] = max(want.get((d, i), (0, 0)), (sum(same), inside))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").withColumn("seed", F.lit("clash"))
+    df = docs(spark, [" ".join(t) for t in texts]).withColumns({c: F.lit("clash") for c in ("k", "t", "item", "pos", "offset")})
+    got = {(r.doc_id, r.item_id): (r.matched, r.overlap) for r in decontam.overlaps(df, bench).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_very_long_pages(spark, tmp_path):
+    long = "<article>" + "<p>" + "x" * 99 + "</p>" + "<p>word </p>" * 200_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://" + "a" * 100_000 + ".net/" + "b" * 100_000, long), (2, None, None), (3, "http://a.org/fr/", long)], "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("key", "payload", "record_type", "rule", "verdict")})
+    src, dst = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    warc.write_monolithic(warc.plan_records(pages, "page_id", "url", "html"), src)
+    assert warc.normalise(spark, src, dst).agg(F.sum("n_records")).first()[0] == 3
+    got = {r.record_id: (r.warc_type, r.payload_bytes, r.payload_digest) for r in warc.read_records(warc.read_index(spark, dst), run_bytes=1000).collect()}
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    assert got == {"<urn:page:1>": ("response", len(long), digest), "<urn:page:3>": ("revisit", len(long), digest), "<urn:page:2>": ("response", 0, hashlib.sha256(b"").hexdigest())}
+    texts = [r.text for r in html.extract(pages).orderBy("page_id").collect()]
+    assert texts[0] == texts[2] == "x" * 99 + "\nword" * 200_000 and texts[1] == ""
+    none = spark.createDataFrame([], "key string")
+    judged = urls.judge(pages, none, [("net/", "block"), ("org/fr/", "allow")])
+    assert [(len(r.host), r.rule, r.verdict) for r in judged.orderBy("page_id").collect()] == [(100_004, "net/", "block"), (0, None, "allow"), (5, "org/fr/", "allow")]
+
+
+def test_warc_of_no_pages_and_names_of_archives(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    src, dst = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    warc.write_monolithic(warc.plan_records(none, "page_id", "url", "html"), src)
+    assert warc.normalise(spark, src, dst).agg(F.sum("n_records")).first()[0] in (None, 0)
+    assert warc.read_records(warc.read_index(spark, dst)).count() == 0
+    names = [warc.target_name(f"file:/in/{x}.gz", "file:///in/") for x in ("a", "a.warc", "a.txt", "b/a", "b%2Fa")]
+    assert len(set(names)) == 5 and not any("/" in x for x in names)
+    for name, body in (("a.warc.gz", b"one"), ("a.txt.gz", b"two")):
+        (tmp_path / "two").mkdir(exist_ok=True)
+        (tmp_path / "two" / name).write_bytes(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\n" + body + b"\r\n\r\n"))
+    done = warc.normalise(spark, f"file://{tmp_path}/two", f"file://{tmp_path}/both").collect()
+    assert sorted(r.n_records for r in done) == [1, 1] and len({r.archive for r in done}) == 2
+
+
+def test_quality_limits_and_copies(spark):
+    body = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
+    line = "a line of more than twenty words " + " ".join(f"l{j}" for j in range(20))
+    twenty = [(i, f"{body(i)}\n{line}", "en", "a", 1) for i in range(20)]
+    got = quality.judge(spark.createDataFrame(twenty, DOCS)).where("n_boiler_words > 0").count()
+    assert got == 0  # just 20 documents: not above the limit
+    more = [*twenty, (20, f"{body(20)}\n{line}", "en", "a", 1)]
+    assert quality.judge(spark.createDataFrame(more, DOCS)).where("n_boiler_words = 27").count() == 21
+    few = [*more, *[(100 + i, body(100 + i), "en", "a", 1) for i in range(2079)]]  # 21 of 2100 are 1 %, not more
+    assert quality.judge(spark.createDataFrame(few, DOCS)).where("n_boiler_words > 0").count() == 0
+    copies = [(i, "\n".join(f"{body(k)}" for k in range(5)) + (f"\nedit {i}" if i % 3 == 0 else ""), "en", "a", 1) for i in range(150)]
+    assert quality.judge(spark.createDataFrame(copies, DOCS)).where("kept AND n_boiler_words = 0").count() == 150
+    half = [(i, f"{' '.join(f'h{i}x{j}' for j in range(27))}\n{line}", "en", "a", 1) for i in range(30)]
+    assert quality.judge(spark.createDataFrame(half, DOCS)).where("kept AND n_boiler_words = 27 AND n_words = 54").count() == 30  # half is not more than half
+    joined = quality.LITERAL_LINES
+    try:
+        quality.LITERAL_LINES = -1
+        assert quality.judge(spark.createDataFrame(more, DOCS)).where("n_boiler_words = 27 AND size(boiler) = 1").count() == 21
+    finally:
+        quality.LITERAL_LINES = joined
+
+
 def test_main_text_keeps_short_pages_closing_parts_and_layout_classes():
     assert html.main_text("<p>A short note.</p><p>And its end.</p>") == "A short note.\nAnd its end."
     long, advert = "long text " * 20, "<div class='ad-slot'>" + "<p>buy</p>" * 4 + "</div>"
