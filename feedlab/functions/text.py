@@ -19,8 +19,6 @@ ID_PATTERNS = {
     "condition": r"^condition_[A-Za-z0-9][A-Za-z0-9._:-]*$",
     "experiment": r"^X-[0-9]{2,}$",
 }
-SPORTS = ("nba", "nfl", "soccer", "mlb", "f1")
-RELATIONS = ("identity", "subset", "superset", "overlap", "mutex", "exhaustive", "incompatible")
 # Native drive results and their class; everything else is "other".
 DRIVE_CLASSES = {"touchdown": "touchdown", "field goal": "field_goal", "punt": "punt", "turnover": "turnover", "turnover on downs": "turnover"}
 

@@ -39,16 +39,15 @@ def depth_vwap(levels: DataFrame, keys: list[str], order: list, price: str, size
 
 
 def closing_levels(feed: DataFrame, keys: list[str], snapshot: Column, side: Column, order: list[str], price: str = "price", size: str = "size") -> DataFrame:
-    """Levels of each book after its last event, by windows only: last snapshot's epoch, last size of each level, zeros out.
+    """Levels of each book after its last event: what its last snapshot set and later rows changed, sizes of zero out.
 
     ``feed`` has one row for each touched level; rows of a snapshot are marked by ``snapshot`` and share their order key.
+    Only aggregates are used, which are made before the shuffle too, so that no book's rows meet in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = feed.withColumns({"_side": side, "_snap": snapshot}).where("_side IS NOT NULL")
-    epochs = rows.withColumn("_epoch", F.max(F.when(F.col("_snap"), F.struct(*order))).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    last = epochs.withColumn("_last", F.max("_epoch").over(Window.partitionBy(*keys)))
-    kept = last.where(F.col("_epoch").eqNullSafe(F.col("_last")))
-    return kept.groupBy(*keys, F.col("_side").alias("side"), price).agg(F.max_by(size, F.struct(*order)).alias("size")).where("size > 0")
+    rows = feed.withColumns({"_side": side, "_snap": snapshot, "_at": F.struct(*order)}).where("_side IS NOT NULL")
+    last = rows.groupBy(*keys).agg(F.max(F.when(F.col("_snap"), F.col("_at"))).alias("_last"))
+    kept = rows.join(last, keys).where(F.col("_last").isNull() | (F.col("_at") >= F.col("_last")))
+    return kept.groupBy(*keys, F.col("_side").alias("side"), price).agg(F.max_by(size, "_at").alias("size")).where("size > 0")
 
 
 BOOK_SCHEMA = "seq long, event_id long, kind string, bids array<struct<price:decimal(18,4),size:decimal(18,6)>>, asks array<struct<price:decimal(18,4),size:decimal(18,6)>>, flags array<string>, regression boolean, gap boolean"

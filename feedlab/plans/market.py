@@ -55,18 +55,11 @@ def book_best_levels(spark, sf):
     kind, price = F.col("kind"), F.col("price")
     row = lambda side, p: F.struct(F.lit(side).alias("side"), p.cast("decimal(12,4)").alias("p"))
     touched = F.when(kind == "signup", F.array(row("bid", price), row("ask", price * F.lit("1.02").cast("decimal(3,2)")))).when(kind == "purchase", F.array(row("bid", price))).when(kind == "view", F.array(row("ask", price)))
-    levels = feed(spark, sf).where(touched.isNotNull()).select("stream", F.struct("received", "event_id").alias("at"), "kind", "size", F.inline(touched)).withColumnRenamed("p", "price")
-    last = levels.withColumn("_snap", F.max(F.when(F.col("kind") == "signup", F.col("at"))).over(_by("stream"))).where(F.col("_snap").isNull() | (F.col("at") >= F.col("_snap")))
-    closing = last.groupBy("stream", "side", "price").agg(F.max_by("size", "at").alias("size")).where("size > 0")
+    levels = feed(spark, sf).where(touched.isNotNull()).select("stream", "received", "event_id", "kind", "size", F.inline(touched)).withColumnRenamed("p", "price")
+    closing = books.closing_levels(levels, ["stream"], F.col("kind") == "signup", F.col("side"), ["received", "event_id"])
     return closing.groupBy("stream").agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("best_ask"), F.count(F.lit(1)).alias("levels"))
 
 
-def _by(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def book_rows(spark, sf):
     """The feed in the form that the book fold reads."""
     kind, price = F.col("kind"), F.col("price").cast("decimal(18,4)")
