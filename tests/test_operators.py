@@ -199,3 +199,36 @@ def test_walk_forward_membership_equals_pairs(spark):
     out = splits.walk_forward_membership(df, "game", "d").collect()
     got = {(s.game, t.game) for s in out for t in out if t.bucket <= s.trains_upto}
     assert got == {(s, t) for s in span for t in span if span[t][1] < span[s][0]} and len(out) == 40
+
+
+def test_overlapping_labels_go_greedily(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, i, at(t), at(t + rng.randrange(0, 90))) for k in "ab" for i, t in enumerate(sorted(rng.sample(range(2_000), 60)))] + [("c", 0, at(5), at(5)), ("c", 1, at(5), at(9))]
+    df = spark.createDataFrame(rows, "k string, anchor_id int, anchor timestamp, end timestamp").repartition(3)
+    got = {(r.k, r.anchor_id) for r in labels.drop_overlap(df, ["k"], "anchor", "end", 7_000_000, 3_000_000).collect()}
+    want, last = set(), {}
+    for k, i, a, e in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if k not in last or a > last[k] + timedelta(seconds=10):
+            want.add((k, i))
+            last[k] = e
+    assert got == want and 0 < len(want) < len(rows)
+
+
+def test_exact_quantiles_by_buckets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"few": [1.0], "ties": [2.0] * 50 + [3.0] * 7, "wide": [*rng.normal(0, 1, 300), 1e9], "even": [float(x) for x in range(10)]}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    from feedlab.operators import clock
+
+    ps = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], buckets=8).collect()}
+    assert set(got) == {*groups, None} and got[None] == [4.0] * 5
+    assert all(got[g] == pytest.approx(list(np.quantile(xs, ps))) for g, xs in groups.items())
+    ranks = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], nearest=True, buckets=8).collect()}
+    assert all(ranks[g] == pytest.approx(list(np.quantile(xs, ps, method="inverted_cdf"))) for g, xs in groups.items())
+    assert list(clock.quantiles(df, F.col("x"), [0.5]).first()) == pytest.approx([float(np.median([x for _, x in rows if x is not None]))])
