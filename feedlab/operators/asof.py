@@ -88,8 +88,14 @@ def range_join(points: DataFrame, rows: DataFrame, keys: list[str], start: str,
     return left.join(right, [*keys, "_b"]).where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))).drop("_b")
 
 
+#: Rows of a grid at most; it is broadcast and multiplies every row.
+MOST_GRID_ROWS = 10_000
+
+
 def cross_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every row with every row of a grid of fixed size."""
+    """Every row with every row of a grid; ValueError for a grid of more than MOST_GRID_ROWS rows."""
+    if grid.limit(MOST_GRID_ROWS + 1).count() > MOST_GRID_ROWS:
+        raise ValueError(f"a grid has at most {MOST_GRID_ROWS} rows")
     return df.crossJoin(F.broadcast(grid))
 
 

@@ -232,3 +232,10 @@ def test_exact_quantiles_by_buckets(spark):
     ranks = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], nearest=True, buckets=8).collect()}
     assert all(ranks[g] == pytest.approx(list(np.quantile(xs, ps, method="inverted_cdf"))) for g, xs in groups.items())
     assert list(clock.quantiles(df, F.col("x"), [0.5]).first()) == pytest.approx([float(np.median([x for _, x in rows if x is not None]))])
+
+
+def test_grids_are_small(spark):
+    df = spark.range(3)
+    assert asof.cross_grid(df, spark.range(4).toDF("g")).count() == 12
+    with pytest.raises(ValueError):
+        asof.cross_grid(df, spark.range(asof.MOST_GRID_ROWS + 1).toDF("g"))
