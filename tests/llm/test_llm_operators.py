@@ -297,6 +297,17 @@ def test_suffix_tree_equals_brute_force(spark):
     assert suffix_tree.score(suffix_tree.symbols(docs(spark, ["a b"]).select("doc_id", "text")), m0, w0).first().n_known == 0
 
 
+def test_lookups_of_many_values():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint64, np.int64):
+        keys = np.unique(rng.integers(0, 2**62, 50_000).astype(kind))
+        wanted = rng.permutation(np.concatenate((keys[rng.integers(0, len(keys), 30_000)], rng.integers(0, 2**62, 30_000).astype(kind))))
+        places = {k: i for i, k in enumerate(keys.tolist())}
+        assert suffix_tree._find(keys, wanted).tolist() == [places.get(x, -1) for x in wanted.tolist()]
+        assert suffix_tree._find(keys, wanted[:50]).tolist() == [places.get(x, -1) for x in wanted[:50].tolist()]
+        assert suffix_tree._find(keys[:0], wanted[:2]).tolist() == [-1, -1]
+
+
 def test_suffix_tree_bounds_keep_the_most_frequent(spark):
     texts = [f"a b c d{i % 7} a b c e{i % 5}" for i in range(60)]
     form = suffix_tree.symbols(docs(spark, texts).select("doc_id", "text"))
