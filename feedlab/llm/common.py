@@ -40,13 +40,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/feedlab/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    return _written(df, shared_dir(df.sparkSession, name))
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``folders``: columns whose values get folders of their own, of which a filter on them reads those it needs.
+    """
+    return _written(df, shared_dir(df.sparkSession, name), *folders)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _written(df: DataFrame, path: str, *folders: str) -> DataFrame:
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, line_dedup, quality, sharding, suffix_tree, urls, warc
+from . import audit, bpe, decontam, html, jaccard, line_dedup, quality, sharding, suffix_tree, urls, warc
 from .common import shared_dir, stored, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -74,7 +74,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op4_suffix_tree, op5_url_cascade, op6_line_windows, op7_byte_bpe, op8_shard_table, op9_main_text, op10_ngram_jaccard)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op4_suffix_tree, op5_url_cascade, op6_line_windows, op7_byte_bpe, op8_shard_table, op9_main_text, op10_ngram_jaccard, op13_filter_audit)}
 
 ORACLES = {
     "op1_quality_lines": r"""
@@ -117,7 +121,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
     "op5_url_cascade": r"""
 WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 rules(rule, name, start, what) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM u JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM u JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id),
 b AS (SELECT DISTINCT host FROM u JOIN pages USING (page_id) WHERE regexp_matches(url, '(^|[/.=_-])(spam|casino|pills|bets|ads)([/.=_-]|$)'))
 SELECT u.page_id, host, path, rule, coalesce(what, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN m USING (page_id)""",
     "op10_ngram_jaccard": r"""
@@ -129,4 +133,21 @@ e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 z AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT z.y, r.c FROM r JOIN z ON z.x = r.doc_id)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, unnest([CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+  + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+  + 16 * CAST(coalesce(doc_id > first, false) AS INTEGER)]) AS m, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN s USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, b)),
+o AS (SELECT p.x || q.x || r.x || u.x || v.x AS filter_order, [p.b, q.b, r.b, u.b, v.b] AS bs FROM b p, b q, b r, b u, b v WHERE p.b + q.b + r.b + u.b + v.b = 31 AND len(list_distinct([p.b, q.b, r.b, u.b, v.b])) = 5),
+st AS (SELECT filter_order, step, bs[step] AS own, CAST(coalesce(list_sum(bs[1:step - 1]), 0) AS INTEGER) AS before FROM o, range(1, 6) g(step)),
+k AS (SELECT part, filter_order, step, own, sum(CASE WHEN m & (before + own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & own > 0 AND m & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN m & own > 0 AND m & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN m & own > 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & own > 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, st GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM k""",
 }
