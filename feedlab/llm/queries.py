@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, html, jaccard, line_dedup, quality, sharding, suffix_tree, urls, warc
+from . import audit, bpe, decontam, html, jaccard, line_dedup, prefix_trie, quality, secret_scan, sharding, suffix_tree, urls, warc
 from .common import shared_dir, stored, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -74,11 +74,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    each = [of(i).alias(f"n_{k}") for i, k in enumerate(secret_scan.BASE)]
+    everything = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["kind"], s["end"])))
+    return out.select("doc_id", *each, F.sha2(secret_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(everything).alias("spans"), F.size("added").cast("long").alias("n_added"), "n_live", "n_examples")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op4_suffix_tree, op5_url_cascade, op6_line_windows, op7_byte_bpe, op8_shard_table, op9_main_text, op10_ngram_jaccard, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op2_decontaminate, op3_warc, op4_suffix_tree, op5_url_cascade, op6_line_windows, op7_byte_bpe, op8_shard_table, op9_main_text, op10_ngram_jaccard, op11_secret_owners, op12_prefix_trie, op13_filter_audit)}
+
+_KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = "(" + _KEYWORDS + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Matches of a pattern, their values and what stands between them, of which the starts are the running sums.
+_MATCHES = "regexp_extract_all(t, '{0}') AS m, regexp_extract_all(t, '{0}', {1}) AS v, string_split_regex(t, '{0}') AS s"
+
 
 ORACLES = {
     "op1_quality_lines": r"""
@@ -150,4 +168,34 @@ k AS (SELECT part, filter_order, step, own, sum(CASE WHEN m & (before + own) = 0
   sum(CASE WHEN m & own > 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & own > 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, st GROUP BY ALL)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM k""",
+    "op11_secret_owners": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, owner, 0 AS kind, 6 AS least, {_MATCHES.format(_ASSIGN, 2)} FROM d UNION ALL SELECT doc_id, owner, 1, 20, {_MATCHES.format("AKIA[A-Z0-9]+", 0)} FROM d
+  UNION ALL SELECT doc_id, owner, 2, 24, {_MATCHES.format("[0-9a-f]{24,}", 0)} FROM d UNION ALL SELECT doc_id, owner, 3, 20, {_MATCHES.format("[A-Za-z0-9+/_=-]{20,}", 0)} FROM d),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r WHERE len(m) > 0),
+p AS (SELECT doc_id, owner, kind, least, v[i] AS value, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, length(m[i]) AS n FROM i),
+c AS (SELECT doc_id, owner, kind, value, CAST(b AS BIGINT) AS b, CAST(b + n AS BIGINT) AS e, len(list_distinct(string_split(value, ''))) AS chars,
+  len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(lower(value), 'example|changeme|placeholder|your|xxxx|12345|abcdef') AS random FROM p WHERE length(value) >= least),
+g AS (SELECT * FROM c WHERE kind < 3 UNION ALL SELECT * FROM c WHERE kind = 3 AND random AND chars >= 12 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM c x WHERE x.kind < 3 AND x.doc_id = c.doc_id AND x.b < c.e AND c.b < x.e)),
+o AS (SELECT value, count(DISTINCT doc_id) AS repos, count(DISTINCT owner) AS owners FROM g GROUP BY value),
+f AS (SELECT g.*, owners <= 2 AND repos <= 20 AND random AS live, owners >= 10 AS copied, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e AS name FROM g JOIN o USING (value)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name, ',' ORDER BY b, kind) FILTER (kind < 3) AS base,
+  string_agg(name, ',' ORDER BY b, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (kind = 3 AND live) AS n_added, count(*) FILTER (live) AS n_live, count(*) FILTER (copied AND kind < 3) AS n_examples FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM d LEFT JOIN a USING (doc_id)""",
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(s ORDER BY p) AS l, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS UBIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS UBIGINT[])), lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, CAST(3988292384 AS UBIGINT)) ELSE u // 2 END)) AS z FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, CAST(xor(z, CAST(4294967295 AS UBIGINT)) % 9 AS BIGINT) AS h FROM c),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r),
+n AS (SELECT l[1:d] AS path, d AS depth, count(*) AS n_convs, min(conv_id) AS conv_id, string_agg(CASE WHEN len(l) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY l[1:d], d),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+g AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(n.path[depth].x)) ELSE 0 END AS saved FROM n LEFT JOIN k ON n.path = k.path),
+u AS (SELECT path[1:i] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM g) GROUP BY path[1:i])
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN u ON g.path = u.path LEFT JOIN g p ON g.depth = p.depth + 1 AND g.path[1:g.depth - 1] = p.path""",
 }
