@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, stored
+
 #: Rates above which a feed is downgraded.
 NEGATIVE_RATE, ABS_P99_MS = 0.001, 5000
 
@@ -19,8 +21,10 @@ def hour(ts: Column) -> Column:
 
 def lag_stats(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows, negative lags, smallest, median, 95th percentile and largest lag in ms."""
-    d = df.withColumn("_d", lag_ms())
-    return d.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_d") < 0).alias("n_negative"), F.min("_d").alias("min_ms"), F.round(F.percentile("_d", 0.5), 6).alias("median_ms"), F.round(F.percentile("_d", 0.95), 6).alias("p95_ms"), F.max("_d").alias("max_ms"))
+    d, n = F.col("_d"), F.col("_n")
+    counted = df.groupBy(*(by or []), lag_ms().alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counted.groupBy(*(by or [])).agg(total(n).alias("n_rows"), total(F.when(d < 0, n)).alias("n_negative"), F.min(d).alias("min_ms"), F.round(F.percentile(d, 0.5, n), 6).alias("median_ms"), F.round(F.percentile(d, 0.95, n), 6).alias("p95_ms"), F.max(d).alias("max_ms"))
 
 
 def lag_histogram(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -124,36 +128,62 @@ def common_window(islands: DataFrame, keys: list[str]) -> DataFrame:
     return each.agg(F.max("n").alias("n"), F.max("a").alias("start_us"), F.min("b").alias("end_us")).where("n = 1 AND start_us <= end_us").drop("n")
 
 
-def quantiles(df: DataFrame, value: Column, ps: list[float], by: list[str] | None = None, nearest: bool = False, buckets: int = 1024) -> DataFrame:
+#: Distinct values of a group that one task may rank; larger groups are cut at splitters first.
+RANKED_AT_ONCE = 200_000
+#: Ranges that a group is cut into in one round.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, value: Column, ps: list[float], by: list[str] | None = None, nearest: bool = False, at_once: int | None = None) -> DataFrame:
     """Exact quantiles q0, q1, .. of a group's values, continuous or by nearest rank; groups without values give no row.
 
-    Equal values are counted first. A group's range is cut into buckets of equal width, so that ranks are counted by
-    bucket and no task sorts or holds all values of a group.
+    Equal values are counted first. While a group has more distinct values than one task may rank, it is cut at
+    splitters that a sketch of its values gives, so that the ranges hold about as many values each whatever their
+    distribution; ranges are counted, and those that hold a wanted rank go on. Only the result stays stored.
     """
-    by = by or []
-    rows = df.select(*by, value.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    bounds = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-
-    def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        if not keys:
-            return a.crossJoin(F.broadcast(b))  # one row
-        b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
-        same = [a[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)]
-        return a.join(b, same).drop(*[f"_k{i}" for i in range(len(keys))])
-
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")).cast("double") / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = joined(rows, bounds.select(*by, "_lo", "_hi"), by).withColumn("_b", place.cast("int")).select(*by, "_b", "_v", "_c")
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).drop("_s")
-    local = placed.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = joined(joined(local, before, [*by, "_b"]), bounds.select(*by, "_n"), by).withColumn("_upto", F.col("_upto") + F.col("_before"))
-    first = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
-    if nearest:
-        return ranked.groupBy(*by).agg(*[first(F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1))).alias(f"q{i}") for i, p in enumerate(ps)])
-    at = lambda p: (F.col("_n") - 1) * F.lit(p)
-    got = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[first(F.floor(at(p)) + 1).cast("double").alias(f"_a{i}") for i, p in enumerate(ps)], *[first(F.ceil(at(p)) + 1).cast("double").alias(f"_z{i}") for i, p in enumerate(ps)])
-    return got.select(*by, *[(F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (at(p) - F.floor(at(p)))).alias(f"q{i}") for i, p in enumerate(ps)])
+    by, at_once = by or [], at_once or RANKED_AT_ONCE
+    spark, keys = df.sparkSession, [f"_k{i}" for i in range(len(by))]
+    own = [*keys, "_slot"]
+    counted = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], value.alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+    def beside(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        b = b.withColumnsRenamed({c: f"{c}_r" for c in on})
+        out = a.join(b, [a[c].eqNullSafe(b[f"{c}_r"]) for c in on], how)
+        return out if how == "left_semi" else out.drop(*[f"{c}_r" for c in on])
+
+    def running(rows: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_upto", F.sum("_c").over(w))
+
+    with scratch(spark, "quantiles") as keep:
+        rows = keep(counted.withColumn("_slot", F.lit(0).cast("long")), "counted")
+        n = F.sum("_c")
+        ranks = [F.greatest(F.ceil(n * F.lit(p)), F.lit(1)) for p in ps] if nearest else [f((n - 1) * F.lit(p)) + 1 for p in ps for f in (F.floor, F.ceil)]
+        wanted = rows.groupBy(*own).agg(F.array(*[r.cast("long") for r in ranks]).alias("_ranks")).select(*own, F.posexplode("_ranks").alias("_q", "_rank"))
+        totals = rows.groupBy(*own).agg(n.alias("_n")).drop("_slot")
+        wanted, depth = keep(wanted, "wanted-0"), 0
+        while (size := rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first())[0] is not None and size[0] > at_once:
+            depth += 1
+            cuts = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10_000)).alias("_cuts"))
+            if size[1] <= RANKED_AT_ONCE // RANGES:
+                cuts = F.broadcast(cuts)  # a row a group, counted just now
+            placed = beside(rows, cuts, own).withColumn("_r", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+            tally = running(placed.groupBy(*own, "_r").agg(F.sum("_c").alias("_c")), "_r")
+            hit = beside(wanted, tally, own).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
+            down = (F.col("_slot") * RANGES + F.col("_r")).alias("_slot")
+            hit = keep(hit.select(*own, "_r", "_q", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank")), f"hit-{depth}")
+            rows = keep(beside(placed, hit.select(*own, "_r").distinct(), [*own, "_r"], "left_semi").select(*keys, down, "_v", "_c"), f"rows-{depth}")
+            wanted = hit.select(*keys, down, "_q", "_rank")
+        found = beside(wanted, running(rows, "_v"), own).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
+        got = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(f"_a{i}") for i in range(len(ranks))])
+        if nearest:
+            got = got.select(*keys, *[F.col(f"_a{i}").alias(f"q{i}") for i in range(len(ps))])
+        else:
+            part = lambda p: (F.col("_n") - 1) * F.lit(p) - F.floor((F.col("_n") - 1) * F.lit(p))
+            low, high = lambda i: F.col(f"_a{2 * i}").cast("double"), lambda i: F.col(f"_a{2 * i + 1}").cast("double")
+            whole = beside(got, totals, keys) if keys else got.join(F.broadcast(totals), F.lit(True))
+            got = whole.select(*keys, *[(low(i) + (high(i) - low(i)) * part(p)).alias(f"q{i}") for i, p in enumerate(ps)])
+        return stored(got.withColumnsRenamed(dict(zip(keys, by, strict=True))), "quantiles-result")
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

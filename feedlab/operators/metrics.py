@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,23 +83,63 @@ def abs_delta(df: DataFrame, a: str, b: str) -> DataFrame:
     return whole.join(F.broadcast(ranks), F.lit(True), "left").select("n", "n_missing", "mean", "p50", "p95", "largest")
 
 
+#: Clusters that one task draws from at a time.
+CLUSTERS_AT_ONCE = 1024
+
+
+def bootstrap_counts(seed: int, sizes: list[int], bucket: int, replicates: int) -> np.ndarray:
+    """How often each cluster of a bucket is drawn in each replicate (replicates x clusters), of draws from all buckets' clusters.
+
+    The draws of all clusters are split in two down a binary tree over the buckets, left and right by a binomial of
+    their shares, and at the bucket among its clusters: jointly that is the multinomial of drawing with replacement. A
+    node's generator is seeded by its place, so every bucket below it sees the same splits.
+    """
+    ends = np.cumsum(sizes)
+    low, high = 0, len(sizes)
+    draws = np.full(replicates, int(ends[-1]), dtype=np.int64)
+    count = lambda a, b: int(ends[b - 1] - (ends[a - 1] if a else 0)) if b > a else 0
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(draws, count(low, middle) / count(low, high))
+        draws, low, high = (left, low, middle) if bucket < middle else (draws - left, middle, high)
+    own = sizes[bucket]
+    return np.random.default_rng([seed, low, high, 1]).multinomial(draws, np.full(own, 1 / own))
+
+
+def replicate_sums(sums: DataFrame, cluster: str, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, draws, values): per replicate, how many clusters were drawn (as many as there are) and the sums over them.
+
+    Clusters are dealt to buckets by hash; a bucket draws for all replicates and gives out a row for each of them, so
+    that neither clusters nor draws meet in one task.
+    """
+    k = sums.count()
+    n_buckets = max(1, -(-k // CLUSTERS_AT_ONCE))
+    dealt = sums.select(F.pmod(F.xxhash64(cluster), F.lit(n_buckets)).cast("int").alias("_bucket"), F.xxhash64(F.lit(1), F.col(cluster)).alias("_place"), F.col(cluster).alias("_c"), *[F.col(v).cast("double").alias(v) for v in values])
+    held = dict(dealt.groupBy("_bucket").agg(F.count(F.lit(1))).collect())  # a row for a thousand clusters
+    sizes = [held.get(b, 0) for b in range(n_buckets)]
+    schema = pa.schema([("replicate", pa.int32()), ("draws", pa.float64()), *[(v, pa.float64()) for v in values]])
+
+    def draw(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("_place", "ascending"), ("_c", "ascending")])
+        counts = bootstrap_counts(seed, sizes, part["_bucket"][0].as_py(), replicates)
+        got = [pa.array(counts @ part[v].to_numpy()) for v in values]
+        return pa.Table.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(counts.sum(1).astype(float)), *got], schema=schema)
+
+    each = dealt.groupBy("_bucket").applyInArrow(draw, "replicate int, draws double, " + ", ".join(f"{v} double" for v in values))
+    return each.groupBy("replicate").agg(F.sum("draws").cast("long").alias("draws"), *[F.sum(v).alias(v) for v in values])
+
+
 def cluster_bootstrap(df: DataFrame, y: str, p: str, cluster: str, replicates: int = 200, level: float = 0.95, prior: str | None = None, seed: int = 7, min_valid: int = 50) -> DataFrame:
     """Percentile intervals of the Brier score and log loss from resampling whole clusters, as many as were observed.
 
-    Each cluster is summed first, so replicates cost clusters x replicates rows whatever the number of rows. A replicate
-    draws, for each of its places, the cluster whose rank a seeded hash picks; replicates without both classes are left out.
+    Each cluster is summed first; see ``replicate_sums`` for the draws. Replicates without both classes are left out.
     With ``prior`` the scores are differences (model minus prior). No row where under ``min_valid`` replicates are valid.
     """
-    from pyspark.sql import Window
-
     b, lo = brier(F.col(y), F.col(p)), log_loss(F.col(y), F.col(p))
     if prior:
         b, lo = b - brier(F.col(y), F.col(prior)), lo - log_loss(F.col(y), F.col(prior))
     sums = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(b).alias("b"), F.sum(lo).alias("l"), F.sum(y).alias("ones"))
-    ranked = sums.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    draws = ranked.select("place", "k").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "place"), F.col("k")).cast("int").alias("place"))
-    each = drawn.join(ranked.drop("k"), "place").groupBy("replicate").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum("ones").alias("ones"))
+    each = replicate_sums(sums, cluster, ["n", "b", "l", "ones"], replicates, seed)
     valid = each.where("ones > 0 AND ones < n").select((F.col("b") / F.col("n")).alias("b"), (F.col("l") / F.col("n")).alias("l"))
     a = (1 - level) / 2
     return valid.agg(F.count(F.lit(1)).alias("replicates"), *[F.round(F.percentile(c, q), 6).alias(f"{name}_{side}") for c, name in (("b", "brier"), ("l", "log_loss")) for q, side in ((a, "low"), (1 - a, "high"))]).where(F.col("replicates") >= min_valid)
@@ -124,8 +166,16 @@ def calibration_slope(df: DataFrame, y: str, p: str, rounds: int = 12) -> DataFr
 def liquidity_census(df: DataFrame, by: list[str], market: str, trading: Column, pit: Column, spread: Column, depth: Column, ts: str) -> DataFrame:
     """Per group and in all (grouping sets): markets, hours in play, median spread and depth, pause share, rows without PIT data.
 
-    Medians are over trading rows with PIT data; the pause share is over all rows with PIT data.
+    Medians are over trading rows with PIT data and exact (``clock.quantiles``); the pause share is over all rows with PIT data.
     """
     live = trading & pit
     rows = df.select(*by, F.col(market).alias("_m"), live.alias("_live"), pit.alias("_pit"), F.when(live, spread).alias("_s"), F.when(live, depth).alias("_d"))
-    return rows.rollup(*by).agg(F.count_distinct("_m").alias("markets"), F.count_if("_live").alias("live_rows"), F.round(F.percentile("_s", 0.5), 6).alias("median_spread"), F.round(F.percentile("_d", 0.5), 6).alias("median_depth"), F.round(F.count_if(F.col("_pit") & ~F.col("_live")) / F.count_if("_pit"), 6).alias("pause_share"), F.count_if(~F.col("_pit")).alias("pit_missing"), F.grouping_id().cast("int").alias("level"))
+    whole = rows.rollup(*by).agg(F.count_distinct("_m").alias("markets"), F.count_if("_live").alias("live_rows"), F.round(F.count_if(F.col("_pit") & ~F.col("_live")) / F.count_if("_pit"), 6).alias("pause_share"), F.count_if(~F.col("_pit")).alias("pit_missing"), F.grouping_id().cast("int").alias("level"))
+    n = len(by)
+    levels = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n))))  # how many of the columns a level groups by
+    levels = levels.select(*[F.when(F.col("_i") > i, F.col(c)).alias(c) for i, c in enumerate(by)], (F.call_function("shiftleft", F.lit(1), F.lit(n) - F.col("_i")) - 1).cast("int").alias("level"), "_s", "_d")
+    out = whole
+    for value, name in (("_s", "median_spread"), ("_d", "median_depth")):
+        found = quantiles(levels, F.col(value), [0.5], [*by, "level"]).withColumnsRenamed({**{c: f"_r{i}" for i, c in enumerate(by)}, "level": "_l", "q0": name})
+        out = out.join(found.withColumn(name, F.round(name, 6)), [out["level"] == found["_l"], *[out[c].eqNullSafe(found[f"_r{i}"]) for i, c in enumerate(by)]], "left").drop("_l", *[f"_r{i}" for i in range(n)])
+    return out.select(*by, "markets", "live_rows", "median_spread", "median_depth", "pause_share", "pit_missing", "level")

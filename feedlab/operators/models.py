@@ -1,4 +1,4 @@
-"""Model steps as Spark jobs: logistic, boosted, multinomial and Poisson fits, temperature, walk-forward runs."""
+"""Model steps as Spark jobs: logistic, boosted, multinomial and Poisson fits, temperature. Walk-forward runs are in ``forward``."""
 
 from __future__ import annotations
 
@@ -72,20 +72,3 @@ def fit_temperature(rows: DataFrame, target: str, probs: str, cluster: str, low:
         low, high = best / step, best * step
     return best
 
-
-def walk_forward_run(rows: DataFrame, cutoffs: list, date: str, features: list[str], target: str, key: str, least: int) -> DataFrame:
-    """Scores of each cutoff's rows by a model of strictly earlier rows: one distributed fit a cutoff. Cutoffs ascend."""
-    out = None
-    for i, cutoff in enumerate(cutoffs):
-        train = rows.where(F.col(date) < F.lit(cutoff))
-        counts = train.agg(F.count(F.lit(1)), F.count_distinct(target)).first()
-        if counts[0] < least or counts[1] < 2:
-            continue
-        test = rows.where(F.col(date) >= F.lit(cutoff))
-        if i + 1 < len(cutoffs):
-            test = test.where(F.col(date) < F.lit(cutoffs[i + 1]))
-        part = score_frame(test, fit_outcome(train, features, target), key).withColumn("cutoff", F.lit(cutoff))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no cutoff has enough earlier rows of both classes")
-    return out

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``keep(df, part)`` stores tables that are deleted when the block ends: nothing computed later may read them."""
+    top = shared_dir(spark, name)
+
+    def keep(df: DataFrame, part: str) -> DataFrame:
+        path = f"{top}/{part}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        there = spark._jvm.org.apache.hadoop.fs.Path(top)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
