@@ -66,45 +66,89 @@ def _normal(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """(line hash, words, others_low, others_high) of each line of a text that holds a word; the last two tell its other lines apart."""
+    """(line hash, words) of each line of a text that holds a word."""
     full = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normal), lambda x: x != "")
+    return F.transform(full, lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n")))
 
-    def rows(x: Column) -> Column:
-        marks = F.sort_array(F.array_distinct(F.transform(x, lambda y: F.md5(y))))
 
-        def each(m: Column) -> Column:
-            beside = lambda first, second, own: F.xxhash64(F.coalesce(F.when(F.get(m, first) != own, F.get(m, first)).otherwise(F.get(m, second)), F.lit("")))
-            last = F.size(m) - 1
-            return F.transform(x, lambda y: let(F.md5(y), lambda own: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n"), beside(F.lit(0), F.lit(1), own).alias("low"), beside(last, last - 1, own).alias("high"))))
+def _marked_lines(text: Column) -> Column:
+    """(line hash, words, ends) of each different line: ``ends`` are hashes of its first and of its last words, by which an edited line is known.
 
-        return let(marks, each)
+    Three words from six on, two from three on; shorter lines have no ends.
+    """
+    full = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normal), lambda x: x != ""))
+
+    def row(y: Column, w: Column) -> Column:
+        n = F.size(w)
+        few = F.when(n >= 6, 3).otherwise(2)
+        end = lambda tag, first: F.xxhash64(F.lit(tag), F.array_join(F.slice(w, first, few), " "))
+        return F.struct(F.xxhash64(y).alias("line"), n.alias("n"), F.when(n >= 3, F.array(end("first", F.lit(1)), end("last", n - few + 1))).otherwise(F.array().cast("array<bigint>")).alias("ends"))
 
-    return let(full, rows)
+    return F.transform(full, lambda y: let(F.split(y, " "), lambda w: row(y, w)))
 
 
 #: Most boilerplate lines whose hashes are handed to the executors as one literal set (8 bytes each); more are joined.
 LITERAL_LINES = 50_000
+#: A text with a smaller share of words of its own than one in OWN_SHARE is a near copy.
+OWN_SHARE = 10
+
+
+def _kinds(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, hits, kind) of each text with lines in ``often``: those lines, and the hash of the set of its own lines.
+
+    Own lines are those that are neither in ``often`` nor, by one of their ends, an edited form of such a line. ``kind`` is
+    null where they have less than a tenth of the words: such a text is a near copy of others.
+    """
+
+    def kind(lines: Column, words: Column, total: Column) -> Column:
+        return F.when((words > 0) & (words * OWN_SHARE >= total), F.xxhash64(F.sort_array(lines)))
+
+    if often.count() <= LITERAL_LINES:
+        found = often.select(F.xxhash64("host", "line"), F.transform("ends", lambda e: F.xxhash64(F.col("host"), e))).collect()  # bounded by LITERAL_LINES
+        lines, ends = sorted({r[0] for r in found}), sorted({e for r in found for e in r[1]})
+        known = lambda x: F.xxhash64(F.col("host"), x["line"]).isin(lines) if lines else F.lit(False)
+        edited = lambda x: F.exists(x["ends"], lambda e: F.xxhash64(F.col("host"), e).isin(ends)) if ends else F.lit(False)
+        split = texts.select("host", "lines", F.filter("lines", known).alias("hit")).where(F.size("hit") > 0)
+        split = split.withColumn("own", F.filter("lines", lambda x: ~known(x) & ~edited(x)))
+        count = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"])
+        return split.select("host", F.transform("hit", lambda x: x["line"]).alias("hits"), kind(F.transform("own", lambda x: x["line"]), count("own"), count("lines")).alias("kind"))
+    same = lambda a, b, *more: a.join(b, [a["host"].eqNullSafe(b["_h"]), *more], "left")
+    each = texts.select("host", "t", F.explode("lines").alias("x")).select("host", "t", "x.*")
+    each = same(each, often.select(F.col("host").alias("_h"), F.col("line").alias("_l")), F.col("line") == F.col("_l")).withColumn("known", F.col("_l").isNotNull()).drop("_h", "_l")
+    cuts = often.select(F.col("host").alias("_h"), F.explode("ends").alias("_e")).distinct()
+    near = each.where("NOT known").select("host", "t", "line", F.explode("ends").alias("end"))
+    near = near.join(cuts, near["host"].eqNullSafe(cuts["_h"]) & (F.col("end") == F.col("_e"))).select(F.col("host").alias("_h"), F.col("t").alias("_t"), F.col("line").alias("_l")).distinct()
+    each = same(each, near, F.col("t") == F.col("_t"), F.col("line") == F.col("_l")).withColumn("own", ~F.col("known") & F.col("_l").isNull())
+    by_text = each.groupBy("host", "t").agg(F.collect_list(F.when(F.col("known"), F.col("line"))).alias("hits"), F.collect_list(F.when(F.col("own"), F.col("line"))).alias("own"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("words"), F.sum("n").alias("total"))
+    return by_text.where(F.size("hits") > 0).select("host", "hits", kind(F.col("own"), F.col("words"), F.col("total")).alias("kind"))
 
 
 def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_docs: int = 20, max_share: float = 0.01, max_docs: int = 100) -> DataFrame:
-    """(host, line) of the boilerplate lines of each host; see ``with_line_verdict``. One pass over the texts; no text is shuffled."""
-    each = stored(df.select(F.col(host).alias("host"), F.explode(F.array_distinct(_lines(F.col(text)))).alias("x")).select("host", "x.line", "x.low", "x.high"), "quality-lines")
-    sizes = df.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
-    held = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    often = held.join(sizes.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).where((F.col("n") > max_docs) | (F.col("n") > max_share * F.col("n_host"))).select("host", "line", "n")
-    often = stored(often, "quality-often").select(F.col("host").alias("_h"), F.col("line").alias("_l"), "n")
-    rows = each.join(often, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l")))
-    kinds = rows.groupBy("host", "line", "n").agg(F.greatest(F.count_distinct("low"), F.count_distinct("high")).alias("kinds"))
-    return kinds.where((F.col("kinds") > min_docs) & (2 * F.col("kinds") > F.col("n"))).select("host", "line")
+    """(host, line) of the boilerplate lines of each host; see ``with_line_verdict``.
+
+    Null and empty texts have no lines, a null host is a host, repeated rows and equal texts count once, an empty table has
+    no boilerplate, and further columns are not looked at. One pass over the texts, of which hashes alone are shuffled.
+    """
+    texts = df.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), _marked_lines(F.col(text)).alias("lines")).where(F.size("lines") > 0)
+    texts = stored(texts.dropDuplicates(["host", "t"]), "quality-texts")
+    sizes = df.groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("n_host"))
+    each = texts.select("host", F.explode("lines").alias("x")).select("host", "x.line", "x.ends")
+    often = stored(each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.first("ends").alias("ends")).where(F.col("n") > min_docs), "quality-often")
+    held = _kinds(texts, often).select("host", "kind", F.explode("hits").alias("line")).groupBy("host", "line").agg(F.count_distinct("kind").alias("kinds"), F.count_if(F.col("kind").isNull()).alias("copies"))
+    # near copies are one kind; one in ten of them may have got lines of its own by chance
+    documents = F.col("kinds") + F.least("copies", F.lit(1)) - F.col("copies") / OWN_SHARE
+    rows = held.withColumn("documents", documents).where(F.col("documents") > min_docs)
+    rows = rows.join(sizes, F.col("host").eqNullSafe(F.col("_h")))
+    return rows.where((F.col("documents") > max_docs) | (F.col("documents") > max_share * F.col("n_host"))).select("host", "line")
 
 
 def with_line_verdict(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", max_removed: float = 0.5, **limits) -> DataFrame:
     """``df`` with ``boiler`` (hashes of the row's boilerplate lines), ``n_boiler_words`` and ``depleted``.
 
-    A line is boilerplate if more than ``max_docs`` documents of its host hold it (or more than ``min_docs`` and
-    ``max_share`` of them), and these differ otherwise: documents that share their other lines too, as copies and near
-    copies of one text do, are one kind, and the kinds must be more than ``min_docs`` and more than half of the
-    documents. Kinds are told apart by the smallest and by the largest hash of the other lines, whichever finds more.
+    A line is boilerplate if more than ``max_docs`` documents of its host hold it, or more than ``min_docs`` and
+    ``max_share`` of them. Copies and near copies of one text count as one document: documents are told apart by the set of
+    their own lines, which are not themselves held by more than ``min_docs`` and don't begin or end as such a line does, and
+    a text with less than a tenth of its words in own lines (as texts of similarity 0.8 have) is a near copy.
 
     Every row is a document, repeated rows too, and none is dropped. Lines of any length are counted, without regard to
     case and to the amount of white space; null, empty and blank texts have none. A null host is a host like any other.
@@ -113,7 +157,7 @@ def with_line_verdict(df: DataFrame, host: str = "source", key: str = "doc_id",
     """
     found = stored(boilerplate(df, host, text, **limits), "quality-boilerplate")
     base = df.drop("boiler", "n_boiler_words", "depleted")
-    own = F.transform(_lines(F.col(text)), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n")))
+    own = _lines(F.col(text))
     if found.count() <= LITERAL_LINES:
         known = [r[0] for r in found.select(F.xxhash64("host", "line")).collect()]  # bounded by LITERAL_LINES
         hit = F.filter(own, lambda x: F.xxhash64(F.col(host), x["line"]).isin(known)) if known else F.array().cast("array<struct<line:bigint,n:int>>")

@@ -108,13 +108,21 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unn
 b AS (SELECT doc_id, source, t, ls, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS fl FROM w),
-x AS (SELECT doc_id, source, list_transform(fl, lambda y: trim(lower(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) AS xs FROM b),
-m AS (SELECT *, list_sort(list_distinct(list_transform(xs, lambda y: md5(y)))) AS ms FROM x),
-y AS (SELECT doc_id, source, line, md5(line) AS own, ms, len(string_split(line, ' ')) AS n FROM (SELECT doc_id, source, ms, unnest(xs) AS line FROM m)),
-z AS (SELECT source, line, count(*) AS c, greatest(count(DISTINCT lo), count(DISTINCT hi)) AS kinds FROM (SELECT DISTINCT doc_id, source, line,
-  coalesce(CASE WHEN ms[1] <> own THEN ms[1] ELSE ms[2] END, '') AS lo, coalesce(CASE WHEN ms[len(ms)] <> own THEN ms[len(ms)] WHEN len(ms) > 1 THEN ms[len(ms) - 1] END, '') AS hi FROM y) GROUP BY ALL),
-f AS (SELECT source, line FROM z JOIN (SELECT source, count(*) AS s FROM d GROUP BY source) USING (source) WHERE c > 20 AND (c > 100 OR c > 0.01 * s) AND kinds > 20 AND 2 * kinds > c),
-q AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_boiler_words FROM y JOIN f USING (source, line) GROUP BY doc_id)
+x AS (SELECT doc_id, source, t, list_transform(fl, lambda y: trim(lower(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')) AS xs FROM b),
+y AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS n FROM (SELECT doc_id, source, unnest(xs) AS line FROM x)),
+tx AS (SELECT min(doc_id) AS id, source, any_value(list_distinct(xs)) AS xs FROM x GROUP BY source, t),
+tl AS (SELECT id, source, line, string_split(line, ' ') AS w FROM (SELECT id, source, unnest(xs) AS line FROM tx)),
+te AS (SELECT id, source, line, len(w) AS n, CASE WHEN len(w) >= 6 THEN 3 ELSE 2 END AS e, w FROM tl),
+tm AS (SELECT id, source, line, n, CASE WHEN n >= 3 THEN ['first ' || array_to_string(w[1:e], ' '), 'last ' || array_to_string(w[n - e + 1:n], ' ')] ELSE [] END AS ends FROM te),
+z AS (SELECT source, line, any_value(ends) AS ends FROM tm GROUP BY source, line HAVING count(*) > 20),
+ze AS (SELECT DISTINCT source, unnest(ends) AS e FROM z),
+near AS (SELECT DISTINCT id, line FROM (SELECT id, source, line, unnest(ends) AS e FROM tm) m JOIN ze ON ze.source IS NOT DISTINCT FROM m.source AND ze.e = m.e),
+k AS (SELECT m.id, m.source, m.line, m.n, z.line IS NOT NULL AS known, z.line IS NULL AND near.id IS NULL AS own FROM tm m LEFT JOIN z ON z.source IS NOT DISTINCT FROM m.source AND z.line = m.line LEFT JOIN near ON near.id = m.id AND near.line = m.line),
+kd AS (SELECT id, source, list(line) FILTER (known) AS hits, CASE WHEN sum(CASE WHEN own THEN n ELSE 0 END) > 0 AND 10 * sum(CASE WHEN own THEN n ELSE 0 END) >= sum(n) THEN list_sort(list(line) FILTER (own)) END AS kind FROM k GROUP BY id, source),
+h2 AS (SELECT source, line, count(DISTINCT kind) AS kinds, count(*) FILTER (kind IS NULL) AS copies FROM (SELECT source, kind, unnest(hits) AS line FROM kd) GROUP BY source, line),
+h3 AS (SELECT source, line, kinds + least(copies, 1) - copies / 10 AS docs FROM h2),
+f AS (SELECT h3.source, line FROM h3 JOIN (SELECT source, count(*) AS s FROM d GROUP BY source) c ON c.source IS NOT DISTINCT FROM h3.source WHERE docs > 20 AND (docs > 100 OR docs > 0.01 * s)),
+q AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_boiler_words FROM y JOIN f ON f.source IS NOT DISTINCT FROM y.source AND f.line = y.line GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(fl) - len(list_distinct(fl)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, coalesce(n_boiler_words, 0) AS n_boiler_words,
   NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND NOT coalesce(n_boiler_words, 0) > 0.5 * n_words AS kept

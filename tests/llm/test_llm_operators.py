@@ -196,6 +196,24 @@ def test_quality_limits_and_copies(spark):
         quality.LITERAL_LINES = joined
 
 
+@pytest.mark.parametrize("literal", [50_000, -1])
+def test_quality_template_heavy_hosts(spark, monkeypatch, literal):
+    """On hosts of mostly template lines all of them go, and all documents are depleted; near copies of one text keep theirs."""
+    monkeypatch.setattr(quality, "LITERAL_LINES", literal)
+    rng = random.Random(8)
+    line = lambda tag: " ".join(f"{tag}{j}" for j in range(9))
+    rows = []
+    for h in range(4):
+        template = [line(f"t{h}x{k}y") for k in range(30)]
+        rows += [(1000 * h + i, "\n".join([*template, *[line(f"o{h}x{i}x{k}y") for k in range(5)]]), "en", f"h{h}", 1) for i in range(60)]
+    story = [[f"s{k}w{j}" for j in range(9)] for k in range(14)]
+    for i in range(400):  # one word in fifty is another one
+        rows.append((9000 + i, "\n".join(" ".join(f"e{i}" if rng.random() < 0.02 else w for w in ws) for ws in story), "en", "copies", 1))
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r["n_boiler_words"] == 270 and not r["kept"] for r in got if r["source"] != "copies")
+    assert all(r["n_boiler_words"] == 0 and r["kept"] for r in got if r["source"] == "copies")
+
+
 def test_main_text_keeps_short_pages_closing_parts_and_layout_classes():
     assert html.main_text("<p>A short note.</p><p>And its end.</p>") == "A short note.\nAnd its end."
     long, advert = "long text " * 20, "<div class='ad-slot'>" + "<p>buy</p>" * 4 + "</div>"

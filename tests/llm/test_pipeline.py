@@ -21,19 +21,28 @@ ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def brute_quality(rows):
     """Rows are (doc_id, text, source); lines are boilerplate as the operator's docstring says."""
     lines = lambda t: [" ".join(WORD.findall(x)).lower() for x in (t or "").split("\n") if WORD.search(x)]
-    import hashlib
-
-    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    held, sizes = {}, Counter(s for _, _, s in rows)
-    for _, t, s in rows:
-        own = sorted({md5(x) for x in lines(t)})
+    sizes, texts = Counter(s for _, _, s in rows), {(s, t or "") for _, t, s in rows}
+
+    def ends(x):
+        w = x.split(" ")
+        e = 3 if len(w) >= 6 else 2
+        return [("first", *w[:e]), ("last", *w[-e:])] if len(w) >= 3 else []
+
+    held = Counter((s, x) for s, t in texts for x in set(lines(t)))
+    often = {k for k, n in held.items() if n > 20}
+    edges = {(s, e) for s, x in often for e in ends(x)}
+    kinds = {}
+    for s, t in texts:
+        own = {x for x in lines(t) if (s, x) not in often and not any((s, e) in edges for e in ends(x))}
+        words = sum(len(x.split(" ")) for x in own)
+        kind = frozenset(own) if words and 10 * words >= sum(len(x.split(" ")) for x in set(lines(t))) else None
         for x in set(lines(t)):
-            rest = [m for m in own if m != md5(x)] or [""]
-            held.setdefault((s, x), []).append((rest[0], rest[-1]))
+            kinds.setdefault((s, x), []).append(kind)
     boiler = set()
-    for (s, x), marks in held.items():
-        n, kinds = len(marks), max(len({m[0] for m in marks}), len({m[1] for m in marks}))
-        if n > 20 and (n > 100 or n > 0.01 * sizes[s]) and kinds > 20 and 2 * kinds > n:
+    for (s, x), found in kinds.items():
+        copies = found.count(None)
+        n = len(set(found) - {None}) + min(copies, 1) - copies / 10
+        if (s, x) in often and n > 20 and (n > 100 or n > 0.01 * sizes[s]):
             boiler.add((s, x))
     out = []
     for key, t, s in rows:
