@@ -1,4 +1,4 @@
-"""Point-in-time joins. All are linear: both sides are put on one timeline per key and one running window reads it."""
+"""Point-in-time joins. All are linear: both sides are put on one timeline per key, which running windows read part by part."""
 
 from __future__ import annotations
 
@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _timeline(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None, point_tie: str | None) -> DataFrame:
+#: Length of the parts that a key's timeline is cut into: microseconds for timestamps, else units of the column.
+PART_US = 86_400_000_000
+
+
+def _part(df: DataFrame, column: str, width: int) -> Column:
+    kind = df.schema[column].dataType.typeName()
+    number = F.unix_micros(F.col(column).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(column)
+    return F.floor(number / width).cast("long")
+
+
+def _timeline(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None, point_tie: str | None, width: int) -> DataFrame:
     tie_of = lambda df, c: F.col(c) if c else F.lit(None)
     point_cols = [c for c in points.columns if c not in keys]
-    left = points.select(*keys, F.col(at).alias("_t"), tie_of(points, point_tie).alias("_tie"), F.lit(1).alias("_side"), F.struct(*point_cols).alias("_point"))
-    right = rows.select(*keys, F.col(time).alias("_t"), tie_of(rows, tie).alias("_tie"), F.lit(0).alias("_side"), F.struct(*take).alias("_row"))
+    left = points.select(*keys, _part(points, at, width).alias("_part"), F.col(at).alias("_t"), tie_of(points, point_tie).alias("_tie"), F.lit(1).alias("_side"), F.struct(*point_cols).alias("_point"))
+    right = rows.select(*keys, _part(rows, time, width).alias("_part"), F.col(time).alias("_t"), tie_of(rows, tie).alias("_tie"), F.lit(0).alias("_side"), F.struct(*take).alias("_row"))
     return left.unionByName(right, allowMissingColumns=True)
 
 
@@ -19,30 +29,48 @@ def _flat(df: DataFrame, keys: list[str], points: DataFrame, take: list[str], fo
     return got.select(*keys, *[F.col(f"_point.{c}").alias(c) for c in points.columns if c not in keys], *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
-def first_at_or_after(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None = None, point_tie: str | None = None, strict: bool = False) -> DataFrame:
+def _nearest(both: DataFrame, keys: list[str], ahead: bool, among: list[Column]) -> tuple[DataFrame, Column]:
+    """The timeline with, at the head of each part, the row that the parts before it leave, and the window that reads it.
+
+    ``among``: the order of rows and points of equal time. A part's last row is an aggregate that Spark starts before the shuffle; only the parts' rows run through a window by key.
+    """
+    end = F.max_by if not ahead else F.min_by
+    # nulls of the tie are smallest in both directions
+    place = F.struct(F.col("_t"), F.col("_tie").isNotNull(), F.col("_tie"))
+    ends = both.where("_part IS NOT NULL").groupBy(*keys, "_part").agg(end("_row", F.when(F.col("_side") == 0, place)).alias("_row"), F.max("_side").alias("_asked"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_part").desc() if ahead else F.col("_part").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_asked = 1 AND _row IS NOT NULL").select(*keys, "_part", "_row", F.lit(0).alias("_head"))
+    line = both.withColumn("_head", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    time = F.col("_t").desc() if ahead else F.col("_t").asc()
+    return line, F.last("_row", ignorenulls=True).over(Window.partitionBy(*keys, "_part").orderBy("_head", time, *among).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def first_at_or_after(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None = None, point_tie: str | None = None, strict: bool = False, part: int = PART_US) -> DataFrame:
     """Each point with ``take`` of the first row at or after it (strictly after it with ``strict``), null if there is none.
 
     A point without a time has no row. Rows of equal time come in the order of ``tie``; with ``point_tie`` a point has a place among them.
+    A key's timeline is cut into parts of the length ``part``, so that no task holds all rows of a key.
     """
-    both = _timeline(points, rows, keys, at, time, take, tie, point_tie)
-    side = F.col("_side").desc() if strict else F.col("_side").asc()
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_tie").desc_nulls_last(), side).rowsBetween(Window.unboundedPreceding, 0)
-    return _flat(both, keys, points, take, F.last("_row", ignorenulls=True).over(w))
+    both = _timeline(points, rows, keys, at, time, take, tie, point_tie, part)
+    side, tie_order = F.col("_side").desc() if strict else F.col("_side").asc(), F.col("_tie").desc_nulls_last()
+    line, found = _nearest(both, keys, True, [tie_order, side] if point_tie else [side, tie_order])
+    return _flat(line, keys, points, take, found)
 
 
-def last_at_or_before(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None = None) -> DataFrame:
-    """Each point with ``take`` of the last row at or before it, null if there is none."""
-    both = _timeline(points, rows, keys, at, time, take, tie, None)
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return _flat(both, keys, points, take, F.last("_row", ignorenulls=True).over(w))
+def last_at_or_before(points: DataFrame, rows: DataFrame, keys: list[str], at: str, time: str, take: list[str], tie: str | None = None, part: int = PART_US) -> DataFrame:
+    """Each point with ``take`` of the last row at or before it, null if there is none; cut into parts as ``first_at_or_after``."""
+    both = _timeline(points, rows, keys, at, time, take, tie, None, part)
+    line, found = _nearest(both, keys, False, [F.col("_side").asc(), F.col("_tie").asc_nulls_first()])
+    return _flat(line, keys, points, take, found)
 
 
-def asof_rule(points: DataFrame, rules: DataFrame, keys: list[str], at: str, max_age_us: int, fetched: str = "fetched", effective: str = "effective", valid: str = "valid", ident: str = "rule_id", take: list[str] | None = None) -> DataFrame:
+def asof_rule(points: DataFrame, rules: DataFrame, keys: list[str], at: str, max_age_us: int, fetched: str = "fetched", effective: str = "effective", valid: str = "valid", ident: str = "rule_id", take: list[str] | None = None, part: int = PART_US) -> DataFrame:
     """Each point with ``status`` and, where it is ok, the rule in force: fetched and effective by then, latest of both.
 
     ``missing``: nothing was fetched. ``not_effective``/``invalid``: nothing valid is effective (and something was invalid).
     ``invalid``: an invalid observation is as late as the chosen rule. ``stale``: the rule is older than ``max_age_us``.
-    The pick is by effective time, not by arrival, so running maxima over the timeline are kept, not the last row.
+    The pick is by effective time, not by arrival, so running maxima over the timeline are kept, not the last row; those of
+    a part begin with the maxima of the parts before it.
     """
     take = take or [ident]
     point_cols = [c for c in points.columns if c not in keys]
@@ -51,7 +79,13 @@ def asof_rule(points: DataFrame, rules: DataFrame, keys: list[str], at: str, max
     seen = rules.select(*keys, F.col(fetched).alias("_t"), F.lit(0).alias("_side"), F.lit(True).alias("_seen"), F.when(~F.col(valid), F.col(fetched)).alias("_invalid"))
     usable = rules.where(F.col(valid)).select(*keys, F.greatest(fetched, effective).alias("_t"), F.lit(0).alias("_side"), pick.alias("_pick"))
     line = probes.unionByName(seen, True).unionByName(usable, True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("_part", _part(line, "_t", part))
+    running = ("_seen", "_pick", "_invalid")
+    parts = line.where("_part IS NOT NULL").groupBy(*keys, "_part").agg(*[F.max(c).alias(c) for c in running], F.max("_side").alias("_asked"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = parts.withColumns({c: F.max(c).over(before) for c in running}).where("_asked = 1").select(*keys, "_part", *running, F.lit(0).alias("_side"), F.lit(0).alias("_head"))
+    line = line.withColumn("_head", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_part").orderBy("_head", "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     got = line.withColumns({"_s": F.max("_seen").over(w), "_c": F.max("_pick").over(w), "_i": F.max("_invalid").over(w)}).where("_side = 1")
     age = F.unix_micros("_t") - F.unix_micros("_c.f")
     status = (

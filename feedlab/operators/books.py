@@ -50,10 +50,11 @@ def closing_levels(feed: DataFrame, keys: list[str], snapshot: Column, side: Col
     return kept.groupBy(*keys, F.col("_side").alias("side"), price).agg(F.max_by(size, "_at").alias("size")).where("size > 0")
 
 
-BOOK_SCHEMA = "seq long, event_id long, kind string, bids array<struct<price:decimal(18,4),size:decimal(18,6)>>, asks array<struct<price:decimal(18,4),size:decimal(18,6)>>, flags array<string>, regression boolean, gap boolean"
+PRICE, SIZE = "decimal(18,4)", "decimal(18,6)"
+BOOK_SCHEMA = f"seq long, event_id long, kind string, bids array<struct<price:{PRICE},size:{SIZE}>>, asks array<struct<price:{PRICE},size:{SIZE}>>, flags array<string>, regression boolean, gap boolean"
 
 
-def _reduce(state: dict, row: dict, gap_us: int) -> tuple[dict, dict | None]:
+def reduce_row(state: dict, row: dict, gap_us: int) -> tuple[dict, dict | None]:
     """One feed row (kind book, price_change or another; bids, asks, price, size, side, received_us, source_us)."""
     flags = {"duplicate_event"} if row.get("had_duplicates") else set()
     regression = state["source"] is not None and row["source_us"] is not None and row["source_us"] < state["source"]
@@ -89,16 +90,21 @@ def _reduce(state: dict, row: dict, gap_us: int) -> tuple[dict, dict | None]:
     return state, {"event_id": row["event_id"], "kind": row["kind"], "bids": side("bids", True), "asks": side("asks", False), "flags": sorted(flags), "regression": regression, "gap": gap}
 
 
+def ordered_rows(feed: DataFrame) -> DataFrame:
+    """The feed without exact repeats (equal but for event_id), with received_us, source_us, had_duplicates and the content's _hash, by which rows of equal times are ordered."""
+    content = [c for c in feed.columns if c != "event_id"]
+    hashed = feed.withColumn("_hash", F.sha2(F.to_json(F.struct(*content)), 256))
+    w = Window.partitionBy("_hash")
+    once = hashed.withColumns({"_nth": F.row_number().over(w.orderBy("event_id")), "had_duplicates": F.count(F.lit(1)).over(w) > 1}).where("_nth = 1").drop("_nth")
+    return once.withColumns({"received_us": F.unix_micros("received"), "source_us": F.unix_micros("source")}).drop("received", "source")
+
+
 def rebuild_books(feed: DataFrame, keys: list[str], gap_ms: int = 60_000) -> DataFrame:
     """A book after each snapshot and delta of every stream in one job, with flags; input order does not matter.
 
     Exact duplicates (equal but for event_id) are applied once and flagged. Rows are put in the order (receive, source,
     content hash); state is two price maps a stream, and rows stream through the fold, so no stream is held in memory.
     """
-    content = [c for c in feed.columns if c != "event_id"]
-    hashed = feed.withColumn("_hash", F.sha2(F.to_json(F.struct(*content)), 256))
-    w = Window.partitionBy("_hash")
-    once = hashed.withColumns({"_nth": F.row_number().over(w.orderBy("event_id")), "had_duplicates": F.count(F.lit(1)).over(w) > 1}).where("_nth = 1").drop("_nth")
-    rows = once.withColumns({"received_us": F.unix_micros("received"), "source_us": F.unix_micros("source")}).drop("received", "source")
+    rows = ordered_rows(feed)
     start = lambda: {"bids": {}, "asks": {}, "seen": False, "received": None, "source": None}
-    return fold_events(rows, keys, ["received_us", F.col("source_us").asc_nulls_last(), "_hash"], lambda s, r: _reduce(s, r, gap_ms * 1000), start, BOOK_SCHEMA)
+    return fold_events(rows, keys, ["received_us", F.col("source_us").asc_nulls_last(), "_hash"], lambda s, r: reduce_row(s, r, gap_ms * 1000), start, BOOK_SCHEMA)

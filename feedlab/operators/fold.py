@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -69,5 +71,66 @@ def checked_fold(df: DataFrame, keys: list[str], order: list[str | Column], redu
     return fold_events(df, keys, order, guarded, lambda: {"ended": False, "inner": start()}, f"{out}, violation string")
 
 
+def canonical(value) -> str:
+    """JSON with sorted keys and no spaces: equal values have equal texts."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+CHAIN = "sequence long, event_id string, previous_sha256 string, event_sha256 string, next_sha256 string, trace_sha256 string, state string"
+
+
+def chained_fold(df: DataFrame, keys: list[str], game: str, sequence: str, event_id: str, reduce: Callable, start: Callable) -> DataFrame:
+    """keys, ``CHAIN`` and ``violation``: a step for each row, which names the hashes of the state before, the event and the state after it.
+
+    States are what ``reduce(state, row)`` returns (plain values); their hashes are of their canonical JSON. A row whose game
+    is not the key's first game is a ``game_mismatch``, one whose number is not one more than the last a
+    ``sequence_break``; these and any RuleBroken end the key with a step that has the violation alone.
+    """
+    own = [c for c in df.columns if c not in keys]
+
+    def step(state: dict, row: dict) -> tuple[dict, dict | None]:
+        if state["game"] is None:
+            state = {**state, "game": row[game]}
+        if row[game] != state["game"]:
+            raise RuleBroken("game_mismatch")
+        if state["sequence"] is not None and row[sequence] != state["sequence"] + 1:
+            raise RuleBroken("sequence_break")
+        after = reduce(state["inner"], row)
+        text, event = canonical(after), _sha(canonical({c: row[c] for c in own}))
+        done = {"sequence": row[sequence], "event_id": str(row[event_id]), "previous_sha256": state["hash"], "event_sha256": event, "next_sha256": _sha(text), "state": text}
+        done["trace_sha256"] = _sha("|".join(str(done[c]) for c in TRACED))
+        return {"game": state["game"], "sequence": row[sequence], "inner": after, "hash": done["next_sha256"]}, done
+
+    def first() -> dict:
+        inner = start()
+        return {"game": None, "sequence": None, "inner": inner, "hash": _sha(canonical(inner))}
+
+    return checked_fold(df, keys, [sequence, event_id], step, first, CHAIN)
+
+
+#: What the hash of a step covers.
+TRACED = ("sequence", "event_id", "previous_sha256", "event_sha256", "next_sha256")
+
+
+def verify_chain(steps: DataFrame, keys: list[str], start: Column) -> DataFrame:
+    """(keys, sequence, problem) of the steps of ``chained_fold`` that don't fit: ``state`` (its hash isn't next_sha256), ``trace``, ``link`` and ``number``.
+
+    All steps are checked in parallel; only the link to the step before needs a window by key. ``start`` is the first state's JSON.
+    """
+    w = Window.partitionBy(*keys).orderBy("sequence")
+    good = steps.where("violation IS NULL")
+    before, number = F.lag("next_sha256").over(w), F.lag("sequence").over(w)
+    rows = good.select(*keys, "sequence", *[c for c in ("previous_sha256", "next_sha256", "trace_sha256", "state")], before.alias("_before"), number.alias("_number"), F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in TRACED]), 256).alias("_trace"))
+    found = F.array_compact(F.array(
+        F.when(~F.sha2(F.col("state"), 256).eqNullSafe(F.col("next_sha256")), "state"), F.when(~F.col("_trace").eqNullSafe(F.col("trace_sha256")), "trace"),
+        F.when(~F.col("previous_sha256").eqNullSafe(F.coalesce("_before", F.sha2(start, 256))), "link"), F.when(F.col("_number").isNotNull() & (F.col("sequence") != F.col("_number") + 1), "number"),
+    ))
+    return rows.select(*keys, "sequence", F.explode(found).alias("problem"))
+
+
 class RuleBroken(ValueError):
     """A row that a reducer's rules do not allow; its text is the category."""

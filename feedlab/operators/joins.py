@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def beside(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal name, nulls being equal to nulls; the columns come once."""
+    b = b.withColumnsRenamed({c: f"_{c}_r" for c in on})
+    out = a.join(b, [F.col(c).eqNullSafe(F.col(f"_{c}_r")) for c in on], how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_{c}_r" for c in on])
+
+
 def exact_key_extract(rows: DataFrame, keys: DataFrame, on: list[str], max_broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(rows of the listed keys, listed keys that no row has). The list is broadcast only if it is small."""
     wanted = keys.select(*on).distinct()

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
-
-_KINDS = {type(None): "null", bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
+from pyspark.sql.types import StructType
 
 
 class UncleanRows(ValueError):
@@ -126,33 +123,39 @@ def unordered_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.groupBy(F.least(left, right).alias("low"), F.greatest(left, right).alias("high")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _json_kinds(text: str | None) -> set[tuple[str, str]]:
-    """(path, type) of every value in a JSON text; ``missing`` for null and ``invalid`` for text that is no JSON."""
-    if text is None:
-        return {("$", "missing")}
-    try:
-        left = [(json.loads(text), "$")]
-    except (ValueError, RecursionError):
-        return {("$", "invalid")}
-    out = set()
-    while left:
-        value, path = left.pop()
-        out.add((path, _KINDS[type(value)]))
-        if isinstance(value, dict):
-            left += [(x, f"{path}.{k}") for k, x in value.items()]
-        elif isinstance(value, list):
-            left += [(x, f"{path}[]") for x in value]
-    return out
-
-
-def json_types(df: DataFrame, by: str, text: str) -> DataFrame:
-    """``by``, ``path`` and the sorted set ``types`` of the values at that path in the JSON texts of all rows, nested ones included."""
-    schema = StructType([*df.select(by).schema, StructField("path", StringType()), StructField("type", StringType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            found = {(g, *x) for g, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _json_kinds(t)}
-            yield pa.RecordBatch.from_pylist([dict(zip((by, "path", "type"), x, strict=True)) for x in found], arrow)
-
-    return df.select(by, text).mapInArrow(run, schema).groupBy(by, "path").agg(F.sort_array(F.collect_set("type")).alias("types"))
+#: Names of the kinds of JSON values, by how the type of a variant begins.
+_JSON_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
+
+
+def json_types(df: DataFrame, by: str, text: str, depth: int = 8) -> DataFrame:
+    """``by``, ``path`` and the sorted set ``types`` of the values at that path in the JSON texts of all rows, nested ones included.
+
+    Texts are parsed to variants, and each level of nesting is exploded beside its own row, down to ``depth`` levels (what
+    is deeper counts as the object or array that it is in). A null text is ``missing``, one that is no JSON ``invalid``.
+    """
+    doc = F.try_parse_json(text)
+    rows = df.select(F.col(by), F.lit("$").alias("path"), doc.alias("_v"), F.when(F.col(text).isNull(), "missing").when(doc.isNull(), "invalid").alias("type"), F.lit(True).alias("_new"))
+    kind = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
+    names = F.create_map(*[F.lit(x) for pair in _JSON_KINDS.items() for x in pair])
+    spark = df.sparkSession
+    for _ in range(depth):
+        rows = rows.withColumn("_go", F.explode(F.array(F.lit(False), F.lit(True)))).where("NOT _go OR (_new AND _v IS NOT NULL)")
+        inner = spark.tvf.variant_explode_outer(F.when(F.col("_go"), F.col("_v")).outer()).select(F.col("key").alias("_key"), F.col("value").alias("_value"), F.col("pos").alias("_pos"))
+        both = rows.lateralJoin(inner).where("NOT _go OR _pos IS NOT NULL")
+        path = F.when(F.col("_key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "_key"))
+        go = F.col("_go")
+        rows = both.select(by, F.when(go, path).otherwise(F.col("path")).alias("path"), F.when(go, F.col("_value")).otherwise(F.col("_v")).alias("_v"), F.when(~go, F.col("type")).alias("type"), go.alias("_new"))
+    return rows.select(by, "path", F.coalesce("type", F.try_element_at(names, kind), kind).alias("type")).groupBy(by, "path").agg(F.sort_array(F.collect_set("type")).alias("types"))
+
+
+def json_schemas(df: DataFrame, by: str, text: str) -> DataFrame:
+    """Per group: rows, missing and invalid texts, the merged schema of the others as variants, and its fingerprint."""
+    doc = F.try_parse_json(text)
+    merged = df.select(by, doc.alias("_v"), F.col(text).isNull().alias("_missing")).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if("_missing").alias("missing"), F.count_if(~F.col("_missing") & F.col("_v").isNull()).alias("invalid"), F.schema_of_variant_agg("_v").alias("schema"))
+    return merged.withColumn("fingerprint", F.sha2(F.col("schema").cast("binary"), 256))
+
+
+def schema_fingerprint(schema: StructType) -> str:
+    """SHA-256 of the names, types and nullability of a schema's fields, in order."""
+    fields = [{"name": f.name, "nullable": f.nullable, "type": f.dataType.simpleString()} for f in schema.fields]
+    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

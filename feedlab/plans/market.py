@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import books, cost, labels, review
-from ..operators.fold import fold_events
-from .registry import events, feed, lineitem, quotes, rules, query, shifted
+from ..operators import books, cost, day, labels, review
+from ..operators.fold import chained_fold, fold_events, verify_chain
+from .registry import events, feed, lineitem, plays, query, quotes, rules, shifted
 
 
 @query("fresh_quotes", "SELECT quote_id FROM v_quotes WHERE state = 'ACTIVE' AND epoch_us(received) - epoch_us(source) <= 43200000000", "v_quotes")
@@ -89,6 +89,38 @@ def fold_counts(spark, sf):
     return fold_events(rows, ["stream"], ["seq", "event_id"], reduce, start, "books long, crossed long, regressions long, gaps long, digest string", lambda state: {**state[0], "digest": state[1].sha.hexdigest()})
 
 
+@query("day_reconstruction", """
+WITH g AS (SELECT stream, received, source, kind, price, size, count(*) AS c FROM v_feed GROUP BY ALL),
+o AS (SELECT *, kind IN ('signup', 'purchase', 'view') AS given, lag(source) OVER w AS before, lag(received) OVER w AS prior, coalesce(max(CAST(kind = 'signup' AS INTEGER)) OVER (PARTITION BY stream ORDER BY received, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
+  FROM g WINDOW w AS (PARTITION BY stream ORDER BY received, source))
+SELECT stream, CAST(sum(c) AS BIGINT) AS input_events, count(*) AS semantic_events, count(*) FILTER (given) AS states, count(*) FILTER (kind = 'signup') AS snapshots, count(*) FILTER (given AND kind <> 'signup') AS deltas,
+  count(*) FILTER (given AND source < before) AS regressions, count(*) FILTER (given AND epoch_us(received) - epoch_us(prior) > 60000000) AS gaps, count(*) FILTER (kind IN ('purchase', 'view') AND seen = 0) AS missing_initial FROM o GROUP BY stream""", "v_feed")
+def day_reconstruction(spark, sf):
+    out = day.day_report(book_rows(spark, sf), ["stream"], slice_us=24 * day.HOUR_US)
+    return out.select("stream", "input_events", "semantic_events", "states", "snapshots", "deltas", "regressions", "gaps", "missing_initial")
+
+
+@query("day_digest")
+def day_digest(spark, sf):
+    return day.day_digest(day.day_report(book_rows(spark, sf), ["stream"], slice_us=24 * day.HOUR_US), ["stream"])
+
+
+@query("hash_chained_fold", """
+WITH x AS (SELECT game, seq, event_id, sum(CASE WHEN kind = 'purchase' THEN k ELSE 0 END) OVER w AS score, seq AS plays FROM v_pbp WINDOW w AS (PARTITION BY game ORDER BY seq)),
+h AS (SELECT *, '{"plays":' || plays || ',"score":' || CAST(score AS BIGINT) || '}' AS state FROM x)
+SELECT game, CAST(seq AS BIGINT) AS sequence, coalesce(sha256(lag(state) OVER (PARTITION BY game ORDER BY seq)), sha256('{"plays":0,"score":0}')) AS previous_sha256, sha256(state) AS next_sha256, CAST(NULL AS VARCHAR) AS problem FROM h""", "v_pbp")
+def hash_chained_fold(spark, sf):
+    from ..operators.joins import beside
+
+    def reduce(state, row):
+        return {"plays": state["plays"] + 1, "score": state["score"] + (row["k"] if row["kind"] == "purchase" else 0)}
+
+    rows = plays(spark, sf).select("game", F.col("game").alias("own"), "seq", "event_id", "kind", "k")
+    steps = chained_fold(rows, ["game"], "own", "seq", "event_id", reduce, lambda: {"plays": 0, "score": 0})
+    wrong = verify_chain(steps, ["game"], F.lit('{"plays":0,"score":0}'))
+    return beside(steps, wrong, ["game", "sequence"], "left").select("game", "sequence", "previous_sha256", "next_sha256", "problem")
+
+
 _BOOKS = """
 u AS (SELECT *, rule_id % 5 <> 0 AS fees_enabled, CAST(1 + rule_id % 2 AS INTEGER) AS exponent, CAST(fee_rate * 1000 AS HUGEINT) AS rate, CAST(6 + rule_id % 3 AS HUGEINT) AS minimum FROM v_rules),
 b AS (SELECT stream, received, quote_id, CAST(500 + 100 * (floor(ask) % 80) AS HUGEINT) AS ask, CAST(500 + 100 * (floor(ask) % 80) - 200 AS HUGEINT) AS bid FROM v_quotes WHERE state = 'ACTIVE')"""
@@ -156,9 +188,9 @@ t AS (SELECT event_id, stream, received + INTERVAL 5 SECOND AS signal FROM v_fee
 c AS ({_asof("t", "signal", "4611686018427387904")}),
 x AS (SELECT c.*, (SELECT arg_min({{'t': b.received, 'a': b.ask}}, b.received) FROM b WHERE b.stream = c.stream AND b.received >= c.signal + to_seconds(CASE WHEN st = 'ok' THEN 60 ELSE 0 END)) AS bk FROM c),
 y AS (SELECT x.*, (SELECT arg_min({{'t': b.received, 'a': b.bid}}, b.received) FROM b WHERE b.stream = x.stream AND b.received >= x.bk.t + INTERVAL 2 HOUR) AS mk FROM x),
-z AS (SELECT *, CAST(10 * bk.a + 10 * (bk.a + 100) AS DOUBLE) / 200000 AS v, CASE WHEN st <> 'ok' THEN st WHEN 20 < pick.m THEN 'below_minimum' WHEN bk IS NULL THEN 'no_book' WHEN mk IS NULL THEN 'no_mark' ELSE 'ok' END AS status FROM y)
-SELECT event_id, status, CAST(epoch_us(bk.t) AS BIGINT) AS bought_us, CAST(epoch_us(mk.t) AS BIGINT) AS marked_us,
-  CAST(CASE WHEN status = 'ok' THEN round((CAST(10 * mk.a + 10 * (mk.a - 100) AS DOUBLE) - CAST(10 * bk.a + 10 * (bk.a + 100) AS DOUBLE)) / 10000 - CASE WHEN pick.on THEN 20 * CAST(pick.rate AS DOUBLE) / 1000 * power(v * (1 - v), pick.x) ELSE 0 END, 5) END AS DOUBLE) AS pnl FROM z""", "v_feed v_quotes v_rules")
+z AS (SELECT *, CAST((bk.a + 50) * (9950 - bk.a) AS HUGEINT) AS x, CASE WHEN st <> 'ok' THEN st WHEN 20 < pick.m THEN 'below_minimum' WHEN bk IS NULL THEN 'no_book' WHEN mk IS NULL THEN 'no_mark' ELSE 'ok' END AS status FROM y),
+n AS (SELECT *, CASE WHEN status = 'ok' THEN CAST(20 * mk.a - 20 * bk.a - 2000 AS HUGEINT) * 1000000000000000 - CASE WHEN pick.on THEN 20 * pick.rate * CASE pick.x WHEN 1 THEN x * 100000000 ELSE x * x END ELSE 0 END END AS n FROM z)
+SELECT event_id, status, CAST(epoch_us(bk.t) AS BIGINT) AS bought_us, CAST(epoch_us(mk.t) AS BIGINT) AS marked_us, CAST(sign(n) * ((2 * abs(n) + 100000000000000) // 200000000000000) AS DOUBLE) / 100000 AS pnl FROM n""", "v_feed v_quotes v_rules")
 def trigger_pnl(spark, sf):
     t = feed(spark, sf).where("kind = 'purchase'").select("event_id", "stream", F.col("received").alias("trigger"))
     out = cost.trigger_study(t, _priced_books(spark, sf), _priced_rules(spark, sf), ["stream"], "20", "100", 5_000_000, 0, 7_200_000_000)
@@ -190,7 +222,6 @@ SELECT game % 4 AS season, count(*) AS games, count(*) FILTER (v IS NULL) AS com
 def census_outcomes(spark, sf):
     from ..operators.fold import RuleBroken, checked_fold
     from ..operators.plays import census_outcomes as census
-    from .registry import plays
 
     def reduce(state, row):
         if row["kind"] == "error" and row["k"] == 0:

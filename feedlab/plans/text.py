@@ -42,7 +42,22 @@ def fixed_point(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("f.atoms").alias("atoms"), F.col("f.scale").alias("scale"), t.fixed_point_decode(F.col("f.atoms"), F.col("f.scale")).alias("back"))
 
 
-@query("json_schema_agg")
+_PATHS = """
+WITH d AS (SELECT event_type, TRY_CAST(props AS JSON) AS j, props FROM events),
+v AS (SELECT event_type, '$' AS path, CASE WHEN props IS NULL THEN 'missing' WHEN j IS NULL THEN 'invalid' ELSE json_type(j) END AS t FROM d
+  UNION ALL SELECT event_type, '$.' || k, json_type(j, '$.' || k) FROM (SELECT event_type, j, unnest(json_keys(j)) AS k FROM d WHERE j IS NOT NULL)),
+n AS (SELECT DISTINCT event_type, path, CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT') THEN 'BIGINT' ELSE t END AS t FROM v)"""
+
+
+@query("json_schemas", f"""{_PATHS}
+SELECT event_type, count(*) AS n, count(*) FILTER (props IS NULL) AS missing, count(*) FILTER (props IS NOT NULL AND j IS NULL) AS invalid, any_value(schema) AS schema, sha256(any_value(schema)) AS fingerprint
+FROM d JOIN (SELECT event_type, 'OBJECT<' || string_agg(path[3:] || ': ' || t, ', ' ORDER BY path) || '>' AS schema FROM n WHERE path <> '$' GROUP BY 1) USING (event_type) GROUP BY event_type""")
+def json_schemas(spark, sf):
+    return q.json_schemas(events(spark, sf), "event_type", "props")
+
+
+@query("json_schema_agg", f"""{_PATHS}
+SELECT event_type, path, string_agg(DISTINCT CASE t WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(t) END, '|') AS schema FROM n GROUP BY 1, 2""")
 def json_schema_agg(spark, sf):
     return q.json_types(events(spark, sf), "event_type", "props").select("event_type", "path", F.array_join("types", "|").alias("schema"))
 

@@ -226,10 +226,10 @@ def test_exact_quantiles_by_buckets(spark):
     from feedlab.operators import clock
 
     ps = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], buckets=8).collect()}
+    got = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], at_once=8).collect()}
     assert set(got) == {*groups, None} and got[None] == [4.0] * 5
     assert all(got[g] == pytest.approx(list(np.quantile(xs, ps))) for g, xs in groups.items())
-    ranks = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], nearest=True, buckets=8).collect()}
+    ranks = {r.g: list(r)[1:] for r in clock.quantiles(df, F.col("x"), ps, ["g"], nearest=True, at_once=8).collect()}
     assert all(ranks[g] == pytest.approx(list(np.quantile(xs, ps, method="inverted_cdf"))) for g, xs in groups.items())
     assert list(clock.quantiles(df, F.col("x"), [0.5]).first()) == pytest.approx([float(np.median([x for _, x in rows if x is not None]))])
 

@@ -77,3 +77,68 @@ def test_bootstrap_needs_both_classes(spark):
     rows = spark.range(100).select((F.col("id") % 9).alias("cluster"), F.lit(1).alias("y"), F.lit(0.4).alias("p"))
     assert metrics.cluster_bootstrap(rows, "y", "p", "cluster").count() == 0
     assert metrics.cluster_bootstrap(rows.where("false"), "y", "p", "cluster").count() == 0
+
+
+def test_asof_of_a_hot_key_is_read_in_parts(spark):
+    """One key holds nine tenths of the rows; parts of its timeline are read apart and give what one sorted pass gives."""
+    from datetime import datetime, timedelta
+
+    from feedlab.operators import asof
+
+    rng, t0 = random.Random(9), datetime(2026, 1, 1)
+    hour = 3_600_000_000
+    key = lambda: "hot" if rng.random() < 0.9 else rng.choice(["a", "b"])
+    at = lambda: t0 + timedelta(minutes=rng.randrange(0, 3000))
+    rows = [(key(), at(), i) for i in range(400)]
+    points = [(key(), at(), i) for i in range(300)] + [("hot", None, 900), ("none", t0, 901)]
+    r = spark.createDataFrame(rows, "k string, rt timestamp, rid int")
+    p = spark.createDataFrame(points, "k string, at timestamp, pid int")
+    for part in (hour, asof.PART_US):
+        for strict in (False, True):
+            got = {x["pid"]: x["rid"] for x in asof.first_at_or_after(p, r, ["k"], "at", "rt", ["rid"], tie="rid", strict=strict, part=part).collect()}
+            for k, t, i in points:
+                later = [(rt, rid) for rk, rt, rid in rows if t is not None and rk == k and (rt > t if strict else rt >= t)]
+                assert got[i] == (min(later)[1] if later else None)
+        got = {x["pid"]: x["rid"] for x in asof.last_at_or_before(p, r, ["k"], "at", "rt", ["rid"], tie="rid", part=part).collect()}
+        for k, t, i in points:
+            before = [(rt, rid) for rk, rt, rid in rows if t is not None and rk == k and rt <= t]
+            assert got[i] == (max(before)[1] if before else None)
+    rules = r.select("k", F.col("rid").alias("rule_id"), F.col("rt").alias("fetched"), (F.col("rt") + F.make_interval(hours=F.col("rid") % 30)).alias("effective"), (F.col("rid") % 7 != 0).alias("valid"))
+    one, cut = (sorted(map(tuple, asof.asof_rule(p.dropna(), rules, ["k"], "at", 40 * hour, part=x).collect()), key=str) for x in (10**18, hour))
+    assert one == cut and len({x[-2] for x in one}) >= 3
+    plan = asof.last_at_or_before(p, r, ["k"], "at", "rt", ["rid"], part=hour)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window" in line]
+    assert len(windows) == 2 and "_part" in windows[0].rsplit("[", 2)[1]  # the rows' window is by key and part; the other reads a row a part
+
+
+def test_barriers_are_found_through_the_index(spark):
+    from datetime import datetime, timedelta
+    from decimal import Decimal
+
+    from feedlab.operators import labels
+
+    rng, t0 = random.Random(12), datetime(2026, 1, 1)
+    quotes, price = [], {"x": 100.0, "y": 50.0}
+    for i in range(1500):
+        k = "x" if rng.random() < 0.8 else "y"
+        price[k] *= 1 + rng.uniform(-0.004, 0.004)
+        quotes.append((k, t0 + timedelta(seconds=rng.randrange(0, 20_000) if i % 3 else i * 13), i, Decimal(f"{price[k]:.2f}")))
+    entries = []
+    for i in range(200):
+        k, e, n = rng.choice("xy"), t0 + timedelta(seconds=rng.randrange(0, 20_000)), rng.randrange(1500)
+        mid = 100 if k == "x" else 50
+        entries.append((k, i, e, n, e + timedelta(seconds=rng.choice([0, 5, 600, 4000, 7200])), Decimal(f"{mid * (1 + rng.uniform(0, 0.05)):.8f}"), Decimal(f"{mid * (1 - rng.uniform(0, 0.05)):.8f}")))
+    q = spark.createDataFrame(quotes, "k string, received timestamp, quote_id long, bid decimal(12,2)")
+    e = spark.createDataFrame(entries, "k string, anchor_id long, entry_at timestamp, entry_id long, deadline timestamp, upper_price decimal(24,8), lower_price decimal(24,8)")
+    out = labels.touched_quotes(e, q, ["k"], 7200 * 1_000_000)
+    assert "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for r in out.collect():
+        first.setdefault(r["anchor_id"], []).append((r["received"], r["quote_id"]))
+    for k, i, at, n, end, up, low in entries:
+        want = sorted((t, j) for qk, t, j, b in quotes if qk == k and at <= t <= end and (t > at or j > n) and (b >= up or b <= low))
+        got = sorted(first.get(i, []))
+        assert bool(got) == bool(want)
+        if want:
+            at_first = [x for x in want if x[0] == want[0][0]]
+            assert [x for x in got if x[0] == got[0][0]] == at_first
