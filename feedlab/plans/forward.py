@@ -64,3 +64,12 @@ def walk_forward_scores(spark, sf):
 SELECT c.cutoff, CAST(coalesce(f.n, 0) AS BIGINT) AS train_rows, CAST(coalesce(f.w, 0) AS BIGINT) AS positives, f.last AS last_train, u.k IS NOT NULL AS usable FROM (SELECT DISTINCT cutoff FROM g) c LEFT JOIN f ON f.k = c.cutoff LEFT JOIN u ON u.k = c.cutoff""")
 def walk_forward_audit(spark, sf):
     return forward.walk_forward(_priced(spark, sf), "cutoff", "date", ["price"], "won", 50)[1]
+
+
+@query("team_strength_fit")
+def team_strength_fit(spark, sf):
+    from ..operators.strengths import fit_strengths
+
+    k = F.col("o_custkey")
+    matches = orders(spark, sf).select((k % 16).alias("home"), ((k * 7 + 5) % 16).alias("away"), (F.col("o_orderkey") % 7 % 4).alias("x"), (F.floor(F.col("o_totalprice")) % 5 % 3).alias("y")).where("home <> away")
+    return fit_strengths(matches, "home", "away", "x", "y").withColumn("value", F.round("value", 3))

@@ -24,9 +24,13 @@ def _run(out, spark, name: str, mode: str):
     def put(batch, batch_id):
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/b={batch_id}")
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
     return spark.read.schema(schema.add("_batch", IntegerType())).parquet(f"{path}/rows")
 
 
@@ -75,3 +79,33 @@ def stream_segments(spark, sf):
     # An hour that several batches have written has a manifest of each; together they are the hour's.
     hours = got.groupBy("source", "stream", "date", "hour").agg(F.sum("record_count").alias("record_count"), F.min("first_receive_at").alias("first"), F.max("last_receive_at").alias("last"))
     return hours.select("source", "stream", "date", "hour", "record_count", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+@query("stream_continuity", """
+WITH n AS (SELECT user_id, event_id * 7919 % 1000 AS seq, ts, event_type = 'error' AS cut FROM events),
+e AS (SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, cut, seq) AS epoch FROM n),
+l AS (SELECT *, max(seq) OVER (PARTITION BY user_id, epoch ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e WHERE NOT cut),
+m AS (SELECT user_id, max(epoch) AS final FROM e GROUP BY 1)
+SELECT m.user_id AS key, CAST(max(seq) FILTER (epoch = final) AS BIGINT) AS top, CAST(coalesce(sum(CASE WHEN seq > l.top THEN seq - l.top - 1 END), 0) AS BIGINT) AS missing, count(*) FILTER (seq <= l.top) AS late, CAST(any_value(final) AS BIGINT) AS unknown
+FROM m LEFT JOIN l USING (user_id) GROUP BY m.user_id""")
+def stream_continuity(spark, sf):
+    rows = _events(spark, sf).withColumn("seq", F.col("event_id") * 7919 % 1000)
+    out = s.stream_continuity(rows, "user_id", "seq", "ts", F.col("event_type") == "error", idle_ms=10 * 365 * 86_400_000)
+    return _last(_run(out, spark, "continuity", "update"), ["key"], ["top", "missing", "late", "unknown"])
+
+
+@query("segment_source", """
+SELECT event_type AS stream, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS frames, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, CAST(0 AS BIGINT) AS problems
+FROM events WHERE event_type IN ('click', 'error') AND ts >= (SELECT min(ts) + INTERVAL 36 HOUR FROM events) GROUP BY 1, 2, 3""")
+def segment_source(spark, sf):
+    from ..sources import segments
+
+    path = shared_dir(spark, "segments")
+    rows = _events(spark, sf).withColumn("venue", F.lit("venue"))
+    segments.stream_segments(rows, f"{path}/captured", f"{path}/checkpoint", source="venue", stream="event_type", receive_at="ts", payload="props").awaitTermination()
+    since = spark.read.parquet(f"{sf}/events.parquet").agg(F.min(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 36 HOURS")).first()[0]
+    got = segments.read_segments(spark, f"{path}/captured").where(F.col("stream").isin("click", "error") & (F.col("receive_at") >= F.lit(since)))
+    counts = got.groupBy("stream", "date", "hour").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.min(F.unix_micros("receive_at")).alias("first_us"), F.max(F.unix_micros("receive_at")).alias("last_us"))
+    wrong = segments.frame_problems(got).groupBy("stream", "date", "hour").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"stream": "_s", "date": "_d", "hour": "_h"})
+    both = counts.join(wrong, (F.col("stream") == F.col("_s")) & (F.col("date") == F.col("_d")) & (F.col("hour") == F.col("_h")), "left")
+    return both.select(*counts.columns, F.coalesce("n", F.lit(0)).alias("problems"))

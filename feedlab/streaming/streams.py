@@ -53,6 +53,74 @@ class SequenceGaps(StatefulProcessor):
         pass
 
 
+class Continuity(StatefulProcessor):
+    """Sequence numbers of streams that are cut: a reconnect ends an epoch, silence ends a stream, a run may begin from a snapshot.
+
+    Within an epoch numbers are counted as ``SequenceGaps`` does. What was missed across a reconnect can't be known, so the
+    next number opens a new epoch and nothing is counted as missing. When the watermark is ``idle_ms`` past a stream's last
+    frame, its row is given out once more as ended and its state goes.
+    """
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("continuity", "top long, missing long, late long, unknown long, last_ms long")
+
+    def _row(self, key, state: tuple, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "top": pd.array([state[0]], "Int64"), "missing": [state[1]], "late": [state[2]], "unknown": [state[3]], "ended": [ended]})
+
+    def _wait(self, last_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(last_ms + self.idle_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        top, missing, late, unknown, last = (initialState.iloc[0][c] for c in ("top", "missing", "late", "unknown", "last_ms"))
+        self.state.update((None if pd.isna(top) else int(top), int(missing), int(late), int(unknown), int(last)))
+        self._wait(int(last))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        top, missing, late, unknown, last = state = self.state.get() if self.state.exists() else (None, 0, 0, 0, 0)
+        if self.state.exists() and timerValues.getCurrentWatermarkInMs() >= last + self.idle_ms:  # its timer is due in this very batch
+            yield self._row(key, state, True)
+            top, missing, late, unknown, last = None, 0, 0, 0, 0
+        batch = sorted((int(t), int(r), -1 if pd.isna(x) else int(x)) for part in rows for t, r, x in zip(part["arrival_us"], part["reconnect"], part["seq"], strict=True))
+        for at, reconnect, s in batch:
+            last = max(last, at // 1000)
+            if reconnect:
+                top, unknown = None, unknown + 1
+            elif top is None or s > top:
+                missing += s - top - 1 if top is not None else 0
+                top = s
+            else:
+                late += 1
+        self.state.update((top, missing, late, unknown, last))
+        self._wait(last)
+        yield self._row(key, (top, missing, late, unknown), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        if self.state.exists():
+            state = self.state.get()
+            self.state.clear()
+            yield self._row(key, state, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_continuity(stream: DataFrame, key: str, seq: str, arrival: str, reconnect: Column, idle_ms: int, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """(key, top, missing, late, unknown, ended) after each batch and at a stream's end; see ``Continuity``. Needs the RocksDB state store.
+
+    ``initial`` (key, top, missing, late, unknown, last_ms) is the state of an earlier run, as its last rows give it; at equal
+    arrival a reconnect comes after frames. Frames ``late`` behind the newest one are not counted.
+    """
+    rows = stream.withWatermark(arrival, late).select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.col(arrival), F.unix_micros(arrival).alias("arrival_us"), reconnect.cast("int").alias("reconnect"))
+    start = None if initial is None else initial.select("key", "top", "missing", "late", "unknown", "last_ms").groupBy("key")
+    return rows.groupBy("key").transformWithStateInPandas(Continuity(idle_ms), "key long, top long, missing long, late long, unknown long, ended boolean", "Update", "EventTime", initialState=start)
+
+
 class Disorder(StatefulProcessor):
     """By key: regressions of the source clock in receive order. Rows of the newest receive time wait until a later one comes.
 

@@ -72,3 +72,31 @@ def test_segments_have_frames_and_manifests(spark, feed, tmp_path):
     assert sorted(r.seq for r in kept.collect()) == sorted(r.seq for r in table.collect())
     manifests = spark.read.json(f"{path}/manifests/batch=*").collect()
     assert sum(r.record_count for r in manifests) == 9 and {(r.date, r.hour) for r in manifests} == {("2026-03-01", 0), ("2026-03-01", 1), ("2026-03-01", 2)}
+
+
+CONTINUITY = "key long, ts timestamp, seq long, kind string"
+
+
+def cut_frames(spark, folder, batches):
+    for i, rows in enumerate(batches):
+        data = [(k, T0 + timedelta(seconds=t), seq, kind) for k, t, seq, kind in rows]
+        spark.createDataFrame(data, CONTINUITY).coalesce(1).write.parquet(f"file://{folder}/cut/{i:03d}")
+    return spark.readStream.schema(CONTINUITY).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}/cut/*")
+
+
+def test_reconnects_expiry_and_a_seeded_start(spark, tmp_path):
+    stream = cut_frames(spark, tmp_path, [
+        [(1, 10, 5, "f"), (1, 20, 8, "f"), (2, 15, 100, "f"), (3, 12, 7, "f")],
+        [(1, 30, None, "reconnect"), (1, 40, 50, "f"), (1, 50, 52, "f"), (1, 60, 51, "f"), (3, 61, 9, "f")],
+        [(3, 9_000, 12, "f")],
+        [(3, 9_600, 13, "f"), (1, 9_500, 60, "f")],
+    ])
+    seed = spark.createDataFrame([(2, 97, 4, 1, 2, int(T0.timestamp() * 1000)), (9, 40, 0, 0, 0, int(T0.timestamp() * 1000))], "key long, top long, missing long, late long, unknown long, last_ms long")
+    out = _run(streams.stream_continuity(stream, "key", "seq", "ts", F.col("kind") == "reconnect", idle_ms=3_600_000, initial=seed), spark, "t-continuity", "update")
+    rows = [tuple(r) for r in out.orderBy("_batch").select("key", "top", "missing", "late", "unknown", "ended").collect()]
+    of = lambda k: [r[1:] for r in rows if r[0] == k]
+    assert of(1)[:2] == [(8, 2, 0, 0, False), (52, 3, 1, 1, False)]  # 50 after the reconnect is no gap
+    assert (52, 3, 1, 1, True) in of(1) and of(1)[-1][:4] in [(60, 0, 0, 0), (52, 3, 1, 1)]  # ended by silence, then a stream of its own
+    assert of(2)[0] == (100, 6, 1, 2, False) and of(2)[-1] == (100, 6, 1, 2, True)  # went on from 97
+    assert of(9) == [(40, 0, 0, 0, True)]  # from the snapshot alone: never seen, ended
+    assert [r for r in of(3) if not r[-1]][:2] == [(7, 0, 0, 0, False), (9, 1, 0, 0, False)]
