@@ -84,3 +84,9 @@ def win_prob_features(diff: Column, game_seconds: Column, period: Column, period
 def orient(p: Column, is_home: Column) -> Column:
     """A probability of the team with the ball as one of the home team."""
     return F.when(is_home, p).otherwise(1 - p)
+
+
+def orient_state(own_score: Column, other_score: Column, own_p: Column, own_is_home: Column) -> dict[str, Column]:
+    """A row told from the view of the team with the ball, told from the home team's: scores, difference, probability, who has the ball."""
+    home, away = F.when(own_is_home, own_score).otherwise(other_score), F.when(own_is_home, other_score).otherwise(own_score)
+    return {"home_score": home, "away_score": away, "home_difference": home - away, "home_p": orient(own_p, own_is_home), "home_has_ball": own_is_home}

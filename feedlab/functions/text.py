@@ -142,3 +142,21 @@ def rule_errors(doc: Column, required: dict[str, str]) -> Column:
     value = lambda name: F.get_json_object(doc, f"$.{name}")
     codes = [F.when(value(n).isNull(), F.lit(f"MISSING_RULE_FIELD:{n}")).when(~value(n).rlike(p), F.lit(f"INVALID_RULE_FIELD:{n}")) for n, p in required.items()]
     return F.array_sort(F.array_compact(F.array(*codes)))
+
+
+#: Minutes on the match clock at which each period begins.
+PERIOD_MINUTES = {1: 0, 2: 45, 3: 90, 4: 105, 5: 120}
+
+
+def soccer_clock(period: Column, timestamp: Column, minute: Column, second: Column) -> dict[str, Column]:
+    """period_ms (time in the period), match_ms, and clock_ok: whether minute and second are those of the timestamp; null for unknown periods and texts."""
+    ms = clock_ms(timestamp)
+    start = F.try_element_at(F.create_map(*[F.lit(x) for pair in PERIOD_MINUTES.items() for x in pair]), period)
+    match = ms + start.cast("long") * 60_000
+    return {"period_ms": ms, "match_ms": match, "clock_ok": (F.floor(match / 60_000) == minute) & (F.floor(ms / 1000) % 60 == second)}
+
+
+def envelope(df: DataFrame, columns: list[str], payload: str, source: Column, occurred: Column) -> dict[str, Column]:
+    """An event's envelope: id of its columns, hash of the payload alone, source, time, and the hash of the four."""
+    ident, body, us = event_id(df, columns), F.sha2(F.col(payload).cast("binary"), 256), F.unix_micros(occurred)
+    return {"event": ident, "payload_sha256": body, "source": source, "occurred_us": us, "envelope_sha256": F.sha2(F.concat_ws("|", ident, body, source, us.cast("string")), 256)}

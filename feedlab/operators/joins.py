@@ -99,3 +99,13 @@ def step_chain_check(steps: DataFrame, keys: list[str], seq: str, previous: str,
     w = Window.partitionBy(*keys).orderBy(seq)
     rows = steps.withColumns({"_f": F.lag(following).over(w), "_s": F.lag(seq).over(w)}).where("_s IS NOT NULL")
     return rows.withColumns({"broken_hash": ~F.col(previous).eqNullSafe(F.col("_f")), "broken_sequence": F.col(seq) != F.col("_s") + 1}).where("broken_hash OR broken_sequence").drop("_f", "_s")
+
+
+def venue_mapping(df: DataFrame, arrays: list[str], keep: list[str], market: Column, trades: DataFrame, candles: DataFrame, ident: str) -> DataFrame:
+    """The zipped places of ``arrays`` with their market id, and how many trades and candles (tables keyed by ``ident``) it has; ``status`` ok or what is missing."""
+    rows = zip_explode(df, arrays, keep).withColumn("market", market)
+    for table, name in ((trades, "trades"), (candles, "candles")):
+        counts = table.groupBy(F.col(ident).alias(f"_{name}")).agg(F.count(F.lit(1)).alias(name))
+        rows = rows.join(counts, F.col("market") == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop(f"_{name}")
+    none = [F.when(F.col(c) == 0, F.lit(f"no {c}")) for c in ("trades", "candles")]
+    return rows.withColumn("status", F.when((F.col("trades") > 0) & (F.col("candles") > 0), "ok").otherwise(F.array_join(F.array_compact(F.array(*none)), ",")))

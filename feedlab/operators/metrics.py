@@ -145,22 +145,27 @@ def cluster_bootstrap(df: DataFrame, y: str, p: str, cluster: str, replicates: i
     return valid.agg(F.count(F.lit(1)).alias("replicates"), *[F.round(F.percentile(c, q), 6).alias(f"{name}_{side}") for c, name in (("b", "brier"), ("l", "log_loss")) for q, side in ((a, "low"), (1 - a, "high"))]).where(F.col("replicates") >= min_valid)
 
 
-def calibration_slope(df: DataFrame, y: str, p: str, rounds: int = 12) -> DataFrame:
-    """(slope, intercept) of the logistic regression of y on logit(p), unpenalised: Newton steps from five summed moments."""
+def calibration_slope(df: DataFrame, y: str, p: str, rounds: int = 20, longest: float = 5.0) -> DataFrame:
+    """(slope, intercept) of the logistic regression of y on logit(p), unpenalised: Newton steps from five summed moments.
+
+    No step moves a log odds by more than ``longest``, so that the steps don't run away. Null where there is nothing to fit.
+    """
     q = _clip(F.col(p), CLIP_BINARY)
     rows = df.select(F.col(y).cast("double").alias("y"), F.log(q / (1 - q)).alias("x"))
-    slope, intercept = 1.0, 0.0
+    slope, intercept, found = 0.0, 0.0, False
     for _ in range(rounds):
         m = 1 / (1 + F.exp(-(F.lit(slope) * F.col("x") + F.lit(intercept))))
         w, r = m * (1 - m), F.col("y") - m
-        g0, g1, h00, h01, h11 = rows.agg(F.sum(r), F.sum(r * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
+        g0, g1, h00, h01, h11, reach = rows.agg(F.sum(r), F.sum(r * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x")), F.max(F.abs("x"))).first()
         if g0 is None or (det := h00 * h11 - h01 * h01) == 0:
             break
+        found = True
         step = ((h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det)
-        slope, intercept = slope + step[0], intercept + step[1]
+        cut = min(1.0, longest / max(abs(step[1]) + abs(step[0]) * reach, 1e-12))
+        slope, intercept = slope + cut * step[0], intercept + cut * step[1]
         if max(map(abs, step)) < 1e-10:
             break
-    return df.sparkSession.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
+    return df.sparkSession.createDataFrame([(round(slope, 6), round(intercept, 6)) if found else (None, None)], "slope double, intercept double")
 
 
 def liquidity_census(df: DataFrame, by: list[str], market: str, trading: Column, pit: Column, spread: Column, depth: Column, ts: str) -> DataFrame:
@@ -179,3 +184,13 @@ def liquidity_census(df: DataFrame, by: list[str], market: str, trading: Column,
         found = quantiles(levels, F.col(value), [0.5], [*by, "level"]).withColumnsRenamed({**{c: f"_r{i}" for i, c in enumerate(by)}, "level": "_l", "q0": name})
         out = out.join(found.withColumn(name, F.round(name, 6)), [out["level"] == found["_l"], *[out[c].eqNullSafe(found[f"_r{i}"]) for i, c in enumerate(by)]], "left").drop("_l", *[f"_r{i}" for i in range(n)])
     return out.select(*by, "markets", "live_rows", "median_spread", "median_depth", "pause_share", "pit_missing", "level")
+
+
+def season_scores(df: DataFrame, y: str, p: str, season: str, bins: int = 10) -> DataFrame:
+    """Per season: scored rows, ties (a null outcome, which isn't scored), Brier score, log loss and expected calibration error."""
+    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
+    scored = F.col(y).isNotNull()
+    by_bin = df.groupBy(season, F.when(scored, b).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.sum(brier(F.col(y), F.col(p))).alias("b"), F.sum(log_loss(F.col(y), F.col(p))).alias("l"), F.abs(F.sum(F.col(p) - F.col(y))).alias("off"))
+    n = F.sum(F.when(F.col("_b").isNotNull(), F.col("n")).otherwise(0))
+    mean = lambda c: F.round(F.try_divide(F.sum(F.when(F.col("_b").isNotNull(), F.col(c))), n), 6)
+    return by_bin.groupBy(season).agg(n.alias("n"), F.sum(F.when(F.col("_b").isNull(), F.col("n")).otherwise(0)).alias("ties"), mean("b").alias("brier"), mean("l").alias("log_loss"), mean("off").alias("ece"))

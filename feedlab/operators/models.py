@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -31,7 +32,17 @@ def fit_classes(train: DataFrame, features: list[str], target: str, key: str, ro
 
 
 def fit_poisson_offset(rows: DataFrame, target: str, features: list[str], offset: str, l2: float) -> DataFrame:
-    """(term, coefficient) of a Poisson regression with log offset and L2 penalty."""
+    """(term, coefficient) of a Poisson regression with log offset and L2 penalty; ValueError where features depend on each other and nothing is penalised."""
+    if l2 == 0:
+        cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+        sums = rows.agg(*[F.sum(a * b) for i, a in enumerate(cols) for b in cols[i:]]).first()  # a row of the features' products
+        gram, it = np.zeros((len(cols), len(cols))), iter(sums)
+        for i in range(len(cols)):
+            for j in range(i, len(cols)):
+                gram[i, j] = gram[j, i] = next(it) or 0.0
+        scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+        if np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-9) < len(cols):
+            raise ValueError("the rank of the features is lower than their number")
     x = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
     m = GeneralizedLinearRegression(family="poisson", featuresCol="_x", labelCol=target, offsetCol=offset, regParam=l2).fit(x)
     found = [("intercept", float(m.intercept)), *zip(features, map(float, m.coefficients), strict=True)]

@@ -92,3 +92,9 @@ def stream_digest(df: DataFrame, keys: list[str], order: list[str], ident: str,
 def replay_summary(df: DataFrame, kind: str, order: list[str], amount: str) -> DataFrame:
     """Per kind: rows, summed amount and the last amount in replay order."""
     return df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(amount), 4).alias("total"), F.max_by(amount, F.struct(*order)).alias("terminal"))
+
+
+def recall(df: DataFrame, truth: Column, found: Column, by: str) -> DataFrame:
+    """Per group: true rows, those found, recall (null without true rows), found rows that aren't true."""
+    hit = F.count_if(truth & found)
+    return df.groupBy(by).agg(F.count_if(truth).alias("true_rows"), hit.alias("hits"), F.round(F.try_divide(hit, F.count_if(truth)), 6).alias("recall"), F.count_if(~truth & found).alias("false_hits"))

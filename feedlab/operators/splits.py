@@ -96,3 +96,10 @@ def fold_audit(df: DataFrame, cutoffs: DataFrame, date: str, outcome: str) -> Da
     w = _ordered(date).rowsBetween(Window.unboundedPreceding, -1)
     run = both.select(F.col(date).alias("cutoff"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for c, n in (("_n", "train_games"), ("_t", "ties"), ("_h", "home_wins"))])
     return run.join(cutoffs.select("cutoff").distinct(), "cutoff", "left_semi")
+
+
+def chronology_digest(df: DataFrame, date: str, game: str) -> DataFrame:
+    """One row: games, dates, and the SHA-256 of all games in the order of (date, game): of the dates' own hashes, so that dates are hashed apart."""
+    days = df.select(date, F.col(game).cast("string").alias("_g")).distinct().groupBy(date).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("_g")), ","), 256).alias("_h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(date).cast("string").alias("d"), "_h"))), lambda x: F.concat_ws(":", x["d"], x["_h"])), ",")
+    return days.agg(F.sum("n").alias("games"), F.count(F.lit(1)).alias("dates"), F.sha2(whole, 256).alias("digest"))

@@ -137,12 +137,11 @@ def nearest_rank(spark, sf):
 
 
 @query("candle_monotone", """
-WITH c AS (SELECT stream, CAST(floor(epoch_us(received) / 3600000000.0) AS BIGINT) * 3600 AS end_ts, min(price) AS low, max(price) AS high FROM v_feed WHERE received >= TIMESTAMP '2024-01-05' AND received < TIMESTAMP '2024-01-20' GROUP BY 1, 2)
+WITH c AS (SELECT stream, CAST(floor(epoch_us(received) / 3600000000.0) AS BIGINT) * 3600 AS end_ts, min(price) AS low, max(price) AS high FROM v_feed GROUP BY 1, 2)
 SELECT stream, count(*) AS candles, count(*) FILTER (high <= before) AS not_rising, CAST(max(high - low) AS DECIMAL(10,2)) AS widest FROM (SELECT *, lag(high) OVER (PARTITION BY stream ORDER BY end_ts) AS before FROM c) GROUP BY 1""", "v_feed")
 def candle_monotone(spark, sf):
     from ..sources.records import monotone
 
-    rows = feed(spark, sf).where((F.col("received") >= F.lit("2024-01-05").cast("timestamp")) & (F.col("received") < F.lit("2024-01-20").cast("timestamp")))
-    candles = rows.groupBy("stream", (c.hour(F.col("received")) * 3600).alias("end_ts")).agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    candles = feed(spark, sf).groupBy("stream", (c.hour(F.col("received")) * 3600).alias("end_ts")).agg(F.min("price").alias("low"), F.max("price").alias("high"))
     checked = monotone(candles, ["stream"], "high", ["end_ts"])  # ends of hours rise by their making, their highs need not
     return checked.groupBy("stream").agg(F.count(F.lit(1)).alias("candles"), F.count_if("not_rising").alias("not_rising"), F.max(F.col("high") - F.col("low")).cast("decimal(10,2)").alias("widest"))

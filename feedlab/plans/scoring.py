@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as pr
 from ..operators import metrics as m
 from ..operators import review
+from .forward import _steps
 from .registry import events, games, lineitem, orders, predictions, query, table
 
 _CLIP = "least(greatest(p, 1e-9), 1 - 1e-9)"
@@ -64,7 +65,10 @@ def abs_delta(spark, sf):
     return m.abs_delta(predictions(spark, sf).withColumn("q", prior), "p", "q")
 
 
-@query("calibration_slope")
+@query("calibration_slope", f"""
+WITH s AS (SELECT 1 AS k, ln(p / (1 - p)) AS x, 1 AS n, y AS w FROM v_pred), i0 AS (SELECT k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, max(abs(x)) AS r FROM s GROUP BY k),
+{_steps(14, l2=0.0)}
+SELECT round(b, 6) AS slope, round(a, 6) AS intercept FROM i14""", "v_pred")
 def calibration_slope(spark, sf):
     return m.calibration_slope(predictions(spark, sf), "y", "p")
 

@@ -47,3 +47,26 @@ def record_inventory(lines: DataFrame, line: str) -> DataFrame:
     """Per record type (first comma field): records, and the numbers of fields that occur."""
     parts = F.split(F.col(line), ",")
     return lines.select(F.get(parts, 0).alias("type"), F.size(parts).alias("arity")).groupBy("type").agg(F.count(F.lit(1)).alias("records"), F.array_join(F.array_sort(F.collect_set("arity")).cast("array<string>"), ",").alias("arities"))
+
+
+def flatten_history(pages: DataFrame, page: str, rows: str, ident: str) -> DataFrame:
+    """(ident, row, first_page, n_seen, conflict): the rows of all pages once each, by their stable id.
+
+    The first of a row's places (page, then place in it) is kept; ``conflict`` says that its repeats differ. Rows without an
+    id are left out. Only aggregates with partial sums are used, so an id that every page repeats makes no large group.
+    """
+    each = pages.select(F.col(page).alias("_page"), F.posexplode(rows).alias("_pos", "row")).withColumn(ident, F.col(f"row.{ident}")).where(F.col(ident).isNotNull())
+    content = F.sha2(F.to_json("row"), 256)
+    return each.groupBy(ident).agg(F.min_by("row", F.struct("_page", "_pos")).alias("row"), F.min("_page").alias("first_page"), F.count(F.lit(1)).alias("n_seen"), (F.min(content) != F.max(content)).alias("conflict"))
+
+
+#: Lengths of candles in minutes.
+CANDLE_MINUTES = (1, 60, 1440)
+
+
+def candle_problems(df: DataFrame, keys: list[str], end_ts: str, minutes: str, start: Column, end: Column) -> DataFrame:
+    """``df`` with ``problems``: interval (not a length of candles), off_grid, outside (not in (start, end]), not_rising (its end isn't above the one before)."""
+    before = F.lag(end_ts).over(Window.partitionBy(*keys).orderBy(end_ts))
+    at = F.col(end_ts)
+    wrong = [("interval", ~F.col(minutes).isin(*CANDLE_MINUTES)), ("off_grid", at % (F.col(minutes) * 60) != 0), ("outside", (at <= start) | (at > end)), ("not_rising", at <= before)]
+    return df.withColumn("problems", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(name != "not_rising")), name) for name, bad in wrong])))

@@ -28,3 +28,23 @@ def test_pairs_races_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("game_id,event_index\ng,1\ng,2\nh,2\n")
     rows, bad = files.read_rows_csv(spark, f"file://{tmp_path}/m.csv", "game_id string, event_index int", "game_id", "event_index")
     assert rows.count() == 3 and [r.game_id for r in bad.collect()] == ["h"]
+
+
+def test_seasons_and_matches(spark, tmp_path):
+    row = lambda season, n: [(season, f"g{n}", n, "extra")]
+    for i, rows in enumerate([row(2023, 1) + row(2023, 2), row(2024, 3), row(2024, 4) + row(2025, 5), row(None, 6)]):
+        spark.createDataFrame(rows, "season int, game_id string, play_id int, other string").coalesce(1).write.parquet(f"file://{tmp_path}/s{i}")
+    rows, bad = files.read_pbp_seasons(spark, [f"file://{tmp_path}/s{i}" for i in range(4)], {"season": "int", "play_id": "int", "absent": "string"})
+    assert rows.columns == ["season", "play_id", "absent"] and rows.count() == 6
+    assert sorted((r["seasons"], r["unknown"]) for r in bad.collect()) == [(0, 1), (2, 0)]
+    match = lambda i: {"match_id": i, "match_date": "2026-01-01", "home_team": {"home_team_id": 1, "home_team_name": "h"}, "home_score": 2}
+    (tmp_path / "matches.json").write_text(json.dumps([match(1), match(2), match(2)]))
+    matches, again = files.read_match_index(spark, f"file://{tmp_path}/matches.json")
+    assert matches.count() == 3 and [r["match_id"] for r in again.collect()] == [2] and matches.first()["home_team"]["home_team_name"] == "h"
+    (tmp_path / "events").mkdir()
+    event = lambda i, n: {"id": i, "index": n, "period": 1, "type": {"id": 1, "name": "Pass"}}
+    (tmp_path / "events" / "77.json").write_text(json.dumps([event("a", 1), event("b", 2), event("b", 4)]))
+    (tmp_path / "events" / "78.json").write_text(json.dumps([event("a", 1)]))
+    events, bad = files.read_match_events(spark, f"file://{tmp_path}/events")
+    assert sorted((r["match_id"], r["index"]) for r in events.collect()) == [(77, 1), (77, 2), (77, 4), (78, 1)]
+    assert {(r["index"], tuple(r["reasons"])) for r in bad.collect()} == {(2, ("id",)), (4, ("index", "id"))}

@@ -142,3 +142,49 @@ def test_barriers_are_found_through_the_index(spark):
         if want:
             at_first = [x for x in want if x[0] == want[0][0]]
             assert [x for x in got if x[0] == got[0][0]] == at_first
+
+
+def test_calibration_slope_finds_a_planted_line(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.6 * x - 0.4)))).astype(int)
+    df = spark.createDataFrame([(int(b), float(1 / (1 + np.exp(-a)))) for a, b in zip(x, y, strict=True)], "y int, p double")
+    got = metrics.calibration_slope(df, "y", "p").first()
+    p = 1 / (1 + np.exp(-(got["slope"] * x + got["intercept"])))
+    assert abs((y - p).sum()) < 1e-2 and abs(((y - p) * x).sum()) < 1e-2 and abs(got["slope"] - 0.6) < 0.1
+    assert tuple(metrics.calibration_slope(df.where("false"), "y", "p").first()) == (None, None)
+
+
+def test_fits_of_spark_ml_are_at_their_optimum(spark):
+    """Slopes of the penalised likelihoods vanish at what the model steps return; held-out rows don't train."""
+    from feedlab.operators import models
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 2))
+    off = rng.normal(0, 0.2, 600)
+    y = rng.poisson(np.exp(0.2 + 0.5 * x[:, 0] - 0.3 * x[:, 1] + off))
+    df = spark.createDataFrame([(int(c), float(a), float(b), float(o)) for (a, b), c, o in zip(x, y, off, strict=True)], "goals int, a double, b double, o double")
+    for l2 in (0.0, 0.05):
+        beta = {r["term"]: r["coefficient"] for r in models.fit_poisson_offset(df, "goals", ["a", "b"], "o", l2).collect()}
+        mu = np.exp(beta["intercept"] + x @ np.array([beta["a"], beta["b"]]) + off)
+        assert abs((y - mu).sum()) < 1e-3
+        assert np.allclose(x.T @ (y - mu) / mu.sum(), l2 * np.array([beta["a"], beta["b"]]), atol=1e-4)
+    twice = df.withColumn("c", 2 * F.col("a"))
+    with pytest.raises(ValueError, match="rank"):
+        models.fit_poisson_offset(twice, "goals", ["a", "c"], "o", 0.0)
+    won = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] - 0.5)))).astype(int)
+    rows = spark.createDataFrame([(i, int(w), float(a), float(b)) for i, (w, (a, b)) in enumerate(zip(won, x, strict=True))], "k int, won int, a double, b double")
+    p = np.array([r["p"] for r in models.score_frame(rows, models.fit_outcome(rows, ["a", "b"], "won"), "k").orderBy("k").collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    coef = np.linalg.lstsq(np.column_stack([np.ones(600), z]), np.log(p / (1 - p)), rcond=None)[0]
+    assert abs((won - p).mean()) < 1e-4 and np.allclose(z.T @ (won - p) / 600, 0.01 * coef[1:], atol=1e-4)
+    classes = rows.withColumn("t", F.when(F.col("won") == 1, "w").when(F.col("b") > 0, "d").otherwise("l"))
+    train, test = classes.where("k < 500"), classes.where("k >= 500")
+    got = {r["k"]: r["probabilities"] for r in models.fit_classes(train, ["a", "b"], "t", "k", test).collect()}
+    assert set(got) == set(range(500, 600)) and all(set(v) == {"d", "l", "w"} and abs(sum(v.values()) - 1) < 1e-9 for v in got.values())
+    flipped = test.withColumn("t", F.lit("d"))
+    assert got == {r["k"]: r["probabilities"] for r in models.fit_classes(train, ["a", "b"], "t", "k", flipped).collect()}
+    hits = sum(max(got[r["k"]], key=got[r["k"]].get) == r["t"] for r in test.collect())
+    assert hits > 50
+    probs = classes.select(F.when(F.col("k") % 4 != 0, 0).otherwise(1).alias("y"), F.array(F.lit(0.9), F.lit(0.1)).alias("q"), (F.col("k") % 3).alias("c"))
+    assert models.fit_temperature(probs, "y", "q", "c") == pytest.approx(2.0, abs=0.05)  # 9 : 1 becomes 3 : 1
