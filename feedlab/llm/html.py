@@ -30,6 +30,9 @@ _BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fields
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies ad advert promo related".split())
+#: Words that may as well belong to an article's subject; they count only where the rest of the name says nothing else.
+_AMBIGUOUS = frozenset("banner header notice notices promo recommended related reply search share skip social subscribe widget".split())
+_PLAIN = frozenset("area bar block bottom box btn button buttons container content form icon icons inner item items left link links list main page panel post posts primary right row secondary section site stories top wrap wrapper".split())
 #: What follows one of these in a class or id says what the layout around has, not what the element is.
 _LAYOUT_WORDS = frozenset("has with no without".split())
 _WHOLE = frozenset("html body".split())
@@ -43,12 +46,17 @@ def _is_boiler(tag: str, attrs: str) -> bool:
     if tag in _WHOLE or not attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        words = {w for x in (m[2] or m[3] or m[4] or "").lower().split() for w in takewhile(lambda w: w not in _LAYOUT_WORDS, re.split(r"[_\-]+", x))}
+        names = (m[2] or m[3] or m[4] or "").lower().split()
         if m[1].lower() == "role":
-            if words & _BOILER_ROLES:
+            if _BOILER_ROLES.intersection(names):
+                return True
+            continue
+        listed = _COMMENT_WORDS if tag in ("article", "main") else _BOILER_WORDS
+        for name in names:
+            words = {w for w in takewhile(lambda w: w not in _LAYOUT_WORDS, re.split(r"[_\-]+", name)) if w}
+            sure = (words & listed) - _AMBIGUOUS
+            if sure or words & listed and words <= _BOILER_WORDS | _PLAIN:
                 return True
-        elif words & (_COMMENT_WORDS if tag in ("article", "main") else _BOILER_WORDS):
-            return True
     return False
 
 
@@ -124,7 +132,7 @@ def lines_of(html: str) -> list[Line]:
         if hit and not block and parts:  # an inline advert ends the line before it
             flush()
         main = tag in ("article", "main")
-        if main or (not inside and block and tag not in _LINES):
+        if not inside and (main or block and tag not in _LINES):  # what is in an article or main element is one part
             n += 1
             part = n
         stack.append((tag, boiler or hit, inside or main, part))
@@ -151,24 +159,18 @@ def weights(lines: list[Line]) -> list[float]:
 def between(weight: list[float], window: int, share: float) -> list[bool]:
     """Whether each line lies between a surge and the dive after it.
 
-    The distribution is the mean of what weighs something among ``window`` lines, centred. It surges where it rises above
-    ``share`` of its highest value and dives where it falls to that again; the first and the last line in between that
-    are as heavy themselves are the surge point and the dive point.
+    The distribution is the mean of the weights among ``window`` lines that weigh something, centred; lines that weigh
+    nothing stand in no window. It surges where it rises above ``share`` of its highest value and dives where it falls to
+    that again. A short line beside a heavy one is in the window of that and so belongs to the text.
     """
+    heavy = [i for i, w in enumerate(weight) if w]
     half, sums = window // 2, []
-    for i in range(len(weight)):
-        near = [w for w in weight[max(0, i - half) : i + half + 1] if w]
-        sums.append(sum(near) / len(near) if near else 0.0)
-    least = share * max(sums, default=0.0)
-    out, start, last = [False] * len(weight), None, None
-    for i, (w, s) in enumerate(zip(weight, sums, strict=True)):
-        if s <= least:
-            start = None
-        elif w > least:
-            start = i if start is None else start
-            for k in range(start if start == i else last + 1, i + 1):
-                out[k] = True
-            last = i
+    for j in range(len(heavy)):
+        near = heavy[max(0, j - half) : j + half + 1]
+        sums.append(sum(weight[i] for i in near) / len(near))
+    least, out = share * max(sums, default=0.0), [False] * len(weight)
+    for i, s in zip(heavy, sums, strict=True):
+        out[i] = s > least
     return out
 
 
@@ -193,6 +195,8 @@ def extract(pages: DataFrame, html: str = "html", text_col: str = "text") -> Dat
     """``pages`` with the main text of each row, from the whole html; one row in, one row out.
 
     Null and empty pages give an empty text, repeated rows equal texts, an empty table no rows; a column of ``pages``
-    named ``text_col`` is replaced. Nothing between a surge and its dive is dropped but boilerplate, however short.
+    named ``text_col`` is replaced. Nothing between a surge and its dive is dropped but boilerplate, however short; outside
+    of them go lines more than half a window away from any line of a part that has ``share`` of the heaviest part's text (a
+    share just at the threshold is outside).
     """
     return pages.withColumn(text_col, _main_text(F.col(html)))

@@ -214,6 +214,17 @@ def test_quality_template_heavy_hosts(spark, monkeypatch, literal):
     assert all(r["n_boiler_words"] == 0 and r["kept"] for r in got if r["source"] == "copies")
 
 
+def test_main_text_drops_no_part_of_an_article():
+    long = "<p>" + "Long words of text. " * 40 + "</p>"
+    whole = ("Long words of text. " * 40).strip()
+    assert html.main_text(f"<body><div><p>Lead line.</p></div><div>{long}</div><div>{long}</div><div><p>Closing line.</p></div></body>") == f"Lead line.\n{whole}\n{whole}\nClosing line."
+    assert html.main_text(f"<main><p>First text.</p><article>{long}</article><p>Between.</p><article>short one.</article></main>") == f"First text.\n{whole}\nBetween.\nshort one."
+    kept = "<p class='share-price'>Shares fell.</p><p class='social-policy'>Policy.</p>"
+    assert html.main_text(f"<article>{long}{kept}<div class='share-buttons'>Tweet</div><div class='social'>Follow</div><p>End.</p></article>") == f"{whole}\nShares fell.\nPolicy.\nEnd."
+    far = "".join(f"<div><p>{w}</p></div>" for w in ("one", "two", "three"))
+    assert html.main_text(f"<body>{far}<div>{long}</div></body>") == f"three\n{whole}"  # without names, what is far from the surge is outside
+
+
 def test_main_text_keeps_short_pages_closing_parts_and_layout_classes():
     assert html.main_text("<p>A short note.</p><p>And its end.</p>") == "A short note.\nAnd its end."
     long, advert = "long text " * 20, "<div class='ad-slot'>" + "<p>buy</p>" * 4 + "</div>"
@@ -416,14 +427,17 @@ def test_main_text_by_the_distribution_alone():
 
     pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column(0).to_pylist()
     plain = lambda x: re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(nav|footer|header|aside|article|main|form)\b", r"<\1div", x or ""))
-    same = changed = 0
-    for x in pages[::5]:  # without a name that says what is what, surge and dive find the article of nearly every page
+    whole = near = changed = 0
+    for x in pages[::5]:  # without a name that says what is what, surge and dive find the article, and at most a line beside it
         lines, text = html.lines_of(plain(x)), html.main_text(plain(x))
         assert not any(y.boiler or y.main for y in lines)
-        same += text == html.main_text(x)
+        want, got = Counter(html.main_text(x).split("\n")), Counter(text.split("\n"))
+        whole += not want - got
+        near += (got - want).total() <= 2
         changed += text != "\n".join(y.text for y in lines)
-    assert same > 0.9 * len(pages[::5]) and changed > 0.99 * len(pages[::5])
-    assert html.between([5, 400, 30, 400, 0, 0, 0, 380, 2, 2, 2], 3, 0.25) == [False, True, True, True, False, False, False, True, False, False, False]
+    n = len(pages[::5])
+    assert whole == n and near == n and changed > 0.99 * n
+    assert html.between([5, 400, 30, 400, 0, 0, 0, 380, 2, 2, 2], 3, 0.25) == [True, True, True, True, False, False, False, True, True, False, False]
     assert html.between([], 3, 0.25) == [] and html.between([0, 0], 3, 0.25) == [False, False]
 
 
