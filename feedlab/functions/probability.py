@@ -30,17 +30,22 @@ def poisson(rate: Column, k: Column) -> Column:
 def score_grid_outcome(df: DataFrame, home: str, away: str, rho: float, keys: list[str], top: int = 10) -> DataFrame:
     """(keys, p_home, p_draw, p_away): two Poisson rates with the low-score correction, summed over a goal grid and normalised.
 
-    The grid has (top + 1) squared cells a row and is summed inside the row's own task.
+    Goals are uncorrected but for four scores, so that a fold over the goals with running sums of both sides gives the sums
+    over the grid, and the corrections are added: one expression a row, without a shuffle.
     """
     h, a = F.col(home), F.col(away)
-    goals = F.sequence(F.lit(0), F.lit(top))
-    cells = df.select(*keys, home, away, F.explode(goals).alias("i")).select("*", F.explode(goals).alias("j"))
-    i, j = F.col("i"), F.col("j")
-    factor = F.when((i == 0) & (j == 0), 1 - h * a * rho).when((i == 0) & (j == 1), 1 + h * rho).when((i == 1) & (j == 0), 1 + a * rho).when((i == 1) & (j == 1), F.lit(1 - rho)).otherwise(F.lit(1.0))
-    p = poisson(h, i) * poisson(a, j) * factor
-    sums = cells.groupBy(*keys).agg(*[F.sum(F.when(c, p).otherwise(0.0)).alias(n) for n, c in (("_h", i > j), ("_d", i == j), ("_a", i < j))])
+    zero = F.lit(0.0)
+
+    def add(t: Column, k: Column) -> Column:
+        x, y = poisson(h, k), poisson(a, k)
+        return F.struct((t["home"] + x * t["y"]).alias("home"), (t["draw"] + x * y).alias("draw"), (t["away"] + y * t["x"]).alias("away"), (t["x"] + x).alias("x"), (t["y"] + y).alias("y"))
+
+    grid = F.aggregate(F.sequence(F.lit(0), F.lit(top)), F.struct(*[zero.alias(c) for c in ("home", "draw", "away", "x", "y")]), add)
+    both = lambda i, j: poisson(h, F.lit(i)) * poisson(a, F.lit(j))
+    rows = df.withColumn("_g", grid)
+    sums = {"_h": F.col("_g.home") + a * rho * both(1, 0), "_d": F.col("_g.draw") - h * a * rho * both(0, 0) - rho * both(1, 1), "_a": F.col("_g.away") + h * rho * both(0, 1)}
     mass = F.col("_h") + F.col("_d") + F.col("_a")
-    return sums.select(*keys, *[F.round(F.col(c) / mass, 6).alias(n) for c, n in (("_h", "p_home"), ("_d", "p_draw"), ("_a", "p_away"))])
+    return rows.withColumns(sums).select(*keys, *[F.round(F.col(c) / mass, 6).alias(n) for c, n in (("_h", "p_home"), ("_d", "p_draw"), ("_a", "p_away"))])
 
 
 def competing_poisson(base_home: Column, base_away: Column, x_home: list[Column], x_away: list[Column], beta: list[float], horizon_s: float = 300, match_s: float = 5400) -> Column:

@@ -28,13 +28,13 @@ def snapshot_problems(bids: Column, asks: Column, tick: Column) -> Column:
 
 
 def depth_vwap(levels: DataFrame, keys: list[str], order: list, price: str, size: str, quantity: Column) -> DataFrame:
-    """Walk levels best first until ``quantity`` is filled: filled quantity, VWAP, levels used, status."""
+    """Walk levels best first until ``quantity`` is filled: filled quantity, VWAP (exact decimals, 18 places), levels used, status."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(size).over(w), F.lit(0))
     take = F.least(F.greatest(quantity - before, F.lit(0)), F.col(size))
     rows = levels.withColumn("_take", take.cast("decimal(14,4)")).withColumn("_quantity", quantity.cast("decimal(14,4)"))
     out = rows.groupBy(*keys).agg(F.sum("_take").cast("decimal(24,4)").alias("filled"), F.sum(F.col("_take") * F.col(price)).alias("_gross"), F.count_if(F.col("_take") > 0).alias("levels_used"), F.max("_quantity").alias("_q"))
-    vwap = F.col("_gross").cast("double") / F.col("filled").cast("double")
+    vwap = (F.col("_gross").cast("decimal(24,8)") / F.col("filled")).cast("decimal(38,18)")
     return out.select(*keys, "filled", F.when(F.col("filled") > 0, vwap).alias("vwap"), "levels_used", F.when(F.col("filled") == F.col("_q"), "filled").otherwise("insufficient").alias("status"))
 
 

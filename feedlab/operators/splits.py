@@ -65,12 +65,19 @@ def walk_forward_folds(rows: DataFrame, game: str, time: str, least: int) -> Dat
     return out.withColumn("usable", F.col("train_games") >= least)
 
 
+#: Periods of a calendar at most: they are broadcast, and each makes a list of all games before it.
+MOST_PERIODS = 10_000
+
+
 def walk_forward_pairs(rows: DataFrame, tests: DataFrame, game: str, time: str) -> DataFrame:
     """(test, train_game) pairs for periods of test games, given as (test, start): the training lists themselves.
 
     A list has every game that ended before its period starts. The periods are those of a calendar, so the lists are
-    linear in the games; for one list a game, ``walk_forward_membership`` needs no pairs.
+    linear in the games; for one list a game, ``walk_forward_membership`` needs no pairs. ValueError for more than
+    MOST_PERIODS of them, as they are broadcast.
     """
+    if tests.limit(MOST_PERIODS + 1).count() > MOST_PERIODS:
+        raise ValueError(f"there are more than {MOST_PERIODS} periods")
     span = rows.groupBy(F.col(game).alias("train_game")).agg(F.max(time).alias("_end"))
     return span.join(F.broadcast(tests.select("test", "start")), F.col("_end") < F.col("start")).select("test", "train_game")
 

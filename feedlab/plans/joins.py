@@ -180,8 +180,8 @@ def lead_compare(spark, sf):
 @query("depth_vwap", """
 WITH d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY book ORDER BY price, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v_depth),
 t AS (SELECT *, CAST(least(greatest(60 - before, 0), size) AS DECIMAL(14,4)) AS take FROM d)
-SELECT book, CAST(sum(take) AS DECIMAL(24,4)) AS filled, round(CAST(sum(take * price) AS DOUBLE) / CAST(sum(take) AS DOUBLE) + 1e-9, 6) AS vwap, count(*) FILTER (take > 0) AS levels_used, CASE WHEN sum(take) = 60 THEN 'filled' ELSE 'insufficient' END AS status FROM t GROUP BY 1""", "v_depth")
+SELECT book, CAST(sum(take) AS DECIMAL(24,4)) AS filled, CAST((200 * sum(CAST(take * 10000 AS HUGEINT) * CAST(price * 10000 AS HUGEINT)) + sum(CAST(take * 10000 AS HUGEINT))) // (2 * sum(CAST(take * 10000 AS HUGEINT))) AS DOUBLE) / 1000000 AS vwap, count(*) FILTER (take > 0) AS levels_used, CASE WHEN sum(take) = 60 THEN 'filled' ELSE 'insufficient' END AS status FROM t GROUP BY 1""", "v_depth")
 def depth_vwap(spark, sf):
     from ..operators.books import depth_vwap as walk
 
-    return walk(depth(spark, sf), ["book"], ["price", "l_linenumber", "l_partkey", "l_suppkey"], "price", "size", F.lit(60).cast("decimal(14,4)")).withColumn("vwap", F.round(F.col("vwap") + 1e-9, 6))
+    return walk(depth(spark, sf), ["book"], ["price", "l_linenumber", "l_partkey", "l_suppkey"], "price", "size", F.lit(60).cast("decimal(14,4)")).withColumn("vwap", F.round("vwap", 6).cast("double"))
