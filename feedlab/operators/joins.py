@@ -37,9 +37,17 @@ def bind_unique(left: DataFrame, right: DataFrame, left_pair: tuple[str, str], r
     return out.withColumns({"matches": F.coalesce("_n", F.lit(0)), ident: F.when(F.col("_n") == 1, F.col("_id"))}).drop("_low", "_high", "_n", "_id")
 
 
+def utc_of_local(local: str, zone: str) -> Column:
+    """The instant of a local time: the later of two where the clocks go back, as far after the gap as into it where they go forward."""
+    first = F.to_utc_timestamp(local, zone)  # the earlier of two
+    day_on = F.timestamp_micros(F.unix_micros(first) + 86_400_000_000)
+    second = F.timestamp_micros(F.unix_micros(local) + F.unix_micros(day_on) - F.unix_micros(F.from_utc_timestamp(day_on, zone)))  # by the offset a day on
+    return F.when((second > first) & (F.from_utc_timestamp(second, zone) == F.col(local)), second).otherwise(first)
+
+
 def start_time_delta(df: DataFrame, local: str, zone: str, utc: str, limit_hours: int = 12) -> DataFrame:
-    """``df`` with the seconds from the UTC start to the local one, and whether they are beyond ``limit_hours``."""
-    delta = F.unix_seconds(F.to_utc_timestamp(local, zone)) - F.unix_seconds(utc)
+    """``df`` with the seconds from the UTC start to the local one (see ``utc_of_local``), and whether they are beyond ``limit_hours``."""
+    delta = F.unix_seconds(utc_of_local(local, zone)) - F.unix_seconds(utc)
     return df.withColumns({"delta_s": delta, "anomaly": F.abs(delta) > limit_hours * 3600})
 
 
