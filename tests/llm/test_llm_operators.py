@@ -456,3 +456,17 @@ def test_extract_keeps_rows(spark):
     got = html.extract(df).collect()
     assert sorted(r.page_id for r in got) == [1, 2, 2] and {r.text for r in got if r.page_id == 1} == {""}
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_suffix_tree_bounds_change_no_score(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))) for _ in range(150)] + ["told twice and as rare as that"] * 2
+    form = suffix_tree.symbols(docs(spark, texts).select("doc_id", "text"))
+    want = None
+    for limits in (suffix_tree.Limits(), suffix_tree.Limits(max_words=6, max_contexts=4, max_entries=9), suffix_tree.Limits(max_words=0, max_contexts=0, max_entries=0)):
+        model, words = suffix_tree.fit(form, limits)
+        got = {r.doc_id: r.score for r in suffix_tree.score(form, model, words).collect()}
+        want = want or got
+        assert got == pytest.approx(want, rel=1e-9)
+    score = brute_tree([t.split() for t in texts], suffix_tree.Limits())[0]
+    assert want == pytest.approx({i: score(t.split()) for i, t in enumerate(texts)}, rel=1e-9)
