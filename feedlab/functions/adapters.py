@@ -109,18 +109,23 @@ def baseball_snapshot(df: DataFrame, away: str = "away_team", home: str = "home_
 def runner_advances(batter: Column, bases: Column, destinations: Column, outs_on_play: Column) -> Column:
     """struct(moves, runs, outs, reasons): who moves from where to where in a play.
 
-    ``destinations`` has a place for the batter and each base: 0 out, 1 to 3 a base, 4 and above home, null stays. A
-    runner who stays makes no move; a destination without a runner, a base taken twice, a move back and other outs than
-    ``outs_on_play`` are named.
+    ``bases`` has three places, ``destinations`` one for the batter and each base: 0 out, 1 to 3 a base, 4 and above home,
+    null stays. A runner who stays makes no move; a destination without a runner, a base taken twice, a move back and
+    other outs than ``outs_on_play`` are named. Plain columns, as functions of array elements are interpreted row by row.
     """
-    who = F.concat(F.array(batter), bases)
-    each = F.transform(who, lambda r, i: F.struct(r.alias("runner"), i.cast("int").alias("start"), F.when(F.get(destinations, i) > 4, 4).otherwise(F.get(destinations, i)).cast("int").alias("end")))
-    there = F.filter(each, lambda m: m["runner"].isNotNull())
-    moves = F.filter(there, lambda m: m["end"].isNotNull() & (m["end"] != m["start"]) | (m["start"] == 0) & (m["end"] == 0))
-    taken = F.filter(F.transform(there, lambda m: F.coalesce(m["end"], m["start"])), lambda b: b.between(1, 3))
-    outs = F.size(F.filter(there, lambda m: m["end"] == 0))
+    runner = [batter, *[F.get(bases, i) for i in range(3)]]
+    end = [F.when(F.get(destinations, i) > 4, 4).otherwise(F.get(destinations, i)).cast("int") for i in range(4)]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    there = [r.isNotNull() for r in runner]
+    place = [F.when(there[i], F.coalesce(end[i], F.lit(i))) for i in range(4)]  # null: nobody
+    moved = [yes(there[i] & (end[i].isNotNull() & (end[i] != i) | ((end[i] == 0) if i == 0 else F.lit(False)))) for i in range(4)]
+    moves = [F.struct(runner[i].alias("runner"), F.lit(i).alias("start"), end[i].alias("end")) for i in range(4)]
+    count = lambda where: sum((yes(there[i] & (end[i] == where)).cast("int") for i in range(4)), F.lit(0))
+    any_of = lambda found: F.greatest(*map(yes, found))
+    known, outs = bases.isNotNull(), count(0)
     reasons = _named(
-        no_runner=~F.exists(each, lambda m: F.coalesce(m["runner"].isNull() & (m["end"] > 0), F.lit(False))), base_taken=F.size(taken) == F.size(F.array_distinct(taken)),
-        moved_back=~F.exists(there, lambda m: F.coalesce((m["end"] > 0) & (m["end"] < m["start"]), F.lit(False))), outs=outs == outs_on_play,
+        no_runner=known & ~any_of([~there[i] & (end[i] > 0) for i in range(4)]), base_taken=known & ~any_of([(place[i] == place[j]) & place[i].between(1, 3) for i in range(4) for j in range(i)]),
+        moved_back=known & ~any_of([there[i] & (end[i] > 0) & (end[i] < i) for i in range(4)]), outs=known & (outs == outs_on_play),
     )
-    return F.struct(moves.alias("moves"), F.size(F.filter(there, lambda m: m["end"] == 4)).alias("runs"), outs.alias("outs"), reasons.alias("reasons"))
+    listed = F.concat(*[F.when(m, F.array(x)).otherwise(F.slice(F.array(x), 1, 0)) for m, x in zip(moved, moves, strict=True)])
+    return F.struct(F.when(known, listed).alias("moves"), F.when(known, count(4)).alias("runs"), F.when(known, outs).alias("outs"), reasons.alias("reasons"))

@@ -59,3 +59,10 @@ def test_baseball_rows(spark):
     got = {r.i: r.m for r in df.select("i", adapters.runner_advances(F.lit("b"), F.col("bases"), F.col("to"), F.col("outs")).alias("m")).collect()}
     for i, (*_, moves, runs, reasons) in enumerate(plays):
         assert ([tuple(m) for m in got[i].moves], got[i].runs, got[i].reasons) == (moves, runs, reasons), i
+
+
+def test_advances_are_compiled(spark):
+    df = spark.createDataFrame([(None, [1, None, None, None], 0), (["r1", None, None], None, None), ([None, None, "r3"], [None, None, None, 6], 0)], "bases array<string>, to array<int>, outs int")
+    out = df.select(adapters.runner_advances(F.lit("b"), F.col("bases"), F.col("to"), F.col("outs")).alias("m")).select("m.moves", "m.runs", "m.outs")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # lambdas are interpreted, several times a row
+    assert [(r.moves and [tuple(m) for m in r.moves], r.runs, r.outs) for r in out.collect()] == [(None, None, None), ([], 0, 0), ([("r3", 3, 4)], 1, 0)]
