@@ -55,6 +55,11 @@ ACTION = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row: fields of a parsed text would each parse it again."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _milli(location: Column, place: int) -> Column:
     """A coordinate in whole thousandths; null where it has more than three decimals or is no number."""
     scaled = F.get(location, place).try_cast("decimal(20,9)") * 1000
@@ -67,23 +72,33 @@ def action_details(event: Column, action: Column, team: Column, bounded: bool =
     ``event`` is its JSON text. Coordinates are thousandths, within the pitch if ``bounded``; ``scores`` is the team that
     the action scores for. ``reasons`` names what the action lacks or has wrong.
     """
-    e = F.from_json(event, ACTION)
-    at = F.when(action == "Pass", e["pass"]["end_location"]).when(action == "Carry", e["carry"]["end_location"]).when(action == "Goal Keeper", e["goalkeeper"]["end_location"]).when(action == "Shot", e["shot"]["end_location"])
-    x, y = _milli(at, 0), _milli(at, 1)
-    inside = (x.between(0, PITCH_MILLI[0]) & y.between(0, PITCH_MILLI[1])) if bounded else (x.isNotNull() & y.isNotNull())
-    shot, goal = action == "Shot", e["shot"]["outcome"]["name"]
-    card = F.when(action == "Bad Behaviour", e["bad_behaviour"]["card"]["name"]).when(action == "Foul Committed", e["foul_committed"]["card"]["name"])
-    replacement = F.when(action == "Substitution", e["substitution"]["replacement"]["id"])
-    detail = F.when(action == "Pass", e["pass"].isNotNull()).when(action == "Carry", e["carry"].isNotNull()).when(action == "Goal Keeper", e["goalkeeper"].isNotNull()).when(shot, e["shot"].isNotNull()).otherwise(F.lit(True))
-    reasons = _named(
-        json=e.isNotNull(), detail=detail, end_location=at.isNull() | (F.size(at).isin(2, 3) & F.coalesce(inside, F.lit(False))),
-        shot_outcome=~shot | goal.isNotNull(), shot_type=~shot | e["shot"]["type"]["name"].isNotNull(),
-        card=card.isNull() | card.isin(*CARDS), replacement=(action != "Substitution") | (replacement >= 1),
-    )
-    return F.struct(
-        x.alias("end_x"), y.alias("end_y"), F.when(action == "Pass", e["pass"]["outcome"]["name"]).alias("pass_outcome"), F.when(shot, goal).alias("shot_outcome"), F.when(shot, e["shot"]["type"]["name"]).alias("shot_type"),
-        card.alias("card"), replacement.alias("replacement"), F.when((shot & (goal == "Goal")) | (action == "Own Goal For"), team).alias("scores"), reasons.alias("reasons"),
-    )
+
+    def fields(e: Column) -> Column:
+        shot = e["shot"]
+        return F.struct(
+            e.isNotNull().alias("json"), F.when(action == "Pass", e["pass"].isNotNull()).when(action == "Carry", e["carry"].isNotNull()).when(action == "Goal Keeper", e["goalkeeper"].isNotNull()).when(action == "Shot", shot.isNotNull()).otherwise(F.lit(True)).alias("detail"),
+            F.when(action == "Pass", e["pass"]["end_location"]).when(action == "Carry", e["carry"]["end_location"]).when(action == "Goal Keeper", e["goalkeeper"]["end_location"]).when(action == "Shot", shot["end_location"]).alias("at"),
+            F.when(action == "Pass", e["pass"]["outcome"]["name"]).alias("pass_outcome"), shot["outcome"]["name"].alias("goal"), shot["type"]["name"].alias("type"),
+            F.when(action == "Bad Behaviour", e["bad_behaviour"]["card"]["name"]).when(action == "Foul Committed", e["foul_committed"]["card"]["name"]).alias("card"), F.when(action == "Substitution", e["substitution"]["replacement"]["id"]).alias("replacement"),
+        )
+
+    def placed(f: Column) -> Column:
+        return F.struct(f.alias("f"), _milli(f["at"], 0).alias("x"), _milli(f["at"], 1).alias("y"))
+
+    def result(g: Column) -> Column:
+        f, x, y, shot = g["f"], g["x"], g["y"], action == "Shot"
+        inside = (x.between(0, PITCH_MILLI[0]) & y.between(0, PITCH_MILLI[1])) if bounded else (x.isNotNull() & y.isNotNull())
+        reasons = _named(
+            json=f["json"], detail=f["detail"], end_location=f["at"].isNull() | (F.size(f["at"]).isin(2, 3) & F.coalesce(inside, F.lit(False))),
+            shot_outcome=~shot | f["goal"].isNotNull(), shot_type=~shot | f["type"].isNotNull(),
+            card=f["card"].isNull() | f["card"].isin(*CARDS), replacement=(action != "Substitution") | (f["replacement"] >= 1),
+        )
+        return F.struct(
+            x.alias("end_x"), y.alias("end_y"), f["pass_outcome"].alias("pass_outcome"), F.when(shot, f["goal"]).alias("shot_outcome"), F.when(shot, f["type"]).alias("shot_type"),
+            f["card"].alias("card"), f["replacement"].alias("replacement"), F.when((shot & (f["goal"] == "Goal")) | (action == "Own Goal For"), team).alias("scores"), reasons.alias("reasons"),
+        )
+
+    return _let(_let(_let(F.from_json(event, ACTION), fields), placed), result)
 
 
 def baseball_snapshot(df: DataFrame, away: str = "away_team", home: str = "home_team") -> DataFrame:

@@ -135,7 +135,7 @@ SELECT event_id, CASE WHEN t IN ('view', 'click', 'purchase') THEN k * 1250 END
 def action_details(spark, sf):
     from ..functions.adapters import action_details as parse
 
-    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    t, k = F.col("event_type"), F.col("k")
     action = F.when(t == "view", "Pass").when(t == "click", "Carry").when(t == "purchase", "Shot").when(t == "signup", "Substitution").otherwise("Foul Committed")
     at = F.concat(F.lit('"end_location": ['), (k * 1250 / 1000).cast("decimal(9,3)").cast("string"), F.lit(", 40.5]"))
     body = (
@@ -144,7 +144,7 @@ def action_details(spark, sf):
         .when(t == "signup", F.concat(F.lit('{"substitution": {"replacement": {"id": '), k.cast("string"), F.lit("}}}")))
         .when(k % 2 == 0, F.concat(F.lit('{"foul_committed": {"card": {"name": "'), F.when(k % 4 == 0, "Yellow Card").otherwise("Blue Card"), F.lit('"}}}'))).otherwise("{}")
     )
-    d = events(spark, sf).select("event_id", parse(body, action, F.col("user_id")).alias("d"))
+    d = events(spark, sf).withColumn("k", F.get_json_object("props", "$.k").cast("long")).select("event_id", parse(body, action, F.col("user_id")).alias("d"))
     return d.select("event_id", "d.end_x", "d.shot_outcome", "d.replacement", "d.scores", "d.card", F.array_join("d.reasons", ",").alias("reasons"))
 
 
