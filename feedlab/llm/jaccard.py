@@ -14,9 +14,11 @@ in the segment after that, and the list is split by the neighbourhood of its sub
 
 Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
 where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
-then exactly. Within a long list, sets are compared with one of them, its leader, only. Two sets that are both connected
-with the leader are connected already. Where one is not, two sets that are similar to each other share differences from
-the leader; lists by (leader, shared difference) are the next round's lists. No long list is expanded into pairs.
+then exactly. Long lists that have sets in common make up a group. Its sets are compared with one of them, its leader, only. Two
+sets that are both connected with the leader are connected already. Where one is not, two sets that are similar to each
+other share differences from the centre of the group, what most of its sets have; the leader is the set closest to it.
+Lists by (group, shared difference) are the next round's lists. No long list is expanded into pairs, and pairs and lists
+of sets that edges found so far connect are left out.
 
 Texts with equal shingle sets are one node from the start, so copies cost one row each.
 """
@@ -41,6 +43,8 @@ MAP_BITS = 1 << 25
 SHORT, PAIRS_A_SET, LONGEST = 64, 16, 256
 #: Pairs (two 64-bit ids each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_PAIRS = 1_000_000
+#: Sets from which the centre of a group is made, at least.
+CENTRE = 32
 
 
 def bands(p: int, q: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,36 +270,69 @@ def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(one, "node", "left").join(two, "leader", "left").select("leader", "node", (F.coalesce("_m", "node") == F.coalesce("_l", "leader")).alias("linked"))
 
 
-def _shared_differences(pairs: DataFrame, sets: DataFrame, p: int, q: int, work: Scratch) -> DataFrame:
-    """(list, node) of the next round, from (leader, node, linked) of leaders with a node that is not linked to them.
+def _grouped(lists: DataFrame, merge: bool) -> DataFrame:
+    """(group, node) of the long lists (list, node). Merged lists that have sets in common are one group where they can be, so that a set is in few groups."""
+    if not merge:
+        return lists.select(F.col("list").alias("group"), "node")
+    w, own = Window.partitionBy("list"), Window.partitionBy("node")
+    rows = lists.select("list", "node").withColumn("group", F.struct(F.count(F.lit(1)).over(own).alias("many"), "node"))
+    for _ in range(4):
+        rows = rows.withColumn("group", F.max("group").over(w)).withColumn("group", F.max("group").over(own))
+    return rows.withColumn("group", F.max("group").over(w)["node"]).select("group", "node").distinct()
 
-    Let R not be connected with the leader, so not similar to it, and be similar to S. Their common differences from the
-    leader number at least half of both numbers less their largest distance. If all of these are elements that both lack,
-    S must have so many elements fewer than the leader: with gap = (q+p)(differences of R) - (q-p)(sizes of R and the
-    leader), which is positive, 2p times that number is at least the gap. Else they share an element that the leader
-    lacks. So nodes are listed under elements that the leader lacks, and under those that they lack only where such a pair
-    can exist. Of ``x`` elements of which ``least`` must be shared, the x - least + 1 rarest in the group will do. A node
-    that is closer to the leader than any R can be to a set similar to it is left out.
+
+def _differences(groups: DataFrame, sets: DataFrame, p: int, q: int, work: Scratch) -> DataFrame:
+    """(group, node, new, lost, far): what each set has more and less than the centre of its group, and how far it is from it.
+
+    The centre has the elements that over half of a sample of the group's sets have; it is only what sets are compared
+    with, so that sampling changes no result. An element that a set differs in is then one that few others differ in.
+    ``far`` is (q+p)(differences) - (q-p)(size): two sets that are similar have at least half of both, over q+p, in common.
+    """
+    size = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first"))
+    picked = groups.join(size, "group").where((F.pmod(F.xxhash64("group", "node"), F.greatest(F.floor(F.col("sets") / CENTRE), F.lit(1))) == 0) | (F.col("node") == F.col("first")))
+    picked = work.stored(picked.select("group", "node"), "picked")
+    held = picked.join(sets.select("node", "elems"), "node").select("group", F.explode("elems").alias("elem")).groupBy("group", "elem").agg(F.count(F.lit(1)).alias("held"))
+    centre = held.join(picked.groupBy("group").agg(F.count(F.lit(1)).alias("all")), "group").where("2 * held > all").groupBy("group").agg(F.collect_list("elem").alias("c"))
+    both = groups.join(sets.select("node", "n", "elems"), "node").join(centre, "group", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
+    rows = both.select("group", "node", "n", F.array_except("elems", "c").alias("new"), F.array_except("c", "elems").alias("lost"))
+    far = (q + p) * (F.size("new") + F.size("lost")) - (q - p) * F.col("n")
+    out = work.stored(rows.select("group", "node", "new", "lost", far.alias("far")), "differences")
+    work.drop(picked)
+    return out
+
+
+def _unlinked_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """(leader, node): the pairs of sets of each list (list, node) that edges found so far don't connect."""
+    known = lists.join(label.select("node", "component"), "node", "left").select("list", F.struct("node", F.coalesce("component", "node").alias("component")).alias("x"))
+    held = known.groupBy("list").agg(F.array_sort(F.collect_list("x")).alias("x")).where("array_min(x.component) < array_max(x.component)").select("x").distinct()
+    others = lambda a, i: F.filter(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: b["component"] != a["component"])
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(others(a, i), lambda b: F.struct(a["node"].alias("leader"), b["node"].alias("node")))))
+    return held.select(F.inline(pairs)).distinct()
+
+
+def _shared_differences(rows: DataFrame, leaders: DataFrame, label: DataFrame, p: int, q: int) -> DataFrame:
+    """(list, node) of the next round, of groups whose sets are not all connected.
+
+    Let R not be connected with the leader, so not similar to it, and be similar to S. The leader is the set with the
+    smallest ``far``. R's is above the leader's with the sign changed, as their distance is at most that of both from the
+    centre; S's is at least the leader's. So the sum of both is positive: R and S have a difference from the centre in
+    common, and at least half of the sum over q+p. Nodes are listed under their differences: of ``x`` of them of which
+    ``shared`` must be common, the x - shared + 1 rarest in the group will do. A node with fewer can't be similar to any R.
+    A list whose nodes are all connected is left out.
     """
-    n = F.size("b")
-    most = F.floor((q - p) * (n + F.floor(n * q / p)) / (q + p))  # between this node and any similar one
-    rows = _with_elems(pairs, sets).join(pairs, ["leader", "node"]).select("leader", "node", "linked", F.array_except("b", "a").alias("new"), F.array_except("a", "b").alias("lost"), (F.size("a") - n).alias("fewer"), most.alias("most"), (F.size("a") + n).alias("sizes"))
-    rows = work.stored(rows.withColumn("d", F.size("new") + F.size("lost")).withColumn("gap", (q + p) * F.col("d") - (q - p) * F.col("sizes")), "differences")
-    group = rows.groupBy("leader").agg(F.max("fewer").alias("max_fewer"), F.min(F.when(~F.col("linked"), F.col("gap"))).alias("min_gap"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("min_d"))
-    rows = rows.join(group, "leader").where(~F.col("linked") | (F.col("d") + F.col("most") >= F.col("min_d")))
-    can = (2 * p * F.col("fewer") >= F.col("min_gap")) | (~F.col("linked") & (2 * p * F.col("max_fewer") >= F.col("gap")))
-    # Common differences of any kind: of two nodes at distance ``most`` at the largest, the other being R or at least as far from the leader as R less ``most``.
-    shared = F.greatest(F.when(F.col("linked"), F.ceil((F.col("min_d") + F.col("d") - F.col("most")) / 2)).otherwise(F.col("d") - F.col("most")), F.lit(1))
-    adding = rows.select("leader", "node", "linked", (F.size("new") - F.greatest(shared - F.size("lost"), F.lit(1)) + 1).alias("prefix"), F.explode("new").alias("elem"))
-    lacking = rows.where(can).select("leader", "node", "linked", (F.size("lost") - shared + 1).alias("prefix"), F.explode("lost").alias("elem"))
-    w, own = Window.partitionBy("leader", "elem"), Window.partitionBy("leader", "node").orderBy("often", "elem")
-
-    def listed(each: DataFrame) -> DataFrame:
-        counted = each.where("prefix > 0").withColumns({"often": F.count(F.lit(1)).over(w), "any": F.bool_or(~F.col("linked")).over(w)})
-        # An element that one node alone has is in no list, but takes its place at the front of the prefix.
-        return counted.withColumn("nth", F.row_number().over(own)).where("nth <= prefix AND often > 1 AND any").select(F.xxhash64("leader", "elem").alias("list"), "node")
-
-    return listed(adding).union(listed(lacking)).distinct()
+    one = label.select("node", F.col("component").alias("_m"))
+    two = label.select(F.col("node").alias("leader"), F.col("component").alias("_l"))
+    known = rows.join(leaders, "group").join(one, "node", "left").join(two, "leader", "left")
+    known = known.withColumn("component", F.coalesce("_m", "node")).withColumn("linked", F.col("component") == F.coalesce("_l", "leader"))
+    group = known.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("apart"))
+    known = known.join(group, "group").where("low < high")
+    shared = F.greatest(F.ceil((F.col("far") + F.when(F.col("linked"), F.col("apart")).otherwise(F.col("nearest"))) / (2 * (q + p))), F.lit(1))
+    differ = F.concat("new", F.transform("lost", F.bitwise_not))
+    each = known.withColumn("prefix", F.size("new") + F.size("lost") - shared + 1).where("prefix > 0").select("group", "node", "component", "prefix", F.explode(differ).alias("elem"))
+    w, own = Window.partitionBy("group", "elem"), Window.partitionBy("group", "node").orderBy("often", "elem")
+    counted = each.withColumns({"often": F.count(F.lit(1)).over(w), "any": F.min("component").over(w) < F.max("component").over(w)})
+    # An element that one node alone has is in no list, but takes its place at the front of the prefix.
+    return counted.withColumn("nth", F.row_number().over(own)).where("nth <= prefix AND often > 1 AND any").select(F.xxhash64("group", "elem").alias("list"), "node").distinct()
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -333,7 +370,7 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
         work.sweep()
         sets = work.stored(_wanted_sets(df, text, k, lists.select("node").distinct()), "sets")
         work.sweep()
-        n_sets, first = sets.count(), True
+        n_sets, first, merge, n_rows = sets.count(), True, True, None
         edges, label = None, spark.createDataFrame([], "node long, component long")
         while True:
             sized = work.stored(lists.withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"), "sized")
@@ -346,32 +383,31 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
                 work.drop(split)
             pairs_left = sized.where(F.col("size").between(SHORT + 1, LONGEST)).agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
             bound = _bound(pairs_left, n_sets)
-            short = sized.where(F.col("size") <= bound).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("x")).select("x").distinct()
-            pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("leader"), b.alias("node")))))
-            # The leader is the set that is in most long lists: the others of its group are close to it.
-            many = sized.where(F.col("size") > bound).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("node")))
-            many = many.withColumn("leader", F.max(F.struct("many", "node")).over(w)["node"])
-            long = work.stored(many.where("node <> leader").select("leader", "node").distinct(), "long")
-            near = work.stored(_near(short.select(F.inline(pairs)).union(long).distinct(), sets, p, q), "near")
+            groups = work.stored(_grouped(sized.where(F.col("size") > bound), merge), "groups")
+            n_before, n_rows = n_rows, groups.count()
+            if n_before is not None and merge and 2 * n_rows > n_before:  # each list has fewer sets than the group it is from, but merged ones may be all of it again
+                merge = False
+            rows = _differences(groups, sets, p, q, work)
+            work.drop(groups)
+            leaders = work.stored(rows.groupBy("group").agg(F.min_by("node", F.struct("far", "node")).alias("leader"), F.min("far").alias("nearest")), "leaders")
+            long = rows.select("group", "node").join(leaders, "group").where("node <> leader").select("leader", "node").distinct()
+            for pairs in (lambda: long, lambda: _unlinked_pairs(sized.where(F.col("size") <= bound), label)):  # noqa: B023
+                near = work.stored(_near(pairs(), sets, p, q), "near")
+                for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
+                    asked = work.stored(_labelled(which, label).where("NOT linked"), "asked")
+                    found = work.stored(_similar(asked, sets, p, q), "edges")
+                    work.drop(asked)
+                    if not found.isEmpty():
+                        edges = found if edges is None else edges.union(found)
+                        old, label = label, components(edges, work)
+                        work.drop(old)
+                work.drop(near)
+                work.sweep()
             work.drop(sized)
-            for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
-                asked = work.stored(_labelled(which, label).where("NOT linked"), "asked")
-                found = work.stored(_similar(asked, sets, p, q), "edges")
-                work.drop(asked)
-                if not found.isEmpty():
-                    edges = found if edges is None else edges.union(found)
-                    old, label = label, components(edges, work)
-                    work.drop(old)
-            work.drop(near)
-            work.sweep()
-            judged = work.stored(_labelled(long, label), "judged")
-            work.drop(long)
-            unsure = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("leader")
-            left = work.stored(judged.join(unsure, "leader", "left_semi"), "unsure")
-            if left.isEmpty():
+            lists = work.stored(_shared_differences(rows, leaders, label, p, q), "lists")
+            work.drop(rows, leaders)
+            if lists.isEmpty():
                 return stored(label.select("node", "component"), "jaccard-components")
-            lists = work.stored(_shared_differences(left, sets, p, q, work), "lists")
-            work.drop(left, judged)
             work.sweep()
 
 
