@@ -81,10 +81,21 @@ def dedupe_exact(df: DataFrame, content: list[str], order: list[str]) -> DataFra
     return df.withColumns({"_nth": F.row_number().over(w.orderBy(*order)), "_all": F.count(F.lit(1)).over(w)}).where("_nth = 1").withColumn("had_duplicates", F.col("_all") > 1).drop("_nth", "_all")
 
 
+#: Rows that a task groups by id, on average.
+ROWS_A_TASK = 500_000
+
+
 def id_conflicts(df: DataFrame, key: list[str], content: list[str]) -> DataFrame:
-    """Per id: rows, exact repeats and whether different contents claim it; ids that occur once are left out."""
-    h = F.xxhash64(*content)
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(h).alias("n_contents")).where("n_rows > 1").withColumn("conflict", F.col("n_contents") > 1)
+    """Per id: rows, exact repeats and whether different contents claim it; ids that occur once are left out.
+
+    Ids are nearly as many as rows, so a task's share of them is what it holds in memory. They are dealt out to as many
+    tasks as the rows ask for, before they are counted.
+    """
+    rows = df.select(*key, F.xxhash64(*content).alias("_h"))
+    tasks = max(-(-df.count() // ROWS_A_TASK), df.sparkSession.sparkContext.defaultParallelism)
+    each = rows.repartition(tasks, *[F.col(k) for k in key]).groupBy(*key, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    counts = each.groupBy(*key).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_contents"))
+    return counts.where("n_rows > 1").withColumn("conflict", F.col("n_contents") > 1)
 
 
 def union_by_name(*parts: DataFrame) -> DataFrame:

@@ -188,3 +188,17 @@ def test_fits_of_spark_ml_are_at_their_optimum(spark):
     assert hits > 50
     probs = classes.select(F.when(F.col("k") % 4 != 0, 0).otherwise(1).alias("y"), F.array(F.lit(0.9), F.lit(0.1)).alias("q"), (F.col("k") % 3).alias("c"))
     assert models.fit_temperature(probs, "y", "q", "c") == pytest.approx(2.0, abs=0.05)  # 9 : 1 becomes 3 : 1
+
+
+def test_ids_are_dealt_out_by_their_number(spark, monkeypatch):
+    from feedlab.operators import quality
+
+    monkeypatch.setattr(quality, "ROWS_A_TASK", 10)
+    rows = [(i % 90, i % 30, None if i % 2 else i % 3) for i in range(200)] + [(None, 1, 1), (None, 1, 1), (500, 1, 1)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    got = quality.id_conflicts(df, ["a"], ["b", "c"])
+    assert got.rdd.getNumPartitions() == 21
+    want = {}
+    for a, b, c in rows:
+        want.setdefault(a, []).append((b, c))
+    assert {tuple(r) for r in got.collect()} == {(a, len(x), len(set(x)), len(set(x)) > 1) for a, x in want.items() if len(x) > 1}
