@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import books
 from .fold import fold_events
 from .joins import beside
@@ -94,6 +96,18 @@ COUNTS = ("states", "snapshots", "deltas", "regressions", "gaps", "missing_initi
 _FLAGS = {"missing_initial": "missing_initial_snapshot", "crossed": "crossed_book", "non_positive": "non_positive_size", "duplicated": "duplicate_event"}
 
 
+def _add(n: dict, sha, row: dict, given: dict) -> None:
+    """Counts a state and appends it to its slice's digest."""
+    n["states"] += 1
+    n["snapshots" if given["kind"] == "book" else "deltas"] += 1
+    n["regressions"] += given["regression"]
+    n["gaps"] += given["gap"]
+    for c, flag in _FLAGS.items():
+        n[c] += flag in given["flags"]
+    side = lambda name: [[f"{x['price']:f}", f"{x['size']:f}"] for x in given[name]]
+    sha.update(json.dumps([given["kind"], row["received_us"], side("bids"), side("asks"), given["flags"]], separators=(",", ":")).encode() + b"\n")
+
+
 def slice_reports(feed: DataFrame, keys: list[str], gap_ms: int = 60_000, slice_us: int = HOUR_US) -> DataFrame:
     """Per stream and slice: counts of ``COUNTS``, and the SHA-256 of its books in order (flags, prices and sizes of every state)."""
 
@@ -102,22 +116,80 @@ def slice_reports(feed: DataFrame, keys: list[str], gap_ms: int = 60_000, slice_
             return {"book": _begin(row), "n": dict.fromkeys(COUNTS, 0), "sha": hashlib.sha256()}, None
         state["book"], given = books.reduce_row(state["book"], row, gap_ms * 1000)
         if given is not None:
-            n = state["n"]
-            n["states"] += 1
-            n["snapshots" if given["kind"] == "book" else "deltas"] += 1
-            n["regressions"] += given["regression"]
-            n["gaps"] += given["gap"]
-            for c, flag in _FLAGS.items():
-                n[c] += flag in given["flags"]
-            side = lambda name: [[f"{x['price']:f}", f"{x['size']:f}"] for x in given[name]]
-            state["sha"].update(json.dumps([given["kind"], row["received_us"], side("bids"), side("asks"), given["flags"]], separators=(",", ":")).encode() + b"\n")
+            _add(state["n"], state["sha"], row, given)
         return state, None
 
     return _replay(feed, keys, slice_us, reduce, ", ".join(f"{c} long" for c in COUNTS) + ", digest string", lambda s: {**s["n"], "digest": s["sha"].hexdigest()})
 
 
+#: Rows of a stream up to which it is replayed from its first row to its last instead of slice by slice.
+MOST_ROWS = 100_000
+_READ = ("input_events", "semantic_events")
+
+
+def _whole_reports(feed: DataFrame, keys: list[str], gap_us: int, slice_us: int) -> DataFrame:
+    """The rows of ``day_report`` for streams that are short: one shuffle, one pass, a stream's slices one after another.
+
+    Exact repeats follow each other in the order of the pass: the first is applied, the others are counted.
+    """
+    content = [c for c in feed.columns if c != "event_id"]
+    hashed = feed.withColumn("_hash", F.sha2(F.to_json(F.struct(*content)), 256)).withColumns({"received_us": F.unix_micros("received"), "source_us": F.unix_micros("source")}).drop("received", "source")
+    order = [F.col("received_us").asc(), F.col("source_us").asc_nulls_last(), F.col("_hash").asc(), F.col("event_id").asc()]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = hashed.withColumns({"slice": F.floor(F.col("received_us") / slice_us), "repeat": F.coalesce(F.lag("_hash").over(w) == F.col("_hash"), F.lit(False)), "had_duplicates": F.coalesce(F.lead("_hash").over(w) == F.col("_hash"), F.lit(False))})
+
+    def start() -> dict:
+        return {"book": {"bids": {}, "asks": {}, "seen": False, "received": None, "source": None}, "n": dict.fromkeys((*_READ, *COUNTS), 0), "slice": (), "sha": None, "all": hashlib.sha256()}
+
+    def close(state: dict) -> None:
+        if state["sha"] is not None:
+            first = state["n"]["closed"] == 0
+            state["n"]["closed"] += 1
+            own = [*map(str, (x for x in state["slice"] if x is not None)), state["sha"].hexdigest()]
+            state["all"].update((("" if first else ",") + ":".join(own)).encode())
+
+    def reduce(state: dict, row: dict) -> tuple[dict, None]:
+        n = state["n"]
+        n["input_events"] += 1
+        if row["repeat"]:
+            return state, None
+        n["semantic_events"] += 1
+        if state["slice"] != (row["slice"],):
+            n.setdefault("closed", 0)
+            close(state)
+            state["slice"], state["sha"] = (row["slice"],), hashlib.sha256()
+        state["book"], given = books.reduce_row(state["book"], row, gap_us)
+        if given is not None:
+            _add(n, state["sha"], row, given)
+        return state, None
+
+    def finish(state: dict) -> dict:
+        close(state)
+        return {**{c: state["n"][c] for c in (*_READ, *COUNTS)}, "digest": state["all"].hexdigest()}
+
+    used = rows.select(*keys, "event_id", "kind", "bids", "asks", "price", "size", "side", "received_us", "source_us", "_hash", "slice", "repeat", "had_duplicates")
+    return fold_events(used, keys, order, reduce, start, ", ".join(f"{c} long" for c in (*_READ, *COUNTS)) + ", digest string", finish, dealt=True)
+
+
 def day_report(feed: DataFrame, keys: list[str], gap_ms: int = 60_000, slice_us: int = HOUR_US) -> DataFrame:
-    """Per stream: input_events, semantic_events (without repeats), the counts of ``COUNTS``, and the digest of its slices in order."""
+    """Per stream: input_events, semantic_events (without repeats), the counts of ``COUNTS``, and the digest of its slices in order.
+
+    Streams of more than MOST_ROWS rows are rebuilt in slices that run in parallel; the others, whose slices may have a
+    row or two, from their first row to their last. Both give the same.
+    """
+    sized = feed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = stored(sized.where(F.col("_rows") > MOST_ROWS).select(*keys), "large-streams")
+    if large.isEmpty():
+        return _whole_reports(feed, keys, gap_ms * 1000, slice_us)
+    feed = feed.withColumns({f"_{c}_k": F.col(c) for c in keys})
+    both = [F.col(f"_{c}_k").eqNullSafe(F.col(f"_{c}_l")) for c in keys]
+    named = large.withColumnsRenamed({c: f"_{c}_l" for c in keys})
+    part = lambda how: feed.join(named, reduce(lambda a, b: a & b, both), how).drop(*[f"_{c}_k" for c in keys])
+    return _whole_reports(part("left_anti"), keys, gap_ms * 1000, slice_us).union(_sliced_reports(part("left_semi"), keys, gap_ms, slice_us))
+
+
+def _sliced_reports(feed: DataFrame, keys: list[str], gap_ms: int, slice_us: int) -> DataFrame:
+    """The rows of ``day_report`` from slices that are replayed apart."""
     slices = slice_reports(feed, keys, gap_ms, slice_us)
     digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slice", "digest"))), lambda s: F.concat_ws(":", s["slice"].cast("string"), s["digest"])), ",")
     markets = slices.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS], F.sha2(digests.cast("binary"), 256).alias("digest"))

@@ -13,12 +13,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduce: Callable, start: Callable, out: str, finish: Callable | None = None) -> DataFrame:
+def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduce: Callable, start: Callable, out: str, finish: Callable | None = None, dealt: bool = False) -> DataFrame:
     """keys and what ``reduce`` gives out for each row, in order; ``seq`` (if ``out`` has it) counts the rows given out by key.
 
     ``start()`` makes a key's first state; ``reduce(state, row)`` returns the next state and a dict for an output row, or
     None. ``finish(state)`` (if given) does the same after a key's last row. A key's rows are sorted by Spark (spilling if need be) and pass through one at a time with the state alone in
-    memory. ``order`` must be total, so that the result depends on nothing else.
+    memory. ``order`` must be total, so that the result depends on nothing else. ``dealt`` says that a key's rows are in one
+    partition already, as a window by key leaves them.
     """
     schema = StructType([*df.select(*keys).schema, *_parse_datatype_string(out)])
     arrow = to_arrow_schema(schema)
@@ -50,7 +51,7 @@ def fold_events(df: DataFrame, keys: list[str], order: list[str | Column], reduc
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (df if dealt else df.repartition(*[F.col(k) for k in keys])).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def checked_fold(df: DataFrame, keys: list[str], order: list[str | Column], reduce: Callable, start: Callable, out: str) -> DataFrame:

@@ -101,3 +101,15 @@ def test_chains_name_violations_and_locate_changes(spark):
     again = chain(df.withColumn("points", F.when((F.col("stream") == "a") & (F.col("seq") == 11), 9).otherwise(F.col("points"))))
     differs = steps.alias("x").join(again.alias("y"), ["stream", "sequence"]).where("x.trace_sha256 <> y.trace_sha256").agg(F.min("sequence"), F.count(F.lit(1))).first()
     assert tuple(differs) == (11, 19)  # the changed row and all that follow
+
+
+def test_short_and_long_streams_are_reported_alike(spark, feed, monkeypatch):
+    reports = []
+    for most in (0, 150, 10**6):  # all in slices, some, none
+        monkeypatch.setattr(day, "MOST_ROWS", most)
+        called, inner = [], day._sliced_reports
+        monkeypatch.setattr(day, "_sliced_reports", lambda f, *a: called.append(f.count()) or inner(f, *a))
+        reports.append(sorted((tuple(r) for r in day.day_report(feed, ["market"], slice_us=day.HOUR_US // 2).collect()), key=str))
+        assert (sum(called) == 902, bool(called)) == (most == 0, most < 10**6)
+        monkeypatch.setattr(day, "_sliced_reports", inner)
+    assert reports[0] == reports[1] == reports[2] and len(reports[0]) == 3
