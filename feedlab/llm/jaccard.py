@@ -273,7 +273,8 @@ def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def _grouped(lists: DataFrame, merge: bool) -> DataFrame:
     """(group, node) of the long lists (list, node). Merged lists that have sets in common are one group where they can be, so that a set is in few groups."""
     if not merge:
-        return lists.select(F.col("list").alias("group"), "node")
+        same = F.struct(F.count(F.lit(1)).over(Window.partitionBy("list")), F.bit_xor(F.xxhash64("node")).over(Window.partitionBy("list")))
+        return lists.select(F.xxhash64(same).alias("group"), "node").distinct()  # lists of the same sets are one
     w, own = Window.partitionBy("list"), Window.partitionBy("node")
     rows = lists.select("list", "node").withColumn("group", F.struct(F.count(F.lit(1)).over(own).alias("many"), "node"))
     for _ in range(4):
@@ -385,7 +386,7 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
             bound = _bound(pairs_left, n_sets)
             groups = work.stored(_grouped(sized.where(F.col("size") > bound), merge), "groups")
             n_before, n_rows = n_rows, groups.count()
-            if n_before is not None and merge and 2 * n_rows > n_before:  # each list has fewer sets than the group it is from, but merged ones may be all of it again
+            if n_before is not None and merge and 10 * n_rows > 9 * n_before:  # each list has fewer sets than the group it is from, but merged ones may be all of it again
                 merge = False
             rows = _differences(groups, sets, p, q, work)
             work.drop(groups)
