@@ -14,7 +14,7 @@ in the segment after that, and the list is split by the neighbourhood of its sub
 
 Lists. Sets of a short list are compared pair by pair: first by parity sketches (a bit for each of some hash buckets, set
 where the set has an odd number of elements there; two sets differ in at least as many elements as their sketches in bits),
-then exactly. Long lists that have sets in common make up a group. Its sets are compared with one of them, its leader, only. Two
+which a list brings together, so that only pairs that pass are rows, then exactly. Long lists that have sets in common make up a group. Its sets are compared with one of them, its leader, only. Two
 sets that are both connected with the leader are connected already. Where one is not, two sets that are similar to each
 other share differences from the centre of the group, what most of its sets have; the leader is the set closest to it.
 Lists by (group, shared difference) are the next round's lists. No long list is expanded into pairs, and pairs and lists
@@ -40,7 +40,9 @@ _NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of the map of wanted set ids: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
 #: Lists of up to SHORT sets are compared pair by pair; those of up to LONGEST too where they have few pairs for each set in all. Longer ones never are.
-SHORT, PAIRS_A_SET, LONGEST = 64, 16, 256
+SHORT, PAIRS_A_SET, LONGEST = 64, 512, 256
+#: Pairs of sketches that a task compares at once.
+AT_ONCE = 1 << 18
 #: Pairs (two 64-bit ids each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_PAIRS = 1_000_000
 #: Sets from which the centre of a group is made, at least.
@@ -283,32 +285,90 @@ def _grouped(lists: DataFrame, merge: bool) -> DataFrame:
 
 
 def _differences(groups: DataFrame, sets: DataFrame, p: int, q: int, work: Scratch) -> DataFrame:
-    """(group, node, new, lost, far): what each set has more and less than the centre of its group, and how far it is from it.
+    """(group, node, n, differ, far): what each set has more and less than the centre of its group, and how far it is from it.
 
     The centre has the elements that over half of a sample of the group's sets have; it is only what sets are compared
-    with, so that sampling changes no result. An element that a set differs in is then one that few others differ in.
+    with, so that sampling changes no result. ``differ`` has them, lost ones with the bits inverted, in one order for the
+    whole group: first those that no two sets of the sample differ in, then the others, the most frequent last.
     ``far`` is (q+p)(differences) - (q-p)(size): two sets that are similar have at least half of both, over q+p, in common.
     """
     size = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first"))
     picked = groups.join(size, "group").where((F.pmod(F.xxhash64("group", "node"), F.greatest(F.floor(F.col("sets") / CENTRE), F.lit(1))) == 0) | (F.col("node") == F.col("first")))
     picked = work.stored(picked.select("group", "node"), "picked")
     held = picked.join(sets.select("node", "elems"), "node").select("group", F.explode("elems").alias("elem")).groupBy("group", "elem").agg(F.count(F.lit(1)).alias("held"))
-    centre = held.join(picked.groupBy("group").agg(F.count(F.lit(1)).alias("all")), "group").where("2 * held > all").groupBy("group").agg(F.collect_list("elem").alias("c"))
-    both = groups.join(sets.select("node", "n", "elems"), "node").join(centre, "group", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
-    rows = both.select("group", "node", "n", F.array_except("elems", "c").alias("new"), F.array_except("c", "elems").alias("lost"))
-    far = (q + p) * (F.size("new") + F.size("lost")) - (q - p) * F.col("n")
-    out = work.stored(rows.select("group", "node", "new", "lost", far.alias("far")), "differences")
+    held = held.join(picked.groupBy("group").agg(F.count(F.lit(1)).alias("all")), "group").withColumn("own", F.col("held") * 2 > F.col("all"))
+    place = F.struct(F.when(F.col("own"), F.col("all") - F.col("held")).otherwise(F.col("held")).alias("often"), F.when(F.col("own"), F.bitwise_not("elem")).otherwise(F.col("elem")).alias("elem"))
+    centre = held.where("own OR held > 1").groupBy("group").agg(F.collect_list(F.when(F.col("own"), F.col("elem"))).alias("c"), F.array_sort(F.collect_list(place))["elem"].alias("last"))
+    none = F.array().cast("array<long>")
+    both = groups.join(sets.select("node", "n", "elems"), "node").join(centre, "group", "left").withColumns({"c": F.coalesce("c", none), "last": F.coalesce("last", none)})
+    differ = F.concat(F.array_except("elems", "c"), F.transform(F.array_except("c", "elems"), F.bitwise_not))
+    rows = both.select("group", "node", "n", "last", differ.alias("differ"))
+    far = (q + p) * F.size("differ") - (q - p) * F.col("n")
+    ordered = F.concat(F.array_except("differ", "last"), F.array_intersect("last", "differ"))
+    out = work.stored(rows.select("group", "node", "n", ordered.alias("differ"), far.alias("far")), "differences")
     work.drop(picked)
     return out
 
 
+def _apart(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """x: (node, component) of each list (list, node) that edges found so far don't connect, ordered; lists of the same sets once."""
+    known = lists.join(label.select("node", "component"), "node", "left").select("list", F.struct("node", F.coalesce("component", "node").alias("component")).alias("x"))
+    return known.groupBy("list").agg(F.array_sort(F.collect_list("x")).alias("x")).where("array_min(x.component) < array_max(x.component)").select("x").distinct()
+
+
 def _unlinked_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
     """(leader, node): the pairs of sets of each list (list, node) that edges found so far don't connect."""
-    known = lists.join(label.select("node", "component"), "node", "left").select("list", F.struct("node", F.coalesce("component", "node").alias("component")).alias("x"))
-    held = known.groupBy("list").agg(F.array_sort(F.collect_list("x")).alias("x")).where("array_min(x.component) < array_max(x.component)").select("x").distinct()
     others = lambda a, i: F.filter(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: b["component"] != a["component"])
     pairs = F.flatten(F.transform("x", lambda a, i: F.transform(others(a, i), lambda b: F.struct(a["node"].alias("leader"), b["node"].alias("node")))))
-    return held.select(F.inline(pairs)).distinct()
+    return _apart(lists, label).select(F.inline(pairs)).distinct()
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs within lists of these sizes that stand one after the other, about AT_ONCE at a time."""
+    own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    after = np.repeat(sizes, sizes) - own - 1  # places behind each in its list
+    ends = np.cumsum(after)
+    start = 0
+    while start < len(after):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        n = after[start:stop]
+        a = np.repeat(np.arange(start, stop), n)
+        yield a, a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = stop
+
+
+def _near_in_lists(lists: DataFrame, label: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The ``_unlinked_pairs`` that sizes and sketches don't rule out: they are compared where a list's sketches meet, so that only those left are rows."""
+    each = _apart(lists, label).select(F.xxhash64("x.node").alias("list"), F.explode("x").alias("x")).select("list", "x.node", "x.component").distinct()
+    slim = each.join(sets.select("node", "n", "sketch"), "node").groupBy("list").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("x")).select("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, x = batch.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(0).flatten()
+            node, component, n = (x.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sketch = x.field(3)
+            words, flat = sketch.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sketch.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(words) - words
+            for a, b in _runs(held):
+                total = n[a] + n[b]
+                may = (component[a] != component[b]) & (q * n[a] >= p * n[b]) & (q * n[b] >= p * n[a])
+                a, b, most = a[may], b[may], ((q - p) * total[may]) // (q + p)
+                least, near = np.minimum(words[a], words[b]), np.zeros(len(a), bool)
+                for w in np.unique(least):
+                    at = np.flatnonzero(least == w)
+                    folded = []
+                    for side in (a[at], b[at]):
+                        place = starts[side][:, None] + np.arange(w)
+                        twice = words[side] > w
+                        bits = flat[place]
+                        bits[twice] ^= flat[place[twice] + w]
+                        folded.append(bits)
+                    near[at] = np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most[at]
+                one, two = node[a[near]], node[b[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["leader", "node"])
+
+    return slim.mapInArrow(run, "leader long, node long").distinct()
 
 
 def _shared_differences(rows: DataFrame, leaders: DataFrame, label: DataFrame, p: int, q: int) -> DataFrame:
@@ -317,9 +377,10 @@ def _shared_differences(rows: DataFrame, leaders: DataFrame, label: DataFrame, p
     Let R not be connected with the leader, so not similar to it, and be similar to S. The leader is the set with the
     smallest ``far``. R's is above the leader's with the sign changed, as their distance is at most that of both from the
     centre; S's is at least the leader's. So the sum of both is positive: R and S have a difference from the centre in
-    common, and at least half of the sum over q+p. Nodes are listed under their differences: of ``x`` of them of which
-    ``shared`` must be common, the x - shared + 1 rarest in the group will do. A node with fewer can't be similar to any R.
-    A list whose nodes are all connected is left out.
+    common, and at least half of the sum over q+p. All but (q-p)(size)/p of a set's differences are common too, as it has
+    no more than that many elements that a similar set lacks, or the other way round. Nodes are listed under their
+    differences: of ``x`` of them of which ``shared`` must be common, the first x - shared + 1 will do in any order that
+    all sets of a group keep. A node with fewer can't be similar to any R. A list whose nodes are all connected is left out.
     """
     one = label.select("node", F.col("component").alias("_m"))
     two = label.select(F.col("node").alias("leader"), F.col("component").alias("_l"))
@@ -327,13 +388,13 @@ def _shared_differences(rows: DataFrame, leaders: DataFrame, label: DataFrame, p
     known = known.withColumn("component", F.coalesce("_m", "node")).withColumn("linked", F.col("component") == F.coalesce("_l", "leader"))
     group = known.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(~F.col("linked"), F.col("far"))).alias("apart"))
     known = known.join(group, "group").where("low < high")
-    shared = F.greatest(F.ceil((F.col("far") + F.when(F.col("linked"), F.col("apart")).otherwise(F.col("nearest"))) / (2 * (q + p))), F.lit(1))
-    differ = F.concat("new", F.transform("lost", F.bitwise_not))
-    each = known.withColumn("prefix", F.size("new") + F.size("lost") - shared + 1).where("prefix > 0").select("group", "node", "component", "prefix", F.explode(differ).alias("elem"))
-    w, own = Window.partitionBy("group", "elem"), Window.partitionBy("group", "node").orderBy("often", "elem")
+    least = F.ceil((F.col("far") + F.when(F.col("linked"), F.col("apart")).otherwise(F.col("nearest"))) / (2 * (q + p)))
+    shared = F.greatest(least, F.size("differ") - F.floor((q - p) * F.col("n") / p), F.lit(1)).cast("int")
+    prefix = F.slice("differ", F.lit(1), F.greatest(F.size("differ") - shared + 1, F.lit(0)))
+    each = known.select("group", "node", "component", F.explode(prefix).alias("elem"))
+    w = Window.partitionBy("group", "elem")
     counted = each.withColumns({"often": F.count(F.lit(1)).over(w), "any": F.min("component").over(w) < F.max("component").over(w)})
-    # An element that one node alone has is in no list, but takes its place at the front of the prefix.
-    return counted.withColumn("nth", F.row_number().over(own)).where("nth <= prefix AND often > 1 AND any").select(F.xxhash64("group", "elem").alias("list"), "node").distinct()
+    return counted.where("often > 1 AND any").select(F.xxhash64("group", "elem").alias("list"), "node").distinct()
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -388,12 +449,18 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
             n_before, n_rows = n_rows, groups.count()
             if n_before is not None and merge and 10 * n_rows > 9 * n_before:  # each list has fewer sets than the group it is from, but merged ones may be all of it again
                 merge = False
-            rows = _differences(groups, sets, p, q, work)
+            of_lists, rows, leaders = [lambda: _near_in_lists(sized.where(F.col("size") <= bound), label, sets, p, q)], None, None  # noqa: B023
+            if n_rows:
+                rows = _differences(groups, sets, p, q, work)
+                leaders = work.stored(rows.groupBy("group").agg(F.min_by("node", F.struct("far", "node")).alias("leader"), F.min("far").alias("nearest")), "leaders")
+                long = rows.select("group", "node").join(leaders, "group").where("node <> leader").select("leader", "node").distinct()
+                of_lists.insert(0, lambda: _near(long, sets, p, q))  # noqa: B023
             work.drop(groups)
-            leaders = work.stored(rows.groupBy("group").agg(F.min_by("node", F.struct("far", "node")).alias("leader"), F.min("far").alias("nearest")), "leaders")
-            long = rows.select("group", "node").join(leaders, "group").where("node <> leader").select("leader", "node").distinct()
-            for pairs in (lambda: long, lambda: _unlinked_pairs(sized.where(F.col("size") <= bound), label)):  # noqa: B023
-                near = work.stored(_near(pairs(), sets, p, q), "near")
+            for pairs in of_lists:
+                near = work.stored(pairs(), "near")
+                if near.isEmpty():
+                    work.drop(near)
+                    continue
                 for which in (near.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node"), near):
                     asked = work.stored(_labelled(which, label).where("NOT linked"), "asked")
                     found = work.stored(_similar(asked, sets, p, q), "edges")
@@ -405,6 +472,8 @@ def connected(df: DataFrame, text: str, k: int, p: int, q: int) -> DataFrame:
                 work.drop(near)
                 work.sweep()
             work.drop(sized)
+            if rows is None:
+                return stored(label.select("node", "component"), "jaccard-components")
             lists = work.stored(_shared_differences(rows, leaders, label, p, q), "lists")
             work.drop(rows, leaders)
             if lists.isEmpty():

@@ -122,3 +122,45 @@ def test_lists_with_sets_in_common_are_one_group_and_linked_pairs_left_out(spark
     assert jaccard._grouped(lists, True).count() == 5  # lists with sets in common: one group, each set once
     label = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, component long")
     assert sorted(tuple(r) for r in jaccard._unlinked_pairs(lists, label).collect()) == [(1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def family(size, seed=3):
+    """Texts of one base with one to eight words of their own each, so that most of the family is similar to few others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for j in range(size):
+        w = list(base)
+        for e in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = f"n{j}x{e}"
+        out.append((j, " ".join(w)))
+    return out
+
+
+def test_pairs_that_sketches_rule_out_are_no_rows(spark):
+    rows = family(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label = spark.createDataFrame([], "node long, component long")
+    lists = jaccard._nodes(df, "doc_id", "text", 5).selectExpr("0L AS list", "node")
+    sets = jaccard._wanted_sets(df, "text", 5, lists.select("node").distinct())
+    pairs = jaccard._unlinked_pairs(lists, label)
+    got = sorted(map(tuple, jaccard._near_in_lists(lists, label, sets, 4, 5).collect()))
+    assert got == sorted((min(r), max(r)) for r in map(tuple, jaccard._near(pairs, sets, 4, 5).collect()))
+    assert 0 < 2 * len(got) < pairs.count() == 120 * 119 // 2
+
+
+def test_next_lists_of_a_large_group_are_short(spark, monkeypatch):
+    for name, value in (("SHORT", 16), ("LONGEST", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = family(300)
+    made, inner = [], jaccard._shared_differences
+
+    def counted(groups, *rest):
+        out = inner(groups, *rest)
+        made.append((out.count(), groups.selectExpr("sum(size(differ))").first()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard, "_shared_differences", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string"), k=5, p=4, q=5).collect()}
+    assert got == brute(rows, 5, 4, 5)
+    assert made and 3 * made[0][0] < made[0][1]  # of all differences, a small part is listed
