@@ -470,3 +470,40 @@ def test_suffix_tree_bounds_change_no_score(spark):
         assert got == pytest.approx(want, rel=1e-9)
     score = brute_tree([t.split() for t in texts], suffix_tree.Limits())[0]
     assert want == pytest.approx({i: score(t.split()) for i, t in enumerate(texts)}, rel=1e-9)
+
+
+def test_suffix_tree_sends_a_part_at_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(rng.choice(names[: rng.randrange(1, 64)]) for _ in range(rng.randrange(0, 60))) for _ in range(120)] + ["told twice and as rare as that"] * 2 + [None, ""]
+    form = suffix_tree.symbols(docs(spark, texts).select("doc_id", "text"))
+    sent, deep = {}, []
+
+    def entries(df, depth, *rest, real=suffix_tree._entries):
+        out = real(df, depth, *rest)
+        sent.setdefault(depth, []).append(out.count())
+        return out
+
+    def kept(df, name, *rest, real=suffix_tree.stored):
+        deep.extend([name] * (name == "lm-deep"))
+        return real(df, name, *rest)
+
+    monkeypatch.setattr(suffix_tree, "_entries", entries)
+    monkeypatch.setattr(suffix_tree, "stored", kept)
+    monkeypatch.setattr(suffix_tree, "SMALL", 1, raising=False)
+    limits = suffix_tree.Limits(depth=2, max_words=6, max_contexts=4, max_entries=9)
+    model, words = suffix_tree.fit(form, limits)
+    got = {r.doc_id: r.score for r in suffix_tree.score(form, model, words).collect()}
+    score = brute_tree([(t or "").split() for t in texts], limits)[0]
+    assert got == pytest.approx({i: score((t or "").split()) for i, t in enumerate(texts)}, rel=1e-9)
+    assert len(sent[1]) > 1 and max(sent[1]) < 0.6 * sum(sent[1]) and len(deep) > 1
+
+
+def test_suffix_tree_symbols_are_stored_in_half_their_size(spark, tmp_path):
+    from feedlab.llm.common import COMPACT
+
+    rng = random.Random(7)
+    texts = [" ".join(str(int(rng.paretovariate(0.7)) % 400_000) for _ in range(2000)) for _ in range(600)]
+    form = suffix_tree.symbols(docs(spark, texts).select("doc_id", "text").coalesce(1))
+    form.write.options(**COMPACT).parquet(f"file://{tmp_path}/form")
+    assert sum(f.stat().st_size for f in (tmp_path / "form").glob("*.parquet")) < 4 * 600 * 2000
